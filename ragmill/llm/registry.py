@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sql
+from . import chat, mixing, sql, warc
 from .common import table
 
 
@@ -18,6 +18,19 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against a copy whose later assistant turns are spoilt: prompt, completions and loss spans."""
+    pairs = chat.degraded_pairs(chat.gather_turns(table(spark, sf_dir, "conversations")))
+    out = chat.preference_format(pairs).withColumnRenamed("pair_id", "conv_id")
+    return out.withColumns({c: chat.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    out = warc.warc_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

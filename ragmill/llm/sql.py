@@ -26,4 +26,29 @@ run as (select r.*, coalesce(sum(case when odds is not null then size end) over
 select doc_id, size, source_size, target, cast((certain + case when odds is not null and before + size / 2.0::double <= lacking then 1 else 0 end) * size as bigint) as taken from run
 """
 
-ORACLES = {"op1_pareto_mix": MIX}
+CHAT = r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as i, count(*) over (partition by conv_id) as n from conversations),
+sides as (select *, case when role = 'assistant' and i >= n // 2 then array_to_string(list_reverse(string_split(text, ' ')), ' ') else text end as other from turns),
+prefix as (select conv_id, cast(coalesce(min(case when text <> other then i end), max(n)) as integer) as p from sides group by conv_id),
+laid as (select s.conv_id, s.i, p, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as a, '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) as b
+    from sides s join prefix q on s.conv_id is not distinct from q.conv_id),
+placed as (select *, coalesce(sum(case when i >= p then length(a) end) over (partition by conv_id order by i rows between unbounded preceding and 1 preceding), 0) + 5 + length(role) as sa,
+    coalesce(sum(case when i >= p then length(b) end) over (partition by conv_id order by i rows between unbounded preceding and 1 preceding), 0) + 5 + length(role) as sb from laid)
+select conv_id, max(p) as n_prompt_turns, coalesce(string_agg(a, '' order by i) filter (i < p), '') as prompt,
+    coalesce(string_agg(a, '' order by i) filter (i >= p), '') as chosen, coalesce(string_agg(b, '' order by i) filter (i >= p), '') as rejected,
+    coalesce(string_agg(cast(sa as bigint) || '-' || cast(sa + length(a) - 13 - length(role) as bigint), ',' order by i) filter (i >= p and role = 'assistant'), '') as chosen_spans,
+    coalesce(string_agg(cast(sb as bigint) || '-' || cast(sb + length(b) - 13 - length(role) as bigint), ',' order by i) filter (i >= p and role = 'assistant'), '') as rejected_spans
+from placed group by conv_id
+"""
+
+WARC = r"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first_id from d where payload_bytes >= 100 group by payload_digest having count(*) > 1)
+select page_id, payload_bytes, d.payload_digest, case when first_id is not null and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+    case when page_id is distinct from first_id then first_id end as refers_to
+from d left join f on d.payload_digest = f.payload_digest
+"""
+
+ORACLES = {"op1_pareto_mix": MIX, "op3_preference_format": CHAT, "op8_warc_round_trip": WARC}
