@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sql, warc
+from . import chat, chunking, mixing, quality, sql, warc
 from .common import table
 
 
@@ -25,6 +25,19 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: chat.spans_text(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a Bradley-Terry ranker that learns from three folds of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = quality.fit(docs, labels.where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of every document and its edited text, and what they share with each other and the next one."""
+    return chunking.next_and_edited(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     out = warc.warc_round_trip(table(spark, sf_dir, "pages"))
