@@ -51,4 +51,25 @@ select page_id, payload_bytes, d.payload_digest, case when first_id is not null
 from d left join f on d.payload_digest = f.payload_digest
 """
 
-ORACLES = {"op1_pareto_mix": MIX, "op3_preference_format": CHAT, "op8_warc_round_trip": WARC}
+NEAR = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) <= 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) end) as g from w),
+sized as (select doc_id, count(*) as n from s group by doc_id),
+full_sets as (select doc_id, list_sort(list(g)) as whole from s group by doc_id),
+classes as (select min(doc_id) as id, whole from full_sets group by whole),
+of_class as (select f.doc_id, c.id from full_sets f join classes c on f.whole = c.whole),
+rep as (select s.doc_id as id, g, n from s join sized z using (doc_id) where s.doc_id in (select id from classes)),
+ranked as (select r.id, r.g, r.n, row_number() over (partition by r.id order by f.df, r.g) as pos from rep r join (select g, count(*) as df from rep group by g) f using (g)),
+prefix as (select * from ranked where pos <= n - ceil(0.75::double * n) + 1),
+cand as (select distinct a.id as x, b.id as y from prefix a join prefix b on a.g = b.g and a.id < b.id and least(a.n, b.n) * 100 >= 75 * greatest(a.n, b.n)),
+meet as (select x, y, count(*) as k from cand join rep a on a.id = x join rep b on b.id = y and b.g = a.g group by x, y),
+link as (select x, y from meet join sized p on p.doc_id = x join sized q on q.doc_id = y where 100 * k >= 75 * (p.n + q.n - k)),
+both_ways as (select x, y from link union all select y, x from link),
+reach as (select id, id as to_id from classes union select r.id, l.y from reach r join both_ways l on l.x = r.to_id),
+comp as (select id, min(to_id) as component from reach group by id)
+select d.doc_id, cast(coalesce(z.n, 0) as bigint) as n_shingles, coalesce(c.component, d.doc_id) as component_id, d.doc_id = coalesce(c.component, d.doc_id) as kept
+from documents d left join sized z on z.doc_id = d.doc_id left join of_class o on o.doc_id = d.doc_id left join comp c on c.id = o.id
+"""
+
+ORACLES = {"op1_pareto_mix": MIX, "op3_preference_format": CHAT, "op8_warc_round_trip": WARC, "op6_near_duplicates": NEAR}
