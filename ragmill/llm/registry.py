@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, mixing, neardup, quality, sql, warc
+from . import chat, chunking, mixing, neardup, quality, repeats, sql, warc
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.next_and_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of its 400-byte strings that start anywhere else."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, similarity 0.75 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
