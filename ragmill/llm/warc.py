@@ -48,18 +48,18 @@ def range_number(col: Column, bounds: list[int]) -> Column:
     return place(F.coalesce(col, F.lit(-(1 << 63)).cast("long")))
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """Add payload, digest, record type and, for revisits, the id of the response with the same payload.
+def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The rows to write, and the marks of those that are revisits: page_id, payload_digest, refers_to.
 
     Payloads are grouped by digest with map-side partial aggregation, so one payload under a third of all pages is one
-    row per task before the shuffle; the way back is an equi-join that adaptive execution may split where it is skewed.
+    row per task before the shuffle. Marks carry no payload; the join that makes them may be split where it is skewed.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    first = rows.where((F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(first.drop("n").hint("merge"), "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True))
-    return rows.select("page_id", F.when(revisit, None).otherwise(F.col("payload")).alias("payload"), F.length("payload").alias("payload_bytes"), "payload_digest", F.when(revisit, F.col("first_id")).alias("refers_to"), "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"))
+    rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.length("payload").cast("long"))
+    long = rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
+    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    marks = long.join(first.hint("merge"), "payload_digest").where("page_id is null or page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    return rows, marks
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -115,39 +115,50 @@ class _Roll:
             self.stream = None
 
 
-def write_warc(records: DataFrame, folder: str, bounds: list[int], roll_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write `records` (see mark_revisits) as shards of rolled files under `folder`; returns the manifest, read back.
+def write_warc(rows: DataFrame, marks: DataFrame, folder: str, bounds: list[int], roll_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Write `rows` with their `marks` (see mark_revisits) as shards of rolled files under `folder`; returns the manifest, read back.
 
     Rows go to the shard of their page_id range and are sorted by page_id and digest, so the archives are the same
     bytes on every run. A file is written under a temporary name and renamed when whole; a retried or speculative
     task writes the same bytes to the same name, and only the manifest, which Spark commits at the end, says which
     files count. A shard never meets in memory: records stream into the open file, which rolls at `roll_bytes`.
+    Payloads are shuffled once: marks go to the same ranges and sort before the rows they turn into revisits.
     """
     from pyarrow import fs
 
     filesystem, root = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(root)
 
+    names = [c.split()[0] for c in MANIFEST.split(", ")]
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roll = None
+        roll, mark = None, None
         for batch in batches:
             for row in batch.to_dict("records"):
                 row["page_id"], row["refers_to"] = (None if pd.isna(row[k]) else int(row[k]) for k in ("page_id", "refers_to"))
+                key = row["shard"], row["page_id"], row["payload_digest"]
+                if row["refers_to"] is not None:
+                    mark = key, row["refers_to"]
+                    continue
+                row["record_type"] = "response"
+                if mark is not None and mark[0] == key:
+                    row |= {"record_type": "revisit", "refers_to": mark[1], "payload": b""}
                 if roll is None or roll.shard != row["shard"]:
                     if roll is not None:
                         roll.close()
-                        yield pd.DataFrame(roll.lines, columns=[c.split()[0] for c in MANIFEST.split(", ")])
+                        yield pd.DataFrame(roll.lines, columns=names)
                     roll = _Roll(folder, int(row["shard"]), roll_bytes)
                 roll.write(warc_record(row, date))
         if roll is not None:
             roll.close()
-            yield pd.DataFrame(roll.lines, columns=[c.split()[0] for c in MANIFEST.split(", ")])
+            yield pd.DataFrame(roll.lines, columns=names)
 
-    sharded = records.withColumn("shard", range_number(F.col("page_id"), bounds))
-    sharded = sharded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "payload_digest", "url")
+    both = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True)
+    sharded = both.withColumn("shard", range_number(F.col("page_id"), bounds)).repartition(len(bounds) + 1, "shard")
+    sharded = sharded.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "payload_digest", F.col("refers_to").asc_nulls_last(), "url")
     manifest = f"{folder}/manifest"
     sharded.mapInPandas(write, MANIFEST).write.parquet(manifest)
-    return records.sparkSession.read.schema(MANIFEST).parquet(manifest)
+    return rows.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
 HEADER = re.compile(rb"^([A-Za-z-]+): (.*?)\r?$", re.M)
@@ -209,7 +220,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
     return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(parse, schema)
 
 
-def warc_round_trip(pages: DataFrame, shard_rows: int = 4000, roll_bytes: int = 8 << 20, min_bytes: int = 100) -> DataFrame:
+def warc_round_trip(pages: DataFrame, shard_rows: int = 1000, roll_bytes: int = 8 << 20, min_bytes: int = 100) -> DataFrame:
     """Write `pages` (page_id, url, html) as WARC archives in the shared folder and read them back.
 
     Of records with equal payloads of at least `min_bytes`, that with the smallest page_id is the response and the
@@ -221,5 +232,5 @@ def warc_round_trip(pages: DataFrame, shard_rows: int = 4000, roll_bytes: int =
     ids = pages.select("page_id")
     bounds = shard_bounds(ids, max(1, -(-ids.count() // shard_rows)))
     folder = scratch(spark, "warc")
-    write_warc(mark_revisits(pages, min_bytes), folder, bounds, roll_bytes)
+    write_warc(*mark_revisits(pages, min_bytes), folder, bounds, roll_bytes)
     return read_warc(spark, folder, with_payload=False)
