@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, mixing, neardup, quality, repeats, sql, warc
+from . import chat, chunking, mixing, neardup, pieces, quality, repeats, sql, warc
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces: how many, a checksum of them in order, and whether they decode to the text."""
+    return pieces.piece_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
