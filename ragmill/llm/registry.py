@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, mixing, neardup, pieces, quality, repeats, sql, warc
+from . import chat, chunking, language, mixing, neardup, pieces, quality, repeats, sql, warc
 from .common import table
 
 
@@ -48,6 +48,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; the text model counts trigrams of all documents."""
+    model = language.fit_text_model(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), model)
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives and read back."""
     out = warc.warc_round_trip(table(spark, sf_dir, "pages"))
