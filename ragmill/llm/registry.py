@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, language, mixing, neardup, pieces, quality, repeats, sql, warc
+from . import chat, chunking, language, mixing, neardup, neighbours, pieces, quality, repeats, sql, warc
 from .common import table
 
 
@@ -65,6 +65,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other embeddings of each one whose id is divisible by 100."""
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
