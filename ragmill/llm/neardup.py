@@ -90,13 +90,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     """Jaccard similarity of pairs of sets by maximum likelihood from their registers and sizes together.
 
     With u and v the sizes' shares of their sum, a register of a is above that of b with probability p(u - v J), below
-    with p(v - u J), p(x) = -log_b(1 - x (b - 1) / b); J is the best of 201 values up to the greatest the sizes allow.
+    with p(v - u J), p(x) = -log_b(1 - x (b - 1) / b); J is the best of 101 values up to the greatest the sizes allow.
     """
     above, below = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
     same = a.shape[1] - above - below
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
-    j = np.linspace(0, 1, 201)[None, :] * np.minimum(u / v, v / u)
+    j = np.linspace(0, 1, 101)[None, :] * np.minimum(u / v, v / u)
     p = lambda x: -np.log1p(-np.maximum(x, 1e-12) * (BASE_B - 1) / BASE_B) / np.log(BASE_B)
     up, down = p(u - v * j), p(v - u * j)
     like = above * np.log(np.maximum(up, 1e-12)) + below * np.log(np.maximum(down, 1e-12)) + same * np.log(np.maximum(1 - up - down, 1e-12))
@@ -152,36 +152,119 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Those pairs whose full shingle sets have 100 * intersection >= percent * union.
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id and set (its hashes, ascending, as bytes) of the documents named in `ids`; their texts are shuffled once."""
 
-    Only texts named in a pair are shingled again; a set goes to its pairs by two joins that adaptive execution may
-    split, so a class with very many partners is not one task's work.
-    """
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 200):
                 batch = whole.iloc[at : at + 200]
                 yield pd.DataFrame({"id": batch["doc_id"].to_numpy(), "set": [shingles(t, words).tobytes() for t in batch["text"]]})
 
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long")).alias("doc_id"), "text")
+    rows = rows.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    return rows.mapInPandas(run, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+
+
+def alike(x: bytes, y: bytes, percent: int) -> bool:
+    """100 * intersection >= percent * union, on full sets."""
+    a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
+    small, large = (a, b) if a.size < b.size else (b, a)
+    if not small.size or 100 * small.size < percent * large.size:
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), large.size - 1)] == small).sum())
+    return 100 * both >= percent * (a.size + b.size - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose full sets are alike. A set goes to its pairs by joins that adaptive execution may split."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["s_a"], batch["s_b"], strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                small, large = (x, y) if x.size < y.size else (y, x)
-                both = int((large[np.minimum(np.searchsorted(large, small), large.size - 1)] == small).sum()) if small.size else 0
-                keep.append(100 * both >= percent * (x.size + y.size - both) and both > 0)
+            keep = [alike(x, y, percent) for x, y in zip(batch["s_a"], batch["s_b"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long")).alias("doc_id"), "text")
-    sets = stored(rows.join(named.hint("merge"), "doc_id", "left_semi").mapInPandas(sets_of, "id long, set binary"), "near-sets")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"s_{x}")).hint("merge")
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
+def block_links(held: pd.DataFrame, percent: int, least: float) -> list[tuple[int, int]]:
+    """Links between rows of one block pair (bucket, side, id, component, n, sketch, set) that are of different components.
+
+    Pairs on different sides are compared, or all if there is one side. A pair that shares an earlier band is settled
+    in that band's bucket. Estimates come first; once a link joins two components, their other pairs need no look.
+    """
+    held = held.drop_duplicates("id")
+    side, comp, ids = held["side"].to_numpy(), held["component"].tolist(), held["id"].to_numpy()
+    sketches = np.frombuffer(b"".join(held["sketch"]), np.uint16).reshape(len(held), -1)
+    keys, sets, n = bucket_keys(sketches), held["set"].tolist(), held["n"].to_numpy(float)
+    band = int(np.flatnonzero(keys[0] == np.array([held["bucket"].iloc[0]], np.int64).view(U64)[0])[0])
+    code = pd.factorize(held["component"])[0]
+    both = side.min() != side.max()
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    links = []
+    for i in range(len(held) - 1):
+        j = np.arange(i + 1, len(held))
+        j = j[(code[j] != code[i]) & ((side[j] != side[i]) if both else True)]
+        if band and j.size:
+            j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
+        if j.size:  # far fewer equal registers than any pair of interest has
+            j = j[(sketches[j] == sketches[i]).mean(1) >= least - 0.2]
+        if j.size:
+            j = j[estimate(np.broadcast_to(sketches[i], (j.size, sketches.shape[1])), sketches[j], np.full(j.size, n[i]), n[j]) >= least]
+        for k in j.tolist():
+            a, b = root(comp[i]), root(comp[k])
+            if a != b and alike(sets[i], sets[k], percent):
+                parent[a] = b
+                links.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+    return links
+
+
+def settled(members: DataFrame, profiles: DataFrame, sets: DataFrame, percent: int, least: float, size: int = 512) -> DataFrame:
+    """Links (a, b) between members of different components in the same bucket; members: bucket, id, component, own.
+
+    A bucket's rows of the leader's component (own) needn't meet each other, so own blocks meet other blocks and other
+    blocks each other. A task holds two blocks of about `size` rows at a time, however large the bucket; of what it
+    compares it returns only verified links, at most one for each two components it joins.
+    """
+    counts = members.groupBy("bucket").agg(F.count_if(F.col("component") == F.col("own")).alias("k0"), F.count_if(F.col("component") != F.col("own")).alias("k1"))
+    blocks = lambda k: F.greatest(F.lit(1), F.ceil(F.col(k) / size)).cast("int")
+    rows = members.join(counts.select("bucket", blocks("k0").alias("n0"), blocks("k1").alias("n1")).hint("merge"), "bucket")
+    is_own, spread = F.col("component") == F.col("own"), F.xxhash64("id")
+    rows = rows.withColumn("block", F.pmod(spread, F.when(is_own, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+    key = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    block, zero, one = F.col("block"), F.lit(0), F.lit(1)
+    with_others = F.transform(F.sequence(zero, F.col("n1") - 1), lambda k: key(1, F.least(block, k), F.greatest(block, k), (k < block).cast("int")))
+    as_own = F.transform(F.sequence(zero, F.col("n1") - 1), lambda j: key(0, block, j, zero))
+    as_other = F.transform(F.sequence(zero, F.col("n0") - 1), lambda i: key(0, i, block, one))
+    rows = rows.select("bucket", "id", "component", F.explode(F.when(is_own, as_own).otherwise(F.concat(as_other, with_others))).alias("to"))
+    rows = rows.select("bucket", "id", "component", "to.*").join(profiles.select("id", "n", "sketch").hint("merge"), "id").join(sets.hint("merge"), "id")
+    group = ["bucket", "kind", "i", "j"]
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.iloc[at : at + 1000]
+                rows = batch if rest is None else pd.concat([rest, batch])
+                turns = np.flatnonzero((rows[group].iloc[1:].to_numpy() != rows[group].iloc[:-1].to_numpy()).any(1)) + 1
+                bounds = [0, *turns.tolist()]
+                found = [x for p, q in zip(bounds[:-1], bounds[1:], strict=True) for x in block_links(rows.iloc[p:q], percent, least)]
+                yield pd.DataFrame(found, columns=["a", "b"])
+                rest = rows.iloc[bounds[-1] :]
+        if rest is not None and len(rest):
+            yield pd.DataFrame(block_links(rest, percent, least), columns=["a", "b"])
+
+    return rows.mapInPandas(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of every id in `links` (a, b).
 
@@ -200,66 +283,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("c").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin: float = 0.2, leader_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin: float = 0.2) -> DataFrame:
     """Link documents (doc_id, text) whose shingle sets have 100 * intersection >= percent * union.
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is that document).
 
     Equal sets are one class, made by a pre-aggregated grouping, so copies never meet as pairs. Classes that agree on
-    a band share a bucket. In each round a bucket's least class (its leader) meets all others of another component;
-    it has then met everyone and leaves. After `leader_rounds`, the members that still are of different components
-    meet each other. Pairs are first estimated from registers (dropped if `margin`, over five standard errors, below
-    the limit), then verified on full sets. So every pair of a bucket is settled: it was verified, estimated to be
-    far below, or already joined by other links.
+    a band share a bucket. First each bucket's least class, its leader, meets the others, which joins a large group
+    of near copies into few components at a linear cost. Then the members of different components of a bucket meet
+    each other, block by block (see settled()). Pairs are estimated from registers, dropped if `margin` (over five
+    standard errors) below the limit, and else verified on full sets. So every pair that shares a bucket is verified,
+    estimated to be far below, or joined by other links.
 
     A null text or one without words has no shingles and is linked with nothing. A null doc_id counts as the least.
     Repeated rows are copies of each other; rows that share an id are one document as far as links go, each with its
     own n_shingles. An empty table gives no rows. Other columns are ignored.
     """
+    least = percent / 100 - margin
     rows = stored(sketched(docs, words), "near-sketches")
     classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    one_each = classes.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")) if classes.count() != classes.select("id").distinct().count() else classes
+    profiles = classes.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     bands = banded(classes)
-    shared = bands.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
+    shared = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("high")).where("leader < high").select("bucket", "leader")
+    shared = stored(shared, "near-shared")  # a join of plain shuffles is one whose skewed partitions can be split
     members = stored(bands.join(shared.hint("merge"), "bucket").distinct(), "near-members")
-    links, labels = None, None
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        close = stored(likely(pairs, one_each, percent / 100 - margin), "near-likely")
-        found = stored(verified(close, docs, percent, words), "near-links")
-        links = found if links is None else stored(links.union(found), "near-links")
-        labels = components(links)
-
-    def placed(members: DataFrame) -> DataFrame:
-        """Members with their component, of those buckets alone that still hold more than one."""
-        if labels is not None:
-            members = members.join(labels.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        else:
-            members = members.select("bucket", "id", F.col("id").alias("component"))
-        members = stored(members, "near-placed")
-        open_ = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.min_by("component", "id").alias("own"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        return stored(members.join(open_.select("bucket", "leader", "own").hint("merge"), "bucket"), "near-open")
-
-    for _ in range(leader_rounds):
-        here = placed(members)
-        pairs = stored(here.where("component <> own").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
-        if pairs.isEmpty():
-            break
-        settle(pairs)
-        members = here.where("id <> leader").select("bucket", "id")
-    else:
-        here = placed(members).select("bucket", "id", "component")
-        other = here.select("bucket", F.col("id").alias("b"), F.col("component").alias("far"))
-        pairs = stored(here.withColumnRenamed("id", "a").hint("merge").join(other, "bucket").where("a < b and component <> far").select("a", "b").distinct(), "near-pairs")
-        if not pairs.isEmpty():
-            settle(pairs)
-
-    out = rows.select("doc_id", "n", "key").join(classes.select("key", "id").hint("merge"), "key", "left")
-    if labels is not None:
-        out = out.join(labels.hint("merge"), "id", "left")
-    else:
-        out = out.withColumn("component", F.col("id"))
+    profiles = stored(profiles.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "near-profiles")
+    sets = stored(shingle_sets(docs, profiles, words), "near-sets")
+
+    pairs = stored(likely(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), profiles, least), "near-likely")
+    links = stored(verified(pairs, sets, percent), "near-links")
+    labels = components(links)
+    placed = stored(members.join(labels.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("leader")).alias("led")), "near-placed")
+    # the leader has met everyone; what is left to settle are buckets whose other members are of two components or more
+    mixed = placed.groupBy("bucket").agg(F.min(F.when(~F.col("led"), F.col("component"))).alias("low"), F.max(F.when(~F.col("led"), F.col("component"))).alias("high"), F.max(F.when(F.col("led"), F.col("component"))).alias("own"))
+    mixed = stored(mixed.where("low < high").select("bucket", "own"), "near-mixed")
+    left = placed.where(~F.col("led")).join(mixed.hint("merge"), "bucket").select("bucket", "id", "component", "own")
+    more = stored(settled(stored(left, "near-left"), profiles, sets, percent, least), "near-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
+
+    out = rows.select("doc_id", "n", "key").join(classes.select("key", "id").hint("merge"), "key", "left").join(labels.hint("merge"), "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     named = lambda c: F.nullif(c, F.lit(LOW).cast("long"))
     return out.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))

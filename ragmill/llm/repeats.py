@@ -314,7 +314,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     named = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     rows = docs.select(*named, filled).withColumn("uid", F.xxhash64(*[f"_{i}" for i in range(len(carry))], "text"))
     found = stored(anchor_rows(rows, length), "repeat-anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # written out, so that the join's shuffles serve it alone and its skewed partitions can be split
+    again = stored(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeat-again")
     found = stored(found.join(again.hint("merge"), "h"), "repeat-recurring")
     kinds = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "back", "reach")).alias("one")), "repeat-kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h", "m")
