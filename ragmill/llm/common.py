@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
+#: Stands for a null id, as the least of all.
+LOW = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

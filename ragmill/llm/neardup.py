@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, prefix_hashes, span_hashes, stored
+from .common import LOW, U64, mix64, prefix_hashes, span_hashes, stored
 
 #: Registers of a sketch and of one band. With 32 bands of 4, a pair of similarity 0.75 shares no band with a
 #: probability of about (1 - 0.75^4)^32 = 4e-6.
@@ -103,9 +103,6 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return j[np.arange(len(a)), like.argmax(1)]
 
 
-LOW = -(1 << 63)
-
-
 def sketched(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id (null as LOW), n shingles, key (digest of the set, null if empty) and sketch of every whole text."""
 
