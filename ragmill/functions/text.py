@@ -42,7 +42,7 @@ def unquoted(x: Column, marks: str = "\"'") -> Column:
 
 def parse_queries(raw: Column, n: int = 3) -> Column:
     """Query variants: lines without number and quotes, over 2 characters, the first n."""
-    return F.slice(F.filter(F.transform(reply_lines(raw), unquoted), lambda x: F.length(x) > 2), 1, n)
+    return F.slice(F.filter(F.transform(reply_lines(raw), lambda x: unquoted(x)), lambda x: F.length(x) > 2), 1, n)
 
 
 def parse_questions(raw: Column, n: int = 3) -> Column:
@@ -57,7 +57,7 @@ def parse_claims(raw: Column) -> Column:
 
 def parse_list(raw: Column, n: int | None = None) -> Column:
     """Items between commas or line ends, trimmed, without empties; the first n."""
-    items = empties_dropped(F.transform(F.split(raw, LIST_SEPARATORS), F.trim))
+    items = empties_dropped(F.transform(F.split(raw, LIST_SEPARATORS), lambda x: F.trim(x)))
     return items if n is None else F.slice(items, 1, n)
 
 

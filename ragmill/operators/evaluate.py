@@ -103,7 +103,7 @@ def parse_qa(replies: DataFrame) -> DataFrame:
     """case_id, question, answer: complete pairs of the reply's JSON, else its question lines with empty answers."""
     data = F.from_json(F.regexp_extract("raw", r'(?s)\{[^{}]*"qa_pairs"[^{}]*\[.*?\][^{}]*\}', 0), QA)["qa_pairs"]
     full = lambda p: (F.length(p["question"]) > 0) & (F.length(p["answer"]) > 0)
-    lines = F.filter(F.transform(F.split(F.trim("raw"), "\n"), F.trim), lambda x: F.contains(x, F.lit("Q:")) | F.contains(x, F.lit("问:")) | F.contains(x, F.lit("问题:")))
+    lines = F.filter(F.transform(F.split(F.trim("raw"), "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("Q:")) | F.contains(x, F.lit("问:")) | F.contains(x, F.lit("问题:")))
     loose = F.transform(lines, lambda x: F.struct(x.alias("question"), F.lit("").alias("answer")))
     return replies.select("case_id", F.explode(F.coalesce(F.filter(data, full), loose)).alias("p")).select("case_id", "p.question", "p.answer")
 

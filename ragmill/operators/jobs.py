@@ -55,6 +55,6 @@ def parse_sse(log: DataFrame) -> DataFrame:
     """request_id, text of log lines (request_id, seq, line): `data: ` lines up to [DONE], in order; what isn't JSON is skipped."""
     data = log.where(F.startswith("line", F.lit("data: "))).select("request_id", "seq", F.trim(F.expr("substr(line, 7)")).alias("raw"))
     end = F.min(F.when(F.col("raw") == "[DONE]", F.col("seq"))).over(Window.partitionBy("request_id"))
-    rows = data.withColumn("end", end).where(F.col("end").isNull() | (F.col("seq") < F.col("end")))
-    piece = F.struct("seq", response_text("raw").alias("t"))
+    rows = data.withColumn("end", end)
+    piece = F.when(F.col("end").isNull() | (F.col("seq") < F.col("end")), F.struct("seq", response_text("raw").alias("t")))
     return rows.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), "").alias("text"))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-of_query = Window.partitionBy("query_id")
 SCORES = "struct<scores:array<struct<id:string,score:double>>>"
 
 
+def of_query():
+    return Window.partitionBy("query_id")
+
+
 def sigmoid(cands: DataFrame, steep: float = 0.8) -> DataFrame:
     """Candidates with norm = 1 / (1 + exp(-steep * z)), z by the query's population deviation; 0.5 where that is 0."""
-    mean, dev = F.avg("raw").over(of_query), F.stddev_pop("raw").over(of_query)
+    mean, dev = F.avg("raw").over(of_query()), F.stddev_pop("raw").over(of_query())
     return cands.withColumn("norm", F.when(dev < 1e-6, 0.5).otherwise(F.round(1 / (1 + F.exp(-steep * (F.col("raw") - mean) / dev)), 4)))
 
 
@@ -38,10 +41,10 @@ def rerank(cands: DataFrame, top_k: int = 5, always: bool = False) -> DataFrame:
     A query with top_k candidates or fewer keeps its order and its scores (0.5 where missing), unless `always`; others
     go by the normalised raw score and are cut. Without any raw score the first top_k stay.
     """
-    marked = sigmoid(cands).withColumn("n", F.count("*").over(of_query)).withColumn("rated", F.count("raw").over(of_query))
+    marked = sigmoid(cands).withColumn("n", F.count("*").over(of_query())).withColumn("rated", F.count("raw").over(of_query()))
     passed = F.lit(False) if always else (F.col("n") <= top_k)
     keep = passed | (F.col("rated") == 0)
-    by_score = F.row_number().over(of_query.orderBy(F.desc("norm"), "id"))
+    by_score = F.row_number().over(of_query().orderBy(F.desc("norm"), "id"))
     out = marked.withColumn("by", by_score).select("query_id", "id", F.when(keep, F.coalesce("score", F.lit(0.5))).otherwise(F.col("norm")).alias("rerank_score"), F.when(keep, F.col("rank")).otherwise(F.col("by")).cast("int").alias("rank"))
     return out.where(F.col("rank") <= top_k)
 
@@ -54,4 +57,4 @@ def tag_boost(results: DataFrame, queries: DataFrame, tags: DataFrame, step: flo
     joined = results.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(tags.select("document_id", "name").distinct(), "document_id", "left")
     hits = joined.groupBy("query_id", "document_id", "rank").agg(F.first("score").alias("score"), F.count_if(F.contains("_q", "name")).alias("m"))
     factor = F.least(1 + step * F.col("m"), F.lit(most))
-    return hits.withColumn("boosted", F.round(F.col("score") * factor, 4))
+    return hits.withColumn("boosted", F.round(F.col("score") * factor, 6))

@@ -235,9 +235,9 @@ def candidates(t: Tables) -> DataFrame:
     return fusion.reciprocal_rank(lists(t)).select("query_id", "id", "rank", "score", raw.alias("raw"))
 
 
-@query("rer01_sigmoid", CANDS + " select query_id, id, round(norm, 3) as norm from z")
+@query("rer01_sigmoid", CANDS + " select query_id, id, norm from z")
 def rer01(t):
-    return rerank.sigmoid(candidates(t)).select("query_id", "id", F.round("norm", 3).alias("norm"))
+    return rerank.sigmoid(candidates(t)).select("query_id", "id", "norm")
 
 
 @query("rer04_rerank", CANDS + """ select query_id, id, case when n <= 8 then coalesce(score, 0.5) else norm end as rerank_score, cast(case when n <= 8 then rank else by_ end as int) as rank
@@ -275,16 +275,16 @@ def rer03(t):
 
 
 BOOST = LISTS + """, h as (select query_id, cast(split_part(id, '_', 2) as bigint) as document_id, score, rank from fused),
-    b as (select h.query_id, h.document_id, h.rank, any_value(h.score) as score, count(*) filter (contains(q.text, g.name)) as m from h join text_queries q using (query_id) left join (select distinct document_id, name from doc_tags) g using (document_id) group by all)"""
+    b as (select h.query_id, h.document_id, h.rank, any_value(h.score) as score, count(*) filter (contains(q.text, g.name)) as m from h join text_queries q using (query_id) left join (select distinct document_id, name from doc_tags) g using (document_id) group by h.query_id, h.document_id, h.rank)"""
 
 
-@query("rer06_tag_boost", BOOST.replace("group by all)", "group by h.query_id, h.document_id, h.rank)") + " select query_id, document_id, rank, score, m, round(score * least(1 + 0.15::double * m, 1.3::double), 4) as boosted from b")
+@query("rer06_tag_boost", BOOST + " select query_id, document_id, rank, score, m, round(score * least(1 + 0.15::double * m, 1.3::double), 6) as boosted from b")
 def rer06(t):
     hits = fusion.reciprocal_rank(lists(t)).select("query_id", F.split("id", "_")[1].cast("long").alias("document_id"), "score", "rank")
     return rerank.tag_boost(hits, t.text_queries, t.doc_tags)
 
 
-@query("rer07_boost_keeps_order", BOOST.replace("group by all)", "group by h.query_id, h.document_id, h.rank)") + " select query_id, document_id, rank, score as source_score, round(score * least(1 + 0.15::double * m, 1.3::double), 4) as score from b where rank <= 5")
+@query("rer07_boost_keeps_order", BOOST + " select query_id, document_id, rank, score as source_score, round(score * least(1 + 0.15::double * m, 1.3::double), 6) as score from b where rank <= 5")
 def rer07(t):
     """Boosted scores of sub results; ranks and the sources' scores stay."""
     return rer06(t).where("rank <= 5").select("query_id", "document_id", "rank", F.col("score").alias("source_score"), F.col("boosted").alias("score"))

@@ -1 +1,53 @@
-"""Queries."""
+"""Queries that run the streams over the given tables; their SQL is that of the batch twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import streams
+from .base import query
+
+
+def events(t):
+    return streams.source(t._spark, t._dir, "events")
+
+
+@query("str01_ingest_stream", "up as (select document_id, cast(i as int) as parent_index, substr(text, cast(i * 1950 + 1 as bigint), 2200) as text from (select doc_id as document_id, text, unnest(range(0, cast(ceil(greatest(length(text) - 2200, 0) / 1950.0) as bigint) + 1)) as i from documents where length(text) > 0)) select document_id, sum(cast(ceil(greatest(length(text) - 700, 0) / 600.0) as bigint) + 1) as chunks from up group by document_id")
+def str01(t):
+    docs = streams.source(t._spark, t._dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    sink = streams.folder(t._spark, "ingest")
+    streams.ingest(docs, sink)
+    return t._spark.read.parquet(f"{sink}/chunks").groupBy("document_id").agg(F.count("*").alias("chunks"))
+
+
+@query("str02_redelivery", "select event_id from events")
+def str02(t):
+    """Every event delivered twice; one of each comes out."""
+    e = events(t)
+    twice = e.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return streams.drain(streams.redelivered(twice, ["event_id"], "60 days").select("event_id"))
+
+
+@query("str08_rate_stream", "select user_id, time_bucket(interval '1 hour', ts) as start, count(*) as n, count(*) > 2 as \"over\" from events group by all")
+def str08(t):
+    out = streams.drain(streams.rate_audit(events(t).select("user_id", "ts"), 2, "1 hour", "60 days"), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("str09_failure_stream", "l as (select user_id, failed, row_number() over (partition by user_id order by ts desc, event_id desc) as r from call_log) select user_id, cast(count(*) as int) as n, cast(sum(failed) as int) as failures, count(*) >= 10 and sum(failed) / 10.0 >= 0.5 as open from l where r <= 10 group by user_id")
+def str09(t):
+    calls = events(t).select("event_id", "ts", "user_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("failed"))
+    return streams.drain(streams.failure_stream(calls), "update")
+
+
+@query("str10_feedback_stream", "select cast(date_trunc('day', ts) as timestamp) as start, count(*) as total, count(*) filter (rating > 0) as positive, count(*) filter (rating < 0) as negative from feedback group by 1")
+def str10(t):
+    rating = F.when(F.col("event_type").isin("purchase", "signup"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    out = streams.drain(streams.daily_feedback(events(t).select("ts", rating.alias("rating"))), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("str11_url_dedup", "select distinct user_id, event_type as url from events")
+def str11(t):
+    e = events(t).select("user_id", F.col("event_type").alias("url"), "ts")
+    return streams.drain(streams.redelivered(e, ["user_id", "url"], "60 days").select("user_id", "url"))
