@@ -1,0 +1,132 @@
+"""WARC round trips, pieces and nearest neighbours."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import awkward, none_of
+from pyspark.sql import functions as F
+
+from ragmill.llm import neighbours, pieces, warc
+from ragmill.llm.common import scratch
+
+
+def test_warc_round_trip(spark):
+    long = "<p>" + "é" * 200
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 30)) for i in range(60)] + [(70, "http://a\r\nX: y", long), (71, None, long), (None, "u", long), (72, "u", None), (73, "u", "short"), (74, "u", "short"), (75, "u", "z" * 99), (76, "u", "z" * 99), (77, "u", "z" * 100), (78, "u", "z" * 100), (90, "u", "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("shard", F.lit(2))
+    got = warc.warc_round_trip(df, shard_rows=10, roll_bytes=4000).collect()
+    firsts = {}
+    for i, _, h in rows:
+        b = (h or "").encode()
+        if i is not None and len(b) >= 100:
+            firsts[b] = min(firsts.get(b, i), i)
+    want = Counter()
+    for i, _, h in rows:
+        b = (h or "").encode()
+        f = firsts.get(b)
+        revisit = f is not None and i != f
+        want[(i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", f if revisit else None)] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    assert warc.warc_round_trip(none_of(df)).count() == 0
+
+
+def test_warc_files_are_the_same_on_every_run(spark):
+    df = spark.createDataFrame([(i, "u", f"<p>{i % 7}</p>" * 40) for i in range(200)], "page_id long, url string, html string")
+    seen = []
+    for parts in (1, 5):
+        folder = scratch(spark, "warc-test")
+        bounds = warc.shard_bounds(df.select("page_id"), 4)
+        lines = warc.write_warc(*warc.mark_revisits(df.repartition(parts)), folder, bounds, roll_bytes=2000).collect()
+        seen.append(sorted((r.shard, r.part, r.records, r.bytes, r.sha256) for r in lines))
+        assert warc.read_warc(spark, folder).where("record_type = 'response'").select("payload").distinct().count() == 7
+    assert seen[0] == seen[1] and len({s for s, *_ in seen[0]}) > 1
+
+
+def test_range_number_is_exact(spark):
+    bounds = [5, 1 << 60]
+    df = spark.createDataFrame([(None,), (4,), (5,), ((1 << 60) - 1,), (1 << 60,)], "i long")
+    assert [r.x for r in df.select(warc.range_number(F.col("i"), bounds).alias("x")).collect()] == [0, 0, 1, 1, 2]
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The library's own unigram encoder with the same pieces and scores."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    scores = {i: s for _, i, s in pieces.piece_scores()}
+    model.trainer_spec.model_type = 1
+    for i, p in enumerate(model.pieces):
+        if i in scores:
+            p.score = scores[i]
+        elif p.type == 1:
+            p.type = 5
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+def test_units_as_the_library_segments_them(spark, unigram):
+    rng = random.Random(2)
+    words = {"".join(rng.choice("theandinéü.,!A1") for _ in range(rng.randint(1, 14))) for _ in range(300)} | {"representations", "日本", "naïve", "x" * 120}
+    df = spark.createDataFrame([("▁" + w, 1) for w in words], "unit string, n long")
+    got = {r.unit: r.ids for r in pieces.lexicon(df).collect()}
+    score = {i: s for _, i, s in pieces.piece_scores()}
+    for w in words:
+        lib = unigram.encode(w)
+        assert got["▁" + w] == lib or sum(score.get(i, -99_999) for i in got["▁" + w]) == sum(score.get(i, -99_999) for i in lib)
+
+
+def test_round_trip_and_digest(spark):
+    docs = awkward(spark)
+    extra = docs.where("doc_id = 5").limit(1).withColumn("doc_id", F.lit(900).cast("long")).withColumn("text", F.lit("tabs\tand  spaces\r\n\n 日本 😀 end "))
+    docs = docs.unionByName(extra)
+    for common in (5, 200_000):
+        got = pieces.encode(docs, common=common)
+        table = pieces.decoder()
+        texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
+        rows = got.collect()
+        assert Counter((r.doc_id, pieces.decode_ids(r.ids, table)) for r in rows) == texts
+        digest = Counter((r.doc_id, r.n_pieces, r.round_trip) for r in pieces.piece_digest(docs, common=common).collect())
+        assert digest == Counter((r.doc_id, len(r.ids), True) for r in rows)
+    assert pieces.decode(got).count() == docs.count()
+    assert pieces.encode(none_of(docs)).count() == 0 and pieces.piece_digest(none_of(docs)).count() == 0
+
+
+def test_digest_is_that_of_the_ids(spark):
+    docs = spark.createDataFrame([(1, "the house and the garden\nare here"), (2, "")], "doc_id long, text string")
+    units = {u: None for r in docs.collect() for u in pieces.re.findall(pieces.UNIT, "▁" + r.text.replace(" ", "▁")) if r.text}
+    ids = {r.unit: r.ids for r in pieces.lexicon(spark.createDataFrame([(u, 1) for u in units], "unit string, n long")).collect()}
+    want = sum(p * j * (i + 1) for p, u in enumerate(pieces.re.findall(pieces.UNIT, "▁the▁house▁and▁the▁garden\nare▁here"), 1) for j, i in enumerate(ids[u], 1))
+    for common in (1, 100):
+        assert {r.doc_id: r.piece_sum for r in pieces.piece_digest(docs, common=common).collect()} == {1: want, 2: 0}
+
+
+def brute_neighbours(rows, queries, k):
+    out = {}
+    for q in queries:
+        x = dict(rows)[q]
+        d = sorted((float(np.sqrt(((np.array(v) - np.array(x)) ** 2).sum())), i) for i, v in rows if i != q)[:k]
+        out[q] = [i for _, i in d]
+    return out
+
+
+def test_neighbours_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=8) + 3 * (i % 5)).tolist()) for i in range(600)]
+    rows += [(1000 + i, rows[100][1]) for i in range(30)]  # copies of a query
+    odd = [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0]), (2004, [None] * 8), (2005, [float("inf")] * 8), (None, [1.0] * 8), (2100, [0.0] * 8)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("query", F.lit(2))
+    got = {}
+    for r in neighbours.nearest_neighbours(df, lambda i: i % 100 == 0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_neighbours(rows, [i for i, _ in rows if i % 100 == 0], 10)
+    assert set(got) == set(want) and got[100] == want[100] == [1000 + i for i in range(10)]
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+    few = neighbours.nearest_neighbours(df.where("vec_id in (0, 1, 2)"), lambda i: i % 100 == 0).orderBy("rank").collect()
+    assert len(few) == 2 and [r.rank for r in few] == [1, 2] and few[0].score <= few[1].score
+    assert neighbours.nearest_neighbours(none_of(df), lambda i: i % 100 == 0).count() == 0
