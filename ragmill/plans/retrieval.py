@@ -253,25 +253,25 @@ def rer05(t):
 
 
 
-@query("rer02_parse_scores", "select event_id // 10 as query_id, 'full_' || event_id as id, case when (event_id // 10) % 2 = 0 then least(100.0, greatest(0.0, cast(cast(value as int) as double))) else cast(event_id % 97 as double) end as score from events where (event_id // 10) % 2 = 0 or event_id % 3 <> 0 union all select event_id // 10, 'full_' || event_id, 50.0 from events where (event_id // 10) % 2 = 1 and event_id % 3 = 0")
+@query("rer02_parse_scores", "select event_id // 10 as query_id, 'full_' || event_id as id, case when (event_id // 10) % 2 = 0 then least(100.0, greatest(0.0, cast(trunc(value) as double))) else cast(event_id % 97 as double) end as score from events where (event_id // 10) % 2 = 0 or event_id % 3 <> 0 union all select event_id // 10, 'full_' || event_id, 50.0 from events where (event_id // 10) % 2 = 1 and event_id % 3 = 0")
 def rer02(t):
     """Replies written from events, ten in each: JSON for even queries, loose text without every third id for odd ones."""
     return rerank.parse_scores(score_replies(t, 97))
 
 
-def score_replies(t: Tables, mod: int) -> DataFrame:
+def score_replies(t: Tables, mod: int, least: int = 0) -> DataFrame:
     e = t.events.select(F.floor(F.col("event_id") / 10).cast("long").alias("query_id"), "event_id", F.col("value").cast("int").cast("double").alias("v"))
     short = F.concat(F.lit("<c"), F.col("event_id").cast("string"), F.lit(">"))
     rows = e.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct(short.alias("short"), F.concat(F.lit("full_"), F.col("event_id").cast("string")).alias("full")))).alias("ids"),
         F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(short.alias("id"), F.col("v").alias("score")))).alias("scores"))).alias("json"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("event_id") % 3 != 0, F.concat(short, F.lit(" scores "), (F.col("event_id") % mod).cast("string"))))), "; ").alias("loose"))
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("event_id") % 3 != 0, F.concat(short, F.lit(" scores "), (F.col("event_id") % mod + least).cast("string"))))), "; ").alias("loose"))
     return rows.select("query_id", "ids", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("Here you are: "), "json")).otherwise(F.col("loose")).alias("raw"))
 
 
-@query("rer03_parse_legacy", "select event_id // 10 as query_id, 'full_' || event_id as id, case when (event_id // 10) % 2 = 0 then least(5.0, greatest(0.0, cast(cast(value as int) as double))) when event_id % 3 = 0 then 3.0 when event_id % 5 = 0 then 3.0 else cast(event_id % 5 as double) end / 5 as score from events")
+@query("rer03_parse_legacy", "select event_id // 10 as query_id, 'full_' || event_id as id, case when (event_id // 10) % 2 = 0 then least(5.0, greatest(0.0, cast(trunc(value) as double))) when event_id % 3 = 0 then 3.0 else cast(event_id % 5 + 1 as double) end / 5 as score from events")
 def rer03(t):
-    return rerank.parse_scores(score_replies(t, 5), 5.0, 3.0, "(?<=scores )[1-5]", 5.0)
+    return rerank.parse_scores(score_replies(t, 5, 1), 5.0, 3.0, "(?<=scores )[1-5]", 5.0)
 
 
 BOOST = LISTS + """, h as (select query_id, cast(split_part(id, '_', 2) as bigint) as document_id, score, rank from fused),

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import chunk, jobs
 
@@ -44,7 +45,8 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")  # a batch that runs again replaces its rows
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    out = spark.read.schema(stream.schema.add("batch", "int")).parquet(f"{at}/out")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    out = spark.read.schema(schema).parquet(f"{at}/out")
     if mode == "complete":
         out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
     return out.drop("batch")
