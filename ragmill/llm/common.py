@@ -14,8 +14,16 @@ U64 = np.uint64
 LOW = -(1 << 63)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of documents are long: Arrow batches of `rows` at most keep a Python worker's memory to a few megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The given table `name`; read only through Spark, so any store Spark knows will do."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +39,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back, so a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    small_batches(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -89,18 +89,17 @@ def bucket_keys(sketches: np.ndarray) -> np.ndarray:
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of pairs of sets by maximum likelihood from their registers and sizes together.
 
-    With u and v the sizes' shares of their sum, a register of a is above that of b with probability p(u - v J), below
-    with p(v - u J), p(x) = -log_b(1 - x (b - 1) / b); J is the best of 101 values up to the greatest the sizes allow.
+    With u and v the sizes' shares of their sum, a register of a is above that of b with probability u - v J and below
+    with v - u J (to within the base's distance from 1), so they agree with probability J. Setting the derivative of the
+    likelihood of all three counts to 0 leaves a quadratic equation for J.
     """
-    above, below = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
-    same = a.shape[1] - above - below
-    u = (n_a / (n_a + n_b))[:, None]
+    above, below = (a > b).sum(1), (a < b).sum(1)
+    m = a.shape[1]
+    same = m - above - below
+    u = n_a / (n_a + n_b)
     v = 1 - u
-    j = np.linspace(0, 1, 101)[None, :] * np.minimum(u / v, v / u)
-    p = lambda x: -np.log1p(-np.maximum(x, 1e-12) * (BASE_B - 1) / BASE_B) / np.log(BASE_B)
-    up, down = p(u - v * j), p(v - u * j)
-    like = above * np.log(np.maximum(up, 1e-12)) + below * np.log(np.maximum(down, 1e-12)) + same * np.log(np.maximum(1 - up - down, 1e-12))
-    return j[np.arange(len(a)), like.argmax(1)]
+    half = same * (u * u + v * v) + v * v * above + u * u * below
+    return (half - np.sqrt(np.maximum(half * half - 4 * m * same * (u * v) ** 2, 0))) / (2 * m * u * v)
 
 
 def sketched(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -194,7 +193,8 @@ def block_links(held: pd.DataFrame, percent: int, least: float) -> list[tuple[in
     held = held.drop_duplicates("id")
     side, comp, ids = held["side"].to_numpy(), held["component"].tolist(), held["id"].to_numpy()
     sketches = np.frombuffer(b"".join(held["sketch"]), np.uint16).reshape(len(held), -1)
-    keys, sets, n = bucket_keys(sketches), held["set"].tolist(), held["n"].to_numpy(float)
+    keys, sets = bucket_keys(sketches), held["set"].tolist()
+    n = np.array([len(x) // 8 for x in sets], float)
     band = int(np.flatnonzero(keys[0] == np.array([held["bucket"].iloc[0]], np.int64).view(U64)[0])[0])
     code = pd.factorize(held["component"])[0]
     both = side.min() != side.max()
@@ -205,6 +205,10 @@ def block_links(held: pd.DataFrame, percent: int, least: float) -> list[tuple[in
             x = parent[x]
         return x
 
+    flat = np.concatenate([np.frombuffer(x, U64) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(n[:-1]))).astype(np.int64)
+    names, codes = np.unique(flat, return_inverse=True)
+    marked = np.zeros(names.size, bool)
     links = []
     for i in range(len(held) - 1):
         j = np.arange(i + 1, len(held))
@@ -215,6 +219,12 @@ def block_links(held: pd.DataFrame, percent: int, least: float) -> list[tuple[in
             j = j[(sketches[j] == sketches[i]).mean(1) >= least - 0.2]
         if j.size:
             j = j[estimate(np.broadcast_to(sketches[i], (j.size, sketches.shape[1])), sketches[j], np.full(j.size, n[i]), n[j]) >= least]
+        if 8 * j.size > len(held):  # many: one pass over all sets counts what each shares with this one
+            own = codes[starts[i] : starts[i] + int(n[i])]
+            marked[own] = True
+            both_n = np.add.reduceat(marked[codes], starts, dtype=np.int64)[j]
+            marked[own] = False
+            j = j[100 * both_n >= percent * (n[i] + n[j] - both_n)]
         for k in j.tolist():
             a, b = root(comp[i]), root(comp[k])
             if a != b and alike(sets[i], sets[k], percent):
