@@ -79,53 +79,51 @@ def local_join(keep: int) -> Callable[[pd.DataFrame], pd.DataFrame | None]:
     return work
 
 
-def nearest(edges: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """The k nearest distinct edges of each key; limited before the shuffle as well as after it."""
-    other = "nb" if key == "id" else "id"
-    order = Window.partitionBy(key).orderBy("d", other)
-    return edges.groupBy("id", "nb").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+def nearest(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest distinct edges of each id, by one shuffle; of equal edges the old one stays."""
+    order = Window.partitionBy("id").orderBy("d", "nb", F.desc("old"))
+    first = edges.withColumn("_before", F.lag("nb").over(order)).where("_before is null or _before <> nb").drop("_before")
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d", "nb"))).where(F.col("_r") <= k).drop("_r")
 
 
-def build_graph(nodes: DataFrame, k: int = 14, rounds: int = 6, starts: int = 3, group: int = 48, around: int = 20) -> DataFrame:
-    """id, nb, d: about the k nearest neighbours of each node (id, vec as 32-bit floats), by NN-descent.
+def both_ways(graph: DataFrame) -> DataFrame:
+    return graph.unionByName(graph.select(F.col("nb").alias("id"), F.col("id").alias("nb"), "d", "old"))
+
+
+def build_graph(nodes: DataFrame, k: int = 14, rounds: int = 5, starts: int = 3, group: int = 64, around: int = 24) -> DataFrame:
+    """id, nb, d, old: about the k nearest neighbours of each node (id, vec as 32-bit floats), by NN-descent.
 
     Every node first meets those of `starts` random groups of about `group`. Then, round by round, the `around` nearest
     of a node's neighbours and of those that name it meet each other, since a neighbour's neighbours are likely to be
     neighbours; a node keeps its k nearest. Groups are bounded by construction, so no node, however central, is one
-    task's work; rounds end early when under 0.2 % of the edges change. d is the squared distance.
+    task's work; rounds end early when under 0.5 % of the edges are new. d is the squared distance.
     """
     n = nodes.count()
     total = max(1, -(-n // group))
-    far = F.lit(float("inf")).alias("worst")
-    parts = [by_group(nodes.select(F.pmod(F.xxhash64("id", F.lit(s)), F.lit(total)).alias("g"), F.col("id").alias("nb"), "vec", far), ["g"], local_join(k), EDGES) for s in range(starts)]
-    edges = parts[0]
-    for part in parts[1:]:
-        edges = edges.unionByName(part)
-    graph = stored(nearest(edges, k), "graph-edges")
+    far = F.lit(float("inf"))
+    ones = F.array(*[F.struct(F.lit(s).alias("s"), F.pmod(F.xxhash64("id", F.lit(s)), F.lit(total)).alias("g")) for s in range(starts)])
+    dealt = nodes.select(F.explode(ones).alias("x"), F.col("id").alias("nb"), "vec", far.alias("worst")).select("x.*", "nb", "vec", "worst")
+    graph = stored(nearest(by_group(dealt, ["s", "g"], local_join(k), EDGES).withColumn("old", F.lit(0)), k), "graph-edges")
     for _ in range(rounds):
-        back = nearest(graph.select(F.col("nb").alias("id"), F.col("id").alias("nb"), "d"), around)
-        members = nearest(graph.unionByName(back), around)
-        worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("has")).select(F.col("id").alias("nb"), F.when(F.col("has") < k, F.lit(float("inf"))).otherwise(F.col("worst")).alias("worst"))
-        known = nodes.select(F.col("id").alias("nb"), "vec").join(worst.hint("merge"), "nb", "left").select("nb", "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
-        met = members.select("id", "nb").join(known.hint("merge"), "nb").withColumnRenamed("id", "g")
-        fresh = by_group(met, ["g"], local_join(k), EDGES)
-        after = stored(nearest(graph.unionByName(fresh), k), "graph-edges")
-        changed = after.join(graph.select("id", "nb").hint("merge"), ["id", "nb"], "left_anti").count()
-        graph = after
-        if changed < 0.002 * n * k:
+        members = nearest(both_ways(graph), around).select("id", "nb")
+        worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("has")).select(F.col("id").alias("nb"), F.when(F.col("has") < k, far).otherwise(F.col("worst")).alias("worst"))
+        known = nodes.select(F.col("id").alias("nb"), "vec").join(worst.hint("merge"), "nb", "left").select("nb", "vec", F.coalesce("worst", far).alias("worst"))
+        met = members.join(known.hint("merge"), "nb").withColumnRenamed("id", "g")
+        fresh = by_group(met, ["g"], local_join(k), EDGES).withColumn("old", F.lit(0))
+        graph = stored(nearest(graph.withColumn("old", F.lit(1)).unionByName(fresh), k), "graph-edges")
+        if graph.where("old = 0").count() < 0.005 * n * k:
             break
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 48, widen: int = 12, rounds: int = 8) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 64, widen: int = 20, rounds: int = 5) -> DataFrame:
     """query, id, d: the `beam` nearest nodes that a greedy search finds for each query (query, id: its own node).
 
     A query starts at its node. In each round the neighbours, either way, of its `widen` nearest nodes not yet looked
     at are measured, and the `beam` nearest kept; it ends when all of them have been looked at. A round is two equi-
     joins of the queries' frontiers, with the graph and with the vectors; state is a row for each query and node kept.
     """
-    around = stored(nearest(graph.unionByName(graph.select(F.col("nb").alias("id"), F.col("id").alias("nb"), "d")), 24), "graph-around").groupBy("id").agg(F.collect_list("nb").alias("nbs"))
-    around = stored(around, "graph-lists")
+    around = stored(nearest(both_ways(graph), 40).groupBy("id").agg(F.collect_list("nb").alias("nbs")), "graph-lists")
     own = queries.join(nodes.hint("merge"), "id").select("query", "id", F.col("vec").alias("qvec"))
     state = stored(own.select("query", "qvec", F.array(F.struct("id", F.lit(0.0).alias("d"), F.lit(False).alias("done"))).alias("beam")), "graph-state")
     schema = "query long, qvec binary, beam array<struct<id:long,d:double,done:boolean>>"
@@ -148,7 +146,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 4
         frontier = state.select(F.col("query").alias("of"), F.explode(open_).alias("x")).select("of", F.col("x.id").alias("id"))
         if frontier.isEmpty():
             break
-        new = frontier.join(around.hint("merge"), "id").select("of", F.explode("nbs").alias("id")).distinct().join(nodes.hint("merge"), "id")
+        new = frontier.join(around.hint("merge"), "id").select("of", F.explode("nbs").alias("id")).repartition("id").distinct().join(nodes.hint("merge"), "id")
         state = stored(state.groupBy("query").cogroup(new.groupBy("of")).applyInPandas(merge, schema), "graph-state")
     return state.select("query", F.explode("beam").alias("x")).select("query", "x.id", "x.d")
 
