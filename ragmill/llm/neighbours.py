@@ -58,6 +58,12 @@ def matrix(vecs: pd.Series, kind: type = np.float32) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1)
 
 
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, in double precision: the same for a pair either way and beside any other rows."""
+    diff = np.ascontiguousarray(a, np.float64) - np.ascontiguousarray(b, np.float64)
+    return (diff * diff).sum(1)
+
+
 def local_join(keep: int) -> Callable[[pd.DataFrame], pd.DataFrame | None]:
     """Edges among the members (nb, vec, worst) of one group: each member's `keep` nearest others, if nearer than its worst."""
 
@@ -73,8 +79,12 @@ def local_join(keep: int) -> Callable[[pd.DataFrame], pd.DataFrame | None]:
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
         a = np.repeat(np.arange(n), k)
         b = near.ravel()
-        good = (d[a, b] < worst[a]) & (ids[a] != ids[b])
-        return pd.DataFrame({"id": ids[a[good]], "nb": ids[b[good]], "d": np.maximum(d[a[good], b[good]], 0)}) if good.any() else None
+        maybe = (d[a, b] < worst[a] + 1e-5 * (square[a] + square[b])) & (ids[a] != ids[b])
+        a, b = a[maybe], b[maybe]
+        # measured again by itself: a pair has one distance, in whatever group it meets
+        d = squared(x[a], x[b])
+        good = d < worst[a]
+        return pd.DataFrame({"id": ids[a[good]], "nb": ids[b[good]], "d": d[good]}) if good.any() else None
 
     return work
 
@@ -90,13 +100,34 @@ def both_ways(graph: DataFrame) -> DataFrame:
     return graph.unionByName(graph.select(F.col("nb").alias("id"), F.col("id").alias("nb"), "d", "old"))
 
 
-def build_graph(nodes: DataFrame, k: int = 14, rounds: int = 5, starts: int = 3, group: int = 64, around: int = 24) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, k: int, around: int, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round of build_graph(): the graph with the edges found among each node's `around` nearest (old = 0 if new).
+
+    With it come these groups (id, nbs). Those with no member that wasn't in them `before` have all met already, at no
+    lower bounds, so they need not meet again.
+    """
+    far = F.lit(float("inf"))
+    lists = stored(nearest(both_ways(graph), around).groupBy("id").agg(F.sort_array(F.collect_list("nb")).alias("nbs")), "graph-groups")
+    members = lists
+    if before is not None:
+        none = F.array().cast("array<long>")
+        members = lists.join(before.withColumnRenamed("nbs", "met").hint("merge"), "id", "left").where(F.size(F.array_except("nbs", F.coalesce("met", none))) > 0)
+    members = members.select("id", F.explode("nbs").alias("nb"))
+    worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("has")).select(F.col("id").alias("nb"), F.when(F.col("has") < k, far).otherwise(F.col("worst")).alias("worst"))
+    known = nodes.select(F.col("id").alias("nb"), "vec").join(worst.hint("merge"), "nb", "left").select("nb", "vec", F.coalesce("worst", far).alias("worst"))
+    met = members.join(known.hint("merge"), "nb").withColumnRenamed("id", "g")
+    fresh = by_group(met, ["g"], local_join(k), EDGES).withColumn("old", F.lit(0))
+    return stored(nearest(graph.withColumn("old", F.lit(1)).unionByName(fresh), k), "graph-edges"), lists
+
+
+def build_graph(nodes: DataFrame, k: int = 14, starts: int = 3, group: int = 64, around: int = 24) -> DataFrame:
     """id, nb, d, old: about the k nearest neighbours of each node (id, vec as 32-bit floats), by NN-descent.
 
     Every node first meets those of `starts` random groups of about `group`. Then, round by round, the `around` nearest
     of a node's neighbours and of those that name it meet each other, since a neighbour's neighbours are likely to be
     neighbours; a node keeps its k nearest. Groups are bounded by construction, so no node, however central, is one
-    task's work; rounds end early when under 0.5 % of the edges are new. d is the squared distance.
+    task's work; rounds end when no edge is new, which they come to, as every new edge is shorter than the one it
+    displaces. d is the squared distance.
     """
     n = nodes.count()
     total = max(1, -(-n // group))
@@ -104,19 +135,13 @@ def build_graph(nodes: DataFrame, k: int = 14, rounds: int = 5, starts: int = 3,
     ones = F.array(*[F.struct(F.lit(s).alias("s"), F.pmod(F.xxhash64("id", F.lit(s)), F.lit(total)).alias("g")) for s in range(starts)])
     dealt = nodes.select(F.explode(ones).alias("x"), F.col("id").alias("nb"), "vec", far.alias("worst")).select("x.*", "nb", "vec", "worst")
     graph = stored(nearest(by_group(dealt, ["s", "g"], local_join(k), EDGES).withColumn("old", F.lit(0)), k), "graph-edges")
-    for _ in range(rounds):
-        members = nearest(both_ways(graph), around).select("id", "nb")
-        worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("has")).select(F.col("id").alias("nb"), F.when(F.col("has") < k, far).otherwise(F.col("worst")).alias("worst"))
-        known = nodes.select(F.col("id").alias("nb"), "vec").join(worst.hint("merge"), "nb", "left").select("nb", "vec", F.coalesce("worst", far).alias("worst"))
-        met = members.join(known.hint("merge"), "nb").withColumnRenamed("id", "g")
-        fresh = by_group(met, ["g"], local_join(k), EDGES).withColumn("old", F.lit(0))
-        graph = stored(nearest(graph.withColumn("old", F.lit(1)).unionByName(fresh), k), "graph-edges")
-        if graph.where("old = 0").count() < 0.005 * n * k:
-            break
+    groups = None
+    while not graph.where("old = 0").isEmpty():
+        graph, groups = descend(graph, nodes, k, around, groups)
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 64, widen: int = 20, rounds: int = 5) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 64, widen: int = 20) -> DataFrame:
     """query, id, d: the `beam` nearest nodes that a greedy search finds for each query (query, id: its own node).
 
     A query starts at its node. In each round the neighbours, either way, of its `widen` nearest nodes not yet looked
@@ -135,13 +160,12 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 6
         for d, i in todo:
             found[i] = d, True
         if len(right):
-            diff = matrix(right["vec"]) - np.frombuffer(row["qvec"], np.float32)
-            for i, d in zip(right["id"].tolist(), (diff * diff).sum(1, dtype=np.float64).tolist(), strict=True):
+            for i, d in zip(right["id"].tolist(), squared(matrix(right["vec"]), np.frombuffer(row["qvec"], np.float32)).tolist(), strict=True):
                 found.setdefault(i, (d, False))
         best = sorted((d, i, done) for i, (d, done) in found.items())[:beam]
         return pd.DataFrame({"query": [row["query"]], "qvec": [row["qvec"]], "beam": [[{"id": i, "d": d, "done": done} for d, i, done in best]]})
 
-    for _ in range(rounds):
+    while True:
         open_ = F.slice(F.array_sort(F.filter(F.transform("beam", lambda x: F.struct(x["d"].alias("d"), x["id"].alias("id"), x["done"].alias("done"))), lambda x: ~x["done"])), 1, widen)
         frontier = state.select(F.col("query").alias("of"), F.explode(open_).alias("x")).select("of", F.col("x.id").alias("id"))
         if frontier.isEmpty():

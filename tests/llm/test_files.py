@@ -130,3 +130,20 @@ def test_neighbours_recall_and_odd_vectors(spark):
     few = neighbours.nearest_neighbours(df.where("vec_id in (0, 1, 2)"), lambda i: i % 100 == 0).orderBy("rank").collect()
     assert len(few) == 2 and [r.rank for r in few] == [1, 2] and few[0].score <= few[1].score
     assert neighbours.nearest_neighbours(none_of(df), lambda i: i % 100 == 0).count() == 0
+
+
+def test_search_looks_at_every_node_it_keeps(spark):
+    line = [(i, np.array([i], np.float32).tobytes()) for i in range(100)]
+    nodes = spark.createDataFrame(line, "id long, vec binary")
+    graph = spark.createDataFrame([(i, i + 1, 1.0, 1) for i in range(99)], "id long, nb long, d double, old int")
+    queries = spark.createDataFrame([(7, 0)], "query long, id long")
+    got = neighbours.search(graph, nodes, queries, beam=16).orderBy("d").collect()
+    assert [(r.query, r.id, r.d) for r in got] == [(7, i, float(i * i)) for i in range(16)]
+
+
+def test_descent_ends_when_no_edge_changes(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 12)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary")
+    graph = neighbours.build_graph(nodes)
+    assert neighbours.descend(graph, nodes, 14, 24)[0].where("old = 0").isEmpty()
+    assert graph.count() == graph.select("id", "nb").distinct().count() == 3000 * 14
