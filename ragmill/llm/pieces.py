@@ -175,9 +175,11 @@ class _Texts:
         self.tail = self.lexicon.where(F.col("n") < least).select("unit", "ids")
 
 
-def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 100_000) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 100_000, keep_text: bool = False) -> DataFrame:
     """The `carry` columns and ids: array<int>, the pieces of every whole text in order.
 
+    With keep_text also the text (empty for null) and sizes: array<int>, the number of pieces of each of its units.
+
     Each distinct unit is segmented once (lexicon()). At most `common` of the commonest units are sent to the tasks;
     a document's other units are joined to the lexicon and brought back to it by two shuffles in proportion to them.
 
@@ -203,63 +205,39 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
-            out = []
+            out, sizes = [], []
             for text, own in zip(batch["text"], batch["own"], strict=True):
                 extra = {x["unit"]: x["ids"] for x in own} if own is not None else {}
                 found = [known[u] if u in known else extra[u] for u in split(text)]
                 out.append(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))
-            yield batch[names].assign(ids=out)
+                sizes.append(np.array([len(x) for x in found], np.int32))
+            yield batch[names].assign(ids=out, text=batch["text"], sizes=sizes) if keep_text else batch[names].assign(ids=out)
 
     wanted = texts.rows.select("uid", "text").mapInPandas(rare, "uid long, unit string")
     own = wanted.join(texts.tail.hint("merge"), "unit").distinct().groupBy("uid").agg(F.collect_list(F.struct("unit", "ids")).alias("own"))
     joined = texts.rows.join(own.hint("merge"), "uid", "left")
-    return joined.mapInPandas(assemble, f"{fields}, ids array<int>").withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
+    whole = ", text string, sizes array<int>" if keep_text else ""
+    return joined.mapInPandas(assemble, f"{fields}, ids array<int>{whole}").withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
 
 
-def piece_digest(docs: DataFrame, model: str = MODEL, common: int = 200_000) -> DataFrame:
-    """doc_id, n_units, n_pieces, piece_sum and round_trip of every whole text, without moving the texts.
+def piece_digest(docs: DataFrame, model: str = MODEL, common: int = 100_000) -> DataFrame:
+    """doc_id, n_units, n_pieces, piece_sum and round_trip of every whole text, from the ids that encode() gives it.
 
-    piece_sum adds up, over units p (from 1) and their pieces j (from 1), p * j * (id + 1): a checksum of ids() in
-    order that can be summed by parts, so rare units are joined to the lexicon as (document, unit, sum of p) rows.
-    round_trip says that every unit's pieces decode to it, so the text does. Edge cases as in encode().
+    piece_sum adds up, over units p (from 1) and their pieces j (from 1), p * j * (id + 1): a checksum of the ids in
+    order. round_trip says that the document's ids decode to its text. Edge cases as in encode(); a text with a literal
+    word mark has no round trip.
     """
-    texts = _Texts(docs, model, common, ("doc_id",))
-    pieces = decoder(model)
-    table = docs.sparkSession.sparkContext.broadcast(pieces)
-
-    @F.pandas_udf("boolean")
-    def decodes(unit: pd.Series, ids: pd.Series) -> pd.Series:
-        bytes_of = table.value
-        return pd.Series([b"".join([bytes_of[i] for i in x]).decode(errors="replace") == u.replace("▁", " ") for u, x in zip(unit, ids, strict=True)])
-
-    weight = F.aggregate(F.transform("ids", lambda x, j: (x + 1).cast("long") * (j + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    measured = texts.lexicon.select("unit", "n", F.size("ids").cast("long").alias("k"), weight.alias("w"), decodes("unit", "ids").alias("ok"))
-    common_rows = measured.where(F.col("n") >= texts.least).toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((dict(zip(common_rows["unit"], range(len(common_rows)), strict=True)), common_rows[["k", "w", "ok"]].to_numpy(np.int64)))
-    pattern = re.compile(UNIT)
+    shared = docs.sparkSession.sparkContext.broadcast(decoder(model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, values = shared.value
-        for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
+        table = shared.value
+        for batch in batches:
             out = []
-            for uid, doc_id, text in zip(batch["uid"], batch["_0"], batch["text"], strict=True):
-                found = pattern.findall("▁" + text.replace(" ", "▁")) if text else []
-                at = np.array([place.get(u, -1) for u in found], np.int64)
-                hit = at >= 0
-                v = values[at[hit]] if hit.any() else np.zeros((0, 3), np.int64)
-                out.append((uid, doc_id, None, len(found), int(v[:, 0].sum()), int((v[:, 1] * (np.flatnonzero(hit) + 1)).sum()), bool(v[:, 2].all())))
-                rest: dict[str, list[int]] = {}
-                for p in np.flatnonzero(~hit).tolist():
-                    r = rest.setdefault(found[p], [0, 0])
-                    r[0] += 1
-                    r[1] += p + 1
-                out += [(uid, doc_id, u, r[0], 0, r[1], True) for u, r in rest.items()]
-            yield pd.DataFrame(out, columns=["uid", "doc_id", "unit", "n", "k", "w", "ok"]).astype({"doc_id": "Int64"})
-
-    # numbers of rows need only be unique within what is stored, which one task makes from each row
-    parts = stored(texts.rows.select(F.monotonically_increasing_id().alias("uid"), "_0", "text").mapInPandas(run, "uid long, doc_id long, unit string, n long, k long, w long, ok boolean"), "piece-parts")
-    rare = parts.where("unit is not null").select("uid", "unit", "n", F.col("w").alias("p"))
-    rare = rare.join(measured.where(F.col("n") < texts.least).drop("n").hint("merge"), "unit").groupBy("uid").agg(F.sum(F.col("n") * F.col("k")).alias("k2"), F.sum(F.col("p") * F.col("w")).alias("w2"), F.bool_and("ok").alias("ok2"))
-    whole = parts.where("unit is null").drop("unit").join(rare.hint("merge"), "uid", "left")
-    zero = F.lit(0).cast("long")
-    return whole.select("doc_id", F.col("n").alias("n_units"), (F.col("k") + F.coalesce("k2", zero)).alias("n_pieces"), (F.col("w") + F.coalesce("w2", zero)).alias("piece_sum"), (F.col("ok") & F.coalesce("ok2", F.lit(True))).alias("round_trip"))
+            for text, ids, sizes in zip(batch["text"], batch["ids"], batch["sizes"], strict=True):
+                ids, sizes = np.asarray(ids, np.int64), np.asarray(sizes, np.int64)
+                unit = np.repeat(np.arange(1, len(sizes) + 1), sizes)
+                place = np.arange(1, len(ids) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                out.append((len(sizes), len(ids), int((unit * place * (ids + 1)).sum()), decode_ids(ids.tolist(), table) == text))
+            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_units", "n_pieces", "piece_sum", "round_trip"])], axis=1)
+
+    return encode(docs, model, common=common, keep_text=True).mapInPandas(run, "doc_id long, n_units long, n_pieces long, piece_sum long, round_trip boolean")

@@ -9,7 +9,7 @@ import pytest
 from helpers import awkward, none_of
 from pyspark.sql import functions as F
 
-from ragmill.llm import neighbours, pieces, warc
+from ragmill.llm import neighbours, pieces, registry, warc
 from ragmill.llm.common import scratch
 
 
@@ -147,3 +147,12 @@ def test_descent_ends_when_no_edge_changes(spark):
     graph = neighbours.build_graph(nodes)
     assert neighbours.descend(graph, nodes, 14, 24)[0].where("old = 0").isEmpty()
     assert graph.count() == graph.select("id", "nb").distinct().count() == 3000 * 14
+
+
+def test_round_trip_is_that_of_the_document(spark, tmp_path):
+    rows = [(1, "a plain text"), (2, "a literal \u2581 mark"), (3, "\u2581first"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op9_pieces(spark, str(tmp_path)).collect()}
+    assert {i: r.round_trip for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True}
+    ids = {r.doc_id: r.ids for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.n_pieces for i, r in got.items()} == {i: len(x) for i, x in ids.items()}
