@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,8 +17,10 @@ from .common import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A unit is a run of word marks with what follows them, or a line feed. No piece of a model that splits at white space
-#: reaches over a unit's end. Runs of over 200 characters are cut, which bounds the lattice; decoding doesn't notice.
-UNIT = r"▁{0,200}[^▁\n]{1,200}|▁{1,200}|\n"
+#: reaches over a unit's end, so units are never cut, however long.
+UNIT = r"▁*[^▁\n]+|▁+|\n"
+#: Units of more characters are segmented one at a time, in memory in proportion to them, and not as rows of edges.
+LONG = 200
 
 
 def piece_scores(model: str = MODEL) -> list[tuple[str, int, int]]:
@@ -75,21 +78,45 @@ def units(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"({UNIT})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
 
+def best_path(unit: str, known: dict[str, tuple[int, int]], prefixes: set[str], worst: int) -> list[int]:
+    """The best segmentation of a long unit, as lexicon() has it: ids, and -1 - its place for a character without a piece."""
+    low = -(1 << 62)
+    best, back, edge = array("q", [low]) * (len(unit) + 1), array("q", [0]) * (len(unit) + 1), array("q", [0]) * (len(unit) + 1)
+    best[0] = 0
+    for start in range(len(unit)):
+        for end in range(start + 1, len(unit) + 1):
+            part = unit[start:end]
+            hit = known.get(part)
+            if hit is None and end == start + 1:
+                hit = (-1 - start, worst)
+            if hit is not None and best[start] + hit[1] > best[end]:
+                best[end], back[end], edge[end] = best[start] + hit[1], start, hit[0]
+            if part not in prefixes:
+                break
+    path, end = [], len(unit)
+    while end:
+        path.append(edge[end])
+        end = back[end]
+    return path[::-1]
+
+
 def lexicon(counted: DataFrame, model: str = MODEL) -> DataFrame:
     """unit, n, ids: the best segmentation of every distinct unit of `counted` (unit, n; spread by unit).
 
     Substrings up to the longest piece are exploded and joined to the piece table; the edges of a unit are grouped (it
     is where its row was, so nothing moves) and a fold over them, in order of their ends, keeps each end's best score
     and edge. Ties go to the longer last piece. A character that no piece has is an edge of its UTF-8 bytes' pieces,
-    worse than any other.
+    worse than any other. Units of over LONG characters make no edges; best_path() has the same rules.
     """
     spark = counted.sparkSession
     pieces = piece_table(spark, model)
+    shared = spark.sparkContext.broadcast({p: (i, s) for p, i, s in useful(piece_scores(model))})
     scores = piece_scores(model)
     longest, worst, first_byte = max(len(p) for p, _, _ in scores), 4 * min(s for _, _, s in scores), byte_ids(model)
     n = F.length("unit")
-    starts = counted.select("unit", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    ends = starts.select("unit", "n", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).alias("end"))
+    short = n <= LONG
+    starts = counted.select("unit", "n", F.explode(F.when(short, F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.lit(0)))).alias("start"))
+    ends = starts.select("unit", "n", "start", F.explode(F.when(short, F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).otherwise(F.array(F.lit(1)))).alias("end"))
     parts = ends.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(pieces), "piece", "left").where((F.col("end") == F.col("start") + 1) | F.col("id").isNotNull())
     edge = F.struct("end", "start", F.coalesce("id", -1 - F.col("start")).alias("id"), F.coalesce("score", F.lit(worst)).cast("long").alias("score"))
@@ -105,7 +132,13 @@ def lexicon(counted: DataFrame, model: str = MODEL) -> DataFrame:
         better = F.struct(F.concat(F.slice(acc["best"], 1, known - 1), F.array(score)).alias("best"), F.concat(F.slice(acc["paths"], 1, known - 1), path).alias("paths"))
         return F.when(e["end"] == known, longer).when(score > F.element_at(acc["best"], -1), better).otherwise(acc)
 
-    found = grouped.select("unit", "n", F.aggregate("edges", init, step, lambda a: F.element_at(a["paths"], -1)).alias("path"))
+    @F.pandas_udf("array<int>")
+    def long_path(unit: pd.Series) -> pd.Series:
+        prefixes = {p[:k] for p in shared.value for k in range(1, len(p))} if unit.notna().any() else set()
+        return pd.Series([best_path(u, shared.value, prefixes, worst) if u is not None else None for u in unit], dtype=object)
+
+    folded = F.when(short, F.aggregate("edges", init, step, lambda a: F.element_at(a["paths"], -1)))
+    found = grouped.select("unit", "n", folded.alias("short"), long_path(F.when(~short, F.col("unit"))).alias("long")).select("unit", "n", F.coalesce("short", "long").alias("path"))
     # a character without a piece is in the path as -1 - its place
     code = lambda x: F.hex(F.encode(F.substring("unit", -x, F.lit(1)), "UTF-8"))
     as_bytes = lambda x: F.transform(F.sequence(F.lit(0), (F.length(code(x)) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code(x), i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte)

@@ -156,3 +156,15 @@ def test_round_trip_is_that_of_the_document(spark, tmp_path):
     assert {i: r.round_trip for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True}
     ids = {r.doc_id: r.ids for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.n_pieces for i, r in got.items()} == {i: len(x) for i, x in ids.items()}
+
+
+def test_long_runs_as_the_library_segments_them(spark, unigram):
+    rng = random.Random(6)
+    runs = ["".join(rng.choice(["the", "and", "repre", "sent", "ation", "house", "日", "é", "A1"]) for _ in range(n)) for n in (80, 120, 400, 1600)]
+    runs = [r[:5000] for r in runs] + ["abc" * 67, "x" * 5000]
+    assert all(len(r) > 200 for r in runs)
+    score = {i: s for _, i, s in pieces.piece_scores()}
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    for r in pieces.encode(docs).collect():
+        lib = unigram.encode(runs[r.doc_id])
+        assert r.ids == lib or sum(score.get(i, -99_999) for i in r.ids) == sum(score.get(i, -99_999) for i in lib)
