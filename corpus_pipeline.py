@@ -24,11 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the least id (of rows that repeat it, one)."""
-    kept = neardup.near_duplicates(docs).where("kept").select(row_id("doc_id").alias("_kept")).distinct()
+    """One row of each component: of those kept under its least id, that with the most shingles, then the least hash."""
+    row = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    kept = neardup.near_duplicates(docs, mark=row).where("kept")
+    kept = kept.groupBy(row_id("doc_id").alias("_kept")).agg(F.min(F.struct((-F.col("n_shingles")).alias("n"), "row"))["row"].alias("_row"))
     kept = stored(kept, "pipeline-kept")
-    out = docs.join(kept.hint("merge"), row_id("doc_id") == F.col("_kept"), "left_semi")
-    return out.select(*COLUMNS)
+    out = docs.join(kept.hint("merge"), (row_id("doc_id") == F.col("_kept")) & (row == F.col("_row")))
+    return out.dropDuplicates(["_kept", "_row"]).select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

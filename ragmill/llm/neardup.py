@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOW, U64, mix64, prefix_hashes, span_hashes, stored
@@ -102,8 +102,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (half - np.sqrt(np.maximum(half * half - 4 * m * same * (u * v) ** 2, 0))) / (2 * m * u * v)
 
 
-def sketched(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id (null as LOW), n shingles, key (digest of the set, null if empty) and sketch of every whole text."""
+def sketched(docs: DataFrame, words: int = 5, mark: Column | None = None) -> DataFrame:
+    """doc_id (null as LOW), n shingles, key (digest of the set, null if empty) and sketch of every whole text; mark, if any, as row."""
+    carried = [] if mark is None else ["row"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -115,10 +116,10 @@ def sketched(docs: DataFrame, words: int = 5) -> DataFrame:
                 if full:
                     for i, r in zip(full, registers(minima([sets[i] for i in full])), strict=True):
                         sketch[i], key[i] = r.tobytes(), hashlib.blake2b(sets[i], digest_size=16).digest()
-                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": [x.size for x in sets], "key": key, "sketch": sketch})
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n": [x.size for x in sets], "key": key, "sketch": sketch} | {c: batch[c].to_numpy() for c in carried})
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long")).alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id long, n long, key binary, sketch binary")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long")).alias("doc_id"), "text", *[mark.alias(c) for c in carried])
+    return rows.mapInPandas(run, "doc_id long, n long, key binary, sketch binary" + "".join(f", {c} long" for c in carried))
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -290,10 +291,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("c").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin: float = 0.2, mark: Column | None = None) -> DataFrame:
     """Link documents (doc_id, text) whose shingle sets have 100 * intersection >= percent * union.
 
-    Returns doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is that document).
+    Returns doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is that document);
+    mark (a long of each row, to tell rows that share an id), if given, comes as row.
 
     Equal sets are one class, made by a pre-aggregated grouping, so copies never meet as pairs. Classes that agree on
     a band share a bucket. First each bucket's least class, its leader, meets the others, which joins a large group
@@ -307,7 +309,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin:
     own n_shingles. An empty table gives no rows. Other columns are ignored.
     """
     least = percent / 100 - margin
-    rows = stored(sketched(docs, words), "near-sketches")
+    rows = stored(sketched(docs, words, mark), "near-sketches")
     classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
     profiles = classes.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     bands = banded(classes)
@@ -329,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin:
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    out = rows.select("doc_id", "n", "key").join(classes.select("key", "id").hint("merge"), "key", "left").join(labels.hint("merge"), "id", "left")
+    out = rows.drop("sketch").join(classes.select("key", "id").hint("merge"), "key", "left").join(labels.hint("merge"), "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     named = lambda c: F.nullif(c, F.lit(LOW).cast("long"))
-    return out.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), *([] if mark is None else ["row"]))

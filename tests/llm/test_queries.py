@@ -25,3 +25,11 @@ def test_pipeline_stages(spark):
     words = lambda df: df.selectExpr("sum(regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+')) as n").first().n
     assert abs(words(mixed) - 1.5 * words(cut)) < 0.1 * words(cut)
     assert encoded.count() == mixed.count() and encoded.where("n_pieces <> size(ids)").isEmpty()
+
+
+def test_near_duplicate_stage_keeps_one_row_of_a_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a), (2, b), (5, b), (5, c), (5, c), (6, c), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, DATA).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, a), (2, b), (5, c), (7, "")]
