@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -67,15 +69,16 @@ def byte_ids(model: str = MODEL) -> int:
     return first if sp.is_byte(first) else -1
 
 
-def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
-    """piece, id, score of the useful pieces: at most as many rows as the vocabulary, which is what bounds their broadcast."""
-    return spark.createDataFrame(pd.DataFrame(useful(piece_scores(model)), columns=["piece", "id", "score"]), "piece string, id int, score long")
+def split_units(text: str, pattern: re.Pattern = re.compile(UNIT)) -> list[str]:
+    """The units of a text after SentencePiece's mark for spaces, with one before the first word; none of an empty text.
 
-
-def units(text: Column) -> Column:
-    """The units of a text after SentencePiece's mark for spaces, with one before the first word; none of an empty text."""
-    marked = F.concat(F.lit("▁"), F.translate(text, " ", "▁"))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"({UNIT})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    Texts whose spaces stand alone, as most do, need no regular expression.
+    """
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or "▁" in text:
+        return pattern.findall("▁" + text.replace(" ", "▁"))
+    return [u for u in ("▁" + text.replace(" ", " ▁").replace("\n", " \n ")).split(" ") if u]
 
 
 def best_path(unit: str, known: dict[str, tuple[int, int]], prefixes: set[str], worst: int) -> list[int]:
@@ -100,50 +103,78 @@ def best_path(unit: str, known: dict[str, tuple[int, int]], prefixes: set[str],
     return path[::-1]
 
 
-def lexicon(counted: DataFrame, model: str = MODEL) -> DataFrame:
-    """unit, n, ids: the best segmentation of every distinct unit of `counted` (unit, n; spread by unit).
+def reaches(scores: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
+    """The first two characters of the pieces, and how long the longest piece that begins with them is."""
+    longest: dict[str, int] = {}
+    for piece, _, _ in scores:
+        if len(piece) > 1:
+            longest[piece[:2]] = max(longest.get(piece[:2], 0), len(piece))
+    return list(longest.items())
+
+
+#: Places of the fields of a packed edge: score, 255 - start and id, from the highest bits down.
+SCORE, START = 1 << 30, 1 << 22
+
+
+def lexicon(distinct: DataFrame, model: str = MODEL) -> DataFrame:
+    """unit, ids: the best segmentation of every unit of `distinct` (unit; no repeats, spread by unit).
 
-    Substrings up to the longest piece are exploded and joined to the piece table; the edges of a unit are grouped (it
-    is where its row was, so nothing moves) and a fold over them, in order of their ends, keeps each end's best score
-    and edge. Ties go to the longer last piece. A character that no piece has is an edge of its UTF-8 bytes' pieces,
-    worse than any other. Units of over LONG characters make no edges; best_path() has the same rules.
+    Substrings, each no longer than the longest piece with its first two characters, are exploded and joined to the
+    piece table; the edges of a unit are grouped (it is where its row was, so nothing moves) and a fold over them, in
+    order of their ends, keeps the best edge into each end with its score. The path is read backwards from there. Ties
+    go to the longer last piece. A character that no piece has is an edge of its UTF-8 bytes' pieces, worse than any
+    other. Units of over LONG characters make no edges; best_path() has the same rules.
+
+    An edge is a number, score * SCORE + (255 - start) * START + id, so that the greatest is the best one; scores are
+    in thousandths and at most LONG of them add up, ids are below START.
     """
-    spark = counted.sparkSession
-    pieces = piece_table(spark, model)
-    shared = spark.sparkContext.broadcast({p: (i, s) for p, i, s in useful(piece_scores(model))})
+    spark = distinct.sparkSession
     scores = piece_scores(model)
-    longest, worst, first_byte = max(len(p) for p, _, _ in scores), 4 * min(s for _, _, s in scores), byte_ids(model)
-    n = F.length("unit")
-    short = n <= LONG
-    starts = counted.select("unit", "n", F.explode(F.when(short, F.sequence(F.lit(0), n - 1)).otherwise(F.array(F.lit(0)))).alias("start"))
-    ends = starts.select("unit", "n", "start", F.explode(F.when(short, F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).otherwise(F.array(F.lit(1)))).alias("end"))
-    parts = ends.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
+    kept = useful(scores)
+    worst, first_byte, unknown = 4 * min(s for _, _, s in scores), byte_ids(model), START - 1
+    pieces = spark.createDataFrame(pd.DataFrame(kept, columns=["piece", "id", "score"]), "piece string, id int, score long")
+    reach = spark.createDataFrame(pd.DataFrame(reaches(kept), columns=["two", "reach"]), "two string, reach int")
+    shared = spark.sparkContext.broadcast({p: (i, s) for p, i, s in kept})
+    short = F.length("unit") <= LONG
+    starts = distinct.select("unit", F.length("unit").alias("n"), F.explode(F.when(short, F.sequence(F.lit(0), F.length("unit") - 1)).otherwise(F.array(F.lit(0)))).alias("start"))
+    starts = starts.withColumn("two", F.substring("unit", F.col("start") + 1, F.lit(2))).join(F.broadcast(reach), "two", "left")
+    last = F.when(F.col("n") > LONG, F.lit(1)).otherwise(F.least(F.col("start") + F.coalesce("reach", F.lit(1)), F.col("n")))
+    parts = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, last)).alias("end"))
+    parts = parts.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(pieces), "piece", "left").where((F.col("end") == F.col("start") + 1) | F.col("id").isNotNull())
-    edge = F.struct("end", "start", F.coalesce("id", -1 - F.col("start")).alias("id"), F.coalesce("score", F.lit(worst)).cast("long").alias("score"))
-    grouped = edges.groupBy("unit", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    none = F.array().cast("array<int>")
-    init = F.struct(F.array(F.lit(0).cast("long")).alias("best"), F.array(none).alias("paths"))
-
-    def step(acc: Column, e: Column) -> Column:
-        score = F.element_at(acc["best"], e["start"] + 1) + e["score"]
-        path = F.array(F.concat(F.element_at(acc["paths"], e["start"] + 1), F.array(e["id"])))
-        known = F.size(acc["best"])
-        longer = F.struct(F.concat(acc["best"], F.array(score)).alias("best"), F.concat(acc["paths"], path).alias("paths"))
-        better = F.struct(F.concat(F.slice(acc["best"], 1, known - 1), F.array(score)).alias("best"), F.concat(F.slice(acc["paths"], 1, known - 1), path).alias("paths"))
-        return F.when(e["end"] == known, longer).when(score > F.element_at(acc["best"], -1), better).otherwise(acc)
+    value = F.coalesce("score", F.lit(worst)).cast("long") * F.lit(SCORE) + (255 - F.col("start")) * F.lit(START) + F.coalesce("id", F.lit(unknown))
+    # grouped by a hash first: comparing numbers sorts faster than comparing words
+    grouped = edges.select("unit", F.struct("end", "start", value.alias("value")).alias("edge")).groupBy(F.xxhash64("unit").alias("h"), "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+    def step(best: Column, e: Column) -> Column:
+        value = F.get(best, e["start"]).bitwiseAND(F.lit(-SCORE)) + e["value"]
+        known = F.size(best)
+        put = lambda before: F.concat(before, F.array(value))
+        return F.when(e["end"] == known, put(best)).when(value > F.get(best, known - 1), put(F.slice(best, 1, known - 1))).otherwise(best)
+
+    folded = grouped.select("unit", F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("best"))
+
+    def back(at: Column, place: Column) -> Column:
+        value = F.get(F.col("best"), place)
+        start = (255 - F.shiftright(value, 22).bitwiseAND(F.lit(255))).cast("int")
+        id_ = value.bitwiseAND(F.lit(START - 1)).cast("int")
+        # a character without a piece is in the path as -1 - its place
+        path = F.concat(F.array(F.when(id_ == unknown, -1 - start).otherwise(id_)), at["path"])
+        return F.when(at["at"] == place, F.struct(start.alias("at"), path.alias("path"))).otherwise(at)
 
     @F.pandas_udf("array<int>")
     def long_path(unit: pd.Series) -> pd.Series:
         prefixes = {p[:k] for p in shared.value for k in range(1, len(p))} if unit.notna().any() else set()
         return pd.Series([best_path(u, shared.value, prefixes, worst) if u is not None else None for u in unit], dtype=object)
 
-    folded = F.when(short, F.aggregate("edges", init, step, lambda a: F.element_at(a["paths"], -1)))
-    found = grouped.select("unit", "n", folded.alias("short"), long_path(F.when(~short, F.col("unit"))).alias("long")).select("unit", "n", F.coalesce("short", "long").alias("path"))
-    # a character without a piece is in the path as -1 - its place
+    n = F.size("best") - 1
+    ends = F.struct(n.alias("at"), F.array().cast("array<int>").alias("path"))
+    walked = F.when(short, F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), ends, back, lambda at: at["path"]))
+    found = folded.select("unit", walked.alias("short"), long_path(F.when(~short, F.col("unit"))).alias("long")).select("unit", F.coalesce("short", "long").alias("path"))
     code = lambda x: F.hex(F.encode(F.substring("unit", -x, F.lit(1)), "UTF-8"))
     as_bytes = lambda x: F.transform(F.sequence(F.lit(0), (F.length(code(x)) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code(x), i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte)
     spelt = F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(as_bytes(x) if first_byte >= 0 else F.array(F.lit(0)))))
-    return found.select("unit", "n", F.when(F.exists("path", lambda x: x < 0), spelt).otherwise(F.col("path")).alias("ids"))
+    return found.select("unit", F.when(F.exists("path", lambda x: x < 0), spelt).otherwise(F.col("path")).alias("ids"))
 
 
 def decoder(model: str = MODEL) -> tuple[list[bytes], np.ndarray]:
@@ -170,107 +201,126 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def count_units(rows: DataFrame) -> DataFrame:
-    """unit, n: every distinct unit of the texts (see units()), counted in the tasks first."""
-    pattern = re.compile(UNIT)
+def recurring_units(rows: DataFrame, held: int = 200_000) -> DataFrame:
+    """unit, n: units of the texts that occur twice or more in a task's stretch of `held` distinct ones, and how often.
+
+    It tells which units are worth sending to all tasks; what it leaves out is joined, so it decides no result.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
+
+        def often() -> pd.DataFrame:
+            twice = [(u, n) for u, n in counts.items() if n > 1]
+            counts.clear()
+            return pd.DataFrame(twice, columns=["unit", "n"])
+
         for batch in batches:
             for text in batch["text"]:
-                if text:
-                    counts.update(pattern.findall("▁" + text.replace(" ", "▁")))
-                if len(counts) > 100_000:
-                    yield pd.DataFrame({"unit": list(counts), "n": list(counts.values())})
-                    counts.clear()
-        if counts:
-            yield pd.DataFrame({"unit": list(counts), "n": list(counts.values())})
+                counts.update(split_units(text))
+                if len(counts) > held:
+                    yield often()
+        yield often()
 
     return rows.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-class _Texts:
-    """A corpus with its lexicon: the `common` units, at most, go to every task; the others are joined."""
-
-    def __init__(self, docs: DataFrame, model: str, common: int, carry: tuple[str, ...]):
-        self.carry = carry
-        text = F.coalesce("text", F.lit(""))
-        self.rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)], text.alias("text"))
-        self.rows = self.rows.withColumn("uid", F.xxhash64(*[f"_{i}" for i in range(len(carry))], "text"))
-        self.lexicon = stored(lexicon(count_units(self.rows), model), "piece-lexicon")
-        # how often the rarest common unit occurs; counts of counts are few
-        least, total = 1 << 62, 0
-        for n, k in self.lexicon.groupBy("n").count().orderBy(F.desc("n")).limit(common).collect():
-            if total + k > common:
-                break
-            least, total = n, total + k
-        self.least = least
-        self.tail = self.lexicon.where(F.col("n") < least).select("unit", "ids")
+def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """At most `most` of the commonest units by number, with the ids of number i at ids[ends[i] : ends[i + 1]]."""
+    counted = stored(recurring_units(rows), "piece-units")
+    # how often the rarest of them occurs; counts of counts are few
+    least, total = 1 << 62, 0
+    for n, k in counted.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
+        if total + k > most:
+            break
+        least, total = n, total + k
+    found = stored(lexicon(counted.where(F.col("n") >= least).select("unit").repartition("unit"), model), "piece-lexicon").toPandas()
+    ends = np.zeros(len(found) + 1, np.int64)
+    np.cumsum([len(x) for x in found["ids"]], out=ends[1:])
+    ids = np.concatenate(found["ids"].to_list()).astype(np.int32) if len(found) else np.zeros(0, np.int32)
+    return {u: i for i, u in enumerate(found["unit"])}, ids, ends
+
+
+def numbered(text: str, known: dict[str, int]) -> tuple[list[int], dict[str, int]]:
+    """A text as numbers of its units: known ones by `known`, others from len(known) on, in the order they come up in."""
+    found, own = [], {}
+    for u in split_units(text):
+        i = known.get(u)
+        found.append(len(known) + own.setdefault(u, len(own)) if i is None else i)
+    return found, own
+
+
+def spelled(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: list[np.ndarray]) -> np.ndarray:
+    """The ids of a document's unit numbers: those below the number of common units from `flat`, the others from `mine`."""
+    n = ends.size - 1
+    own = codes >= n
+    begin, size = np.zeros(codes.size, np.int64), np.zeros(codes.size, np.int64)
+    low = codes[~own]
+    begin[~own], size[~own] = ends[low], ends[low + 1] - ends[low]
+    if mine:
+        sizes = np.array([len(x) for x in mine])
+        begin[own] = (np.cumsum(sizes) - sizes)[codes[own] - n]
+        size[own] = sizes[codes[own] - n]
+    before = np.cumsum(size) - size
+    place = np.arange(size.sum()) + np.repeat(begin - before, size)
+    if not mine:
+        return flat[place]
+    of_own, out = np.repeat(own, size), np.empty(place.size, np.int32)
+    out[of_own] = np.concatenate(mine)[place[of_own]]
+    out[~of_own] = flat[place[~of_own]]
+    return out
 
 
-def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 100_000, keep_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 200_000, check: bool = False) -> DataFrame:
     """The `carry` columns and ids: array<int>, the pieces of every whole text in order.
 
-    With keep_text also the text (empty for null) and sizes: array<int>, the number of pieces of each of its units.
+    With `check` also n_units and round_trip: whether the ids decode to the text (by its MD5).
 
-    Each distinct unit is segmented once (lexicon()). At most `common` of the commonest units are sent to the tasks;
-    a document's other units are joined to the lexicon and brought back to it by two shuffles in proportion to them.
+    Each distinct unit is segmented by lexicon(). At most `common` of the commonest units are sent to the tasks. A
+    document's other units go to the partition of their unit, where each is segmented once, and their ids go back to
+    the document; it is waiting not as text but as compressed numbers of its units, which are smaller.
 
     Null and empty texts have no pieces. A literal word mark in a text decodes to a space, as in SentencePiece itself.
     Repeated rows are encoded alike. An empty table gives no rows; other columns are ignored.
     """
-    texts = _Texts(docs, model, common, carry)
-    common_rows = texts.lexicon.where(F.col("n") >= texts.least).select("unit", "ids").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(common_rows["unit"], [np.asarray(x, np.int32) for x in common_rows["ids"]], strict=True)))
-    pattern = re.compile(UNIT)
-    names = [c for c in texts.rows.columns if c.startswith("_")]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.rows.schema.fields if f.name in names)
-
-    def split(text: str) -> list[str]:
-        return pattern.findall("▁" + text.replace(" ", "▁")) if text else []
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)], text)
+    names = [f"_{i}" for i in range(len(carry))]
+    # 128 bits tell documents apart; rows that agree in them have the same text
+    rows = rows.withColumns({"u1": F.xxhash64(*names, "text"), "u2": F.xxhash64(F.lit(1), *names, "text"), "md5": F.unhex(F.md5("text"))})
+    index, flat, ends = common_units(rows, model, common)
+    known, table = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast((flat, ends, decoder(model)))
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
-            out = [(uid, u) for uid, text in zip(batch["uid"], batch["text"], strict=True) for u in set(split(text)) if u not in known]
-            yield pd.DataFrame(out, columns=["uid", "unit"])
+            out = [(u1, u2, k, u) for u1, u2, text in zip(batch["u1"], batch["u2"], batch["text"], strict=True) for u, k in numbered(text, known.value)[1].items()]
+            yield pd.DataFrame(out, columns=["u1", "u2", "k", "unit"])
 
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
-            out, sizes = [], []
-            for text, own in zip(batch["text"], batch["own"], strict=True):
-                extra = {x["unit"]: x["ids"] for x in own} if own is not None else {}
-                found = [known[u] if u in known else extra[u] for u in split(text)]
-                out.append(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))
-                sizes.append(np.array([len(x) for x in found], np.int32))
-            yield batch[names].assign(ids=out, text=batch["text"], sizes=sizes) if keep_text else batch[names].assign(ids=out)
-
-    wanted = texts.rows.select("uid", "text").mapInPandas(rare, "uid long, unit string")
-    own = wanted.join(texts.tail.hint("merge"), "unit").distinct().groupBy("uid").agg(F.collect_list(F.struct("unit", "ids")).alias("own"))
-    joined = texts.rows.join(own.hint("merge"), "uid", "left")
-    whole = ", text string, sizes array<int>" if keep_text else ""
-    return joined.mapInPandas(assemble, f"{fields}, ids array<int>{whole}").withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
-
-
-def piece_digest(docs: DataFrame, model: str = MODEL, common: int = 100_000) -> DataFrame:
-    """doc_id, n_units, n_pieces, piece_sum and round_trip of every whole text, from the ids that encode() gives it.
-
-    piece_sum adds up, over units p (from 1) and their pieces j (from 1), p * j * (id + 1): a checksum of the ids in
-    order. round_trip says that the document's ids decode to its text. Edge cases as in encode(); a text with a literal
-    word mark has no round trip.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(decoder(model))
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = [zlib.compress(np.array(numbered(text, known.value)[0], np.int32).tobytes(), 1) for text in batch["text"]]
+            yield batch[[*names, "u1", "u2", "md5"]].assign(codes=codes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat, ends, pieces = table.value
         for batch in batches:
-            out = []
-            for text, ids, sizes in zip(batch["text"], batch["ids"], batch["sizes"], strict=True):
-                ids, sizes = np.asarray(ids, np.int64), np.asarray(sizes, np.int64)
-                unit = np.repeat(np.arange(1, len(sizes) + 1), sizes)
-                place = np.arange(1, len(ids) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                out.append((len(sizes), len(ids), int((unit * place * (ids + 1)).sum()), decode_ids(ids.tolist(), table) == text))
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_units", "n_pieces", "piece_sum", "round_trip"])], axis=1)
-
-    return encode(docs, model, common=common, keep_text=True).mapInPandas(run, "doc_id long, n_units long, n_pieces long, piece_sum long, round_trip boolean")
+            out, units, round_trip = [], [], []
+            for codes, own, md5 in zip(batch["codes"], batch["own"], batch["md5"], strict=True):
+                codes = np.frombuffer(zlib.decompress(codes), np.int32)
+                mine = [x["ids"] for x in sorted(own, key=lambda x: x["k"])] if own is not None else []
+                ids = spelled(codes, flat, ends, mine)
+                out.append(ids)
+                units.append(codes.size)
+                round_trip.append(check and hashlib.md5(decode_ids(ids.tolist(), pieces).encode()).digest() == md5)
+            done = batch[names].assign(ids=out)
+            yield done.assign(n_units=units, round_trip=round_trip) if check else done
+
+    tails = rows.select("u1", "u2", "text").mapInPandas(rare, "u1 long, u2 long, k int, unit string").repartition("unit").dropDuplicates()
+    found = lexicon(tails.select("unit").distinct(), model)
+    own = tails.join(found.hint("merge"), "unit").groupBy("u1", "u2").agg(F.collect_list(F.struct("k", "ids")).alias("own"))
+    waiting = rows.mapInPandas(shorten, f"{fields}u1 long, u2 long, md5 binary, codes binary")
+    extra = ", n_units long, round_trip boolean" if check else ""
+    out = waiting.join(own.hint("merge"), ["u1", "u2"], "left").mapInPandas(assemble, f"{fields}ids array<int>{extra}")
+    return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})

@@ -61,8 +61,9 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in pieces: how many, a checksum of them in order, and whether they decode to the text."""
-    return pieces.piece_digest(table(spark, sf_dir, "documents"))
+    """Every document in pieces: their ids, how many of them and of units there are, and whether they decode to the text."""
+    out = pieces.encode(table(spark, sf_dir, "documents"), check=True)
+    return out.select("doc_id", "n_units", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
