@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: A unit is a run of word marks with what follows them, or a line feed. No piece of a model that splits at white space
 #: reaches over a unit's end, so units are never cut, however long.
 UNIT = r"▁*[^▁\n]+|▁+|\n"
-#: Units of more characters are segmented one at a time, in memory in proportion to them, and not as rows of edges.
+#: Longer units, in characters, are segmented in their document's task by best_path(), in memory in proportion to them.
 LONG = 200
 
 
+@functools.cache
 def piece_scores(model: str = MODEL) -> list[tuple[str, int, int]]:
     """(piece, id, score) of the model's ordinary pieces, from its file alone.
 
@@ -45,11 +47,12 @@ def piece_scores(model: str = MODEL) -> list[tuple[str, int, int]]:
     return [(sp.id_to_piece(i), i, round(1000 * s)) for i, s in scores.items()]
 
 
-def useful(scores: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Those pieces that no sequence of others beats: the rest are in no best segmentation, so their edges needn't be made."""
-    known = {p: s for p, _, s in scores}
+@functools.cache
+def useful(model: str = MODEL) -> list[tuple[str, int, int]]:
+    """Those of piece_scores() that no sequence of others beats: the rest are in no best segmentation, so their edges needn't be made."""
+    known = {p: s for p, _, s in piece_scores(model)}
     out = []
-    for piece, i, own in scores:
+    for piece, i, own in piece_scores(model):
         best = [0] + [-(1 << 60)] * len(piece)
         for end in range(1, len(piece) + 1):
             for start in range(end):
@@ -82,7 +85,7 @@ def split_units(text: str, pattern: re.Pattern = re.compile(UNIT)) -> list[str]:
 
 
 def best_path(unit: str, known: dict[str, tuple[int, int]], prefixes: set[str], worst: int) -> list[int]:
-    """The best segmentation of a long unit, as lexicon() has it: ids, and -1 - its place for a character without a piece."""
+    """The best segmentation of a long unit, by the rules of lexicon(): ids, and -1 - its place for a character without a piece."""
     low = -(1 << 62)
     best, back, edge = array("q", [low]) * (len(unit) + 1), array("q", [0]) * (len(unit) + 1), array("q", [0]) * (len(unit) + 1)
     best[0] = 0
@@ -117,28 +120,26 @@ SCORE, START = 1 << 30, 1 << 22
 
 
 def lexicon(distinct: DataFrame, model: str = MODEL) -> DataFrame:
-    """unit, ids: the best segmentation of every unit of `distinct` (unit; no repeats, spread by unit).
+    """unit, ids: the best segmentation of every unit of `distinct` (unit, of 1 to LONG characters; no repeats, spread by unit).
 
     Substrings, each no longer than the longest piece with its first two characters, are exploded and joined to the
     piece table; the edges of a unit are grouped (it is where its row was, so nothing moves) and a fold over them, in
     order of their ends, keeps the best edge into each end with its score. The path is read backwards from there. Ties
     go to the longer last piece. A character that no piece has is an edge of its UTF-8 bytes' pieces, worse than any
-    other. Units of over LONG characters make no edges; best_path() has the same rules.
+    other.
 
     An edge is a number, score * SCORE + (255 - start) * START + id, so that the greatest is the best one; scores are
     in thousandths and at most LONG of them add up, ids are below START.
     """
     spark = distinct.sparkSession
     scores = piece_scores(model)
-    kept = useful(scores)
+    kept = useful(model)
     worst, first_byte, unknown = 4 * min(s for _, _, s in scores), byte_ids(model), START - 1
     pieces = spark.createDataFrame(pd.DataFrame(kept, columns=["piece", "id", "score"]), "piece string, id int, score long")
     reach = spark.createDataFrame(pd.DataFrame(reaches(kept), columns=["two", "reach"]), "two string, reach int")
-    shared = spark.sparkContext.broadcast({p: (i, s) for p, i, s in kept})
-    short = F.length("unit") <= LONG
-    starts = distinct.select("unit", F.length("unit").alias("n"), F.explode(F.when(short, F.sequence(F.lit(0), F.length("unit") - 1)).otherwise(F.array(F.lit(0)))).alias("start"))
+    starts = distinct.select("unit", F.length("unit").alias("n"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start"))
     starts = starts.withColumn("two", F.substring("unit", F.col("start") + 1, F.lit(2))).join(F.broadcast(reach), "two", "left")
-    last = F.when(F.col("n") > LONG, F.lit(1)).otherwise(F.least(F.col("start") + F.coalesce("reach", F.lit(1)), F.col("n")))
+    last = F.least(F.col("start") + F.coalesce("reach", F.lit(1)), F.col("n"))
     parts = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, last)).alias("end"))
     parts = parts.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     edges = parts.join(F.broadcast(pieces), "piece", "left").where((F.col("end") == F.col("start") + 1) | F.col("id").isNotNull())
@@ -162,15 +163,9 @@ def lexicon(distinct: DataFrame, model: str = MODEL) -> DataFrame:
         path = F.concat(F.array(F.when(id_ == unknown, -1 - start).otherwise(id_)), at["path"])
         return F.when(at["at"] == place, F.struct(start.alias("at"), path.alias("path"))).otherwise(at)
 
-    @F.pandas_udf("array<int>")
-    def long_path(unit: pd.Series) -> pd.Series:
-        prefixes = {p[:k] for p in shared.value for k in range(1, len(p))} if unit.notna().any() else set()
-        return pd.Series([best_path(u, shared.value, prefixes, worst) if u is not None else None for u in unit], dtype=object)
-
     n = F.size("best") - 1
     ends = F.struct(n.alias("at"), F.array().cast("array<int>").alias("path"))
-    walked = F.when(short, F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), ends, back, lambda at: at["path"]))
-    found = folded.select("unit", walked.alias("short"), long_path(F.when(~short, F.col("unit"))).alias("long")).select("unit", F.coalesce("short", "long").alias("path"))
+    found = folded.select("unit", F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), ends, back, lambda at: at["path"]).alias("path"))
     code = lambda x: F.hex(F.encode(F.substring("unit", -x, F.lit(1)), "UTF-8"))
     as_bytes = lambda x: F.transform(F.sequence(F.lit(0), (F.length(code(x)) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code(x), i * 2 + 1, F.lit(2)), 16, 10).cast("int") + first_byte)
     spelt = F.flatten(F.transform("path", lambda x: F.when(x >= 0, F.array(x)).otherwise(as_bytes(x) if first_byte >= 0 else F.array(F.lit(0)))))
@@ -217,7 +212,7 @@ def recurring_units(rows: DataFrame, held: int = 200_000) -> DataFrame:
 
         for batch in batches:
             for text in batch["text"]:
-                counts.update(split_units(text))
+                counts.update(u for u in split_units(text) if len(u) <= LONG)
                 if len(counts) > held:
                     yield often()
         yield often()
@@ -225,6 +220,11 @@ def recurring_units(rows: DataFrame, held: int = 200_000) -> DataFrame:
     return rows.select("text").mapInPandas(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows by unit in as many partitions as shuffles have: edges take far more room than units, by which AQE would join partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+
+
 def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """At most `most` of the commonest units by number, with the ids of number i at ids[ends[i] : ends[i + 1]]."""
     counted = stored(recurring_units(rows), "piece-units")
@@ -234,25 +234,46 @@ def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int]
         if total + k > most:
             break
         least, total = n, total + k
-    found = stored(lexicon(counted.where(F.col("n") >= least).select("unit").repartition("unit"), model), "piece-lexicon").toPandas()
+    found = stored(lexicon(spread(counted.where(F.col("n") >= least).select("unit")), model), "piece-lexicon").toPandas()
     ends = np.zeros(len(found) + 1, np.int64)
     np.cumsum([len(x) for x in found["ids"]], out=ends[1:])
     ids = np.concatenate(found["ids"].to_list()).astype(np.int32) if len(found) else np.zeros(0, np.int32)
     return {u: i for i, u in enumerate(found["unit"])}, ids, ends
 
 
-def numbered(text: str, known: dict[str, int]) -> tuple[list[int], dict[str, int]]:
-    """A text as numbers of its units: known ones by `known`, others from len(known) on, in the order they come up in."""
-    found, own = [], {}
+def numbered(text: str, known: dict[str, int]) -> tuple[list[int], dict[str, int], dict[str, int]]:
+    """A text as numbers of its units: known ones by `known`, its own from len(known) on and long ones from -1 down.
+
+    Both of these are numbered in the order they come up in, and returned too.
+    """
+    found, own, long = [], {}, {}
     for u in split_units(text):
         i = known.get(u)
-        found.append(len(known) + own.setdefault(u, len(own)) if i is None else i)
-    return found, own
+        if i is None:
+            i = len(known) + own.setdefault(u, len(own)) if len(u) <= LONG else -1 - long.setdefault(u, len(long))
+        found.append(i)
+    return found, own, long
 
 
-def spelled(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: list[np.ndarray]) -> np.ndarray:
-    """The ids of a document's unit numbers: those below the number of common units from `flat`, the others from `mine`."""
+def long_units(model: str) -> Callable[[str], list[int]]:
+    """Segments one unit by best_path(), bytes spelt out."""
+    scores, kept = piece_scores(model), useful(model)
+    known = {p: (i, s) for p, i, s in kept}
+    prefixes = {p[:k] for p in known for k in range(1, len(p))}
+    worst, first_byte = 4 * min(s for _, _, s in scores), byte_ids(model)
+
+    def run(unit: str) -> list[int]:
+        spelt = lambda place: [first_byte + b for b in unit[place].encode()] if first_byte >= 0 else [0]
+        return [j for i in best_path(unit, known, prefixes, worst) for j in ([i] if i >= 0 else spelt(-1 - i))]
+
+    return run
+
+
+def spelled(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: list[np.ndarray], long: list[np.ndarray]) -> np.ndarray:
+    """The ids of a document's unit numbers (see numbered()): known units' from `flat`, its own from `mine` and `long`."""
     n = ends.size - 1
+    codes = np.where(codes < 0, n + len(mine) - 1 - codes, codes)
+    mine = [*mine, *long]
     own = codes >= n
     begin, size = np.zeros(codes.size, np.int64), np.zeros(codes.size, np.int64)
     low = codes[~own]
@@ -295,32 +316,43 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
-            out = [(u1, u2, k, u) for u1, u2, text in zip(batch["u1"], batch["u2"], batch["text"], strict=True) for u, k in numbered(text, known.value)[1].items()]
+            texts = zip(batch["u1"], batch["u2"], batch["text"], strict=True)
+            out = [(u1, u2, k, u) for u1, u2, text in texts for u, k in numbered(text, known.value)[1].items()]
             yield pd.DataFrame(out, columns=["u1", "u2", "k", "unit"])
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segment = None
         for batch in batches:
-            codes = [zlib.compress(np.array(numbered(text, known.value)[0], np.int32).tobytes(), 1) for text in batch["text"]]
-            yield batch[[*names, "u1", "u2", "md5"]].assign(codes=codes)
+            codes, ids = [], []
+            for text in batch["text"]:
+                found, _, long = numbered(text, known.value)
+                if long and segment is None:
+                    segment = long_units(model)
+                codes.append(zlib.compress(np.array(found, np.int32).tobytes(), 1))
+                ids.append([segment(u) for u in long] if long else None)
+            yield batch[[*names, "u1", "u2", "md5"]].assign(codes=codes, long=pd.Series(ids, batch.index, dtype=object))
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, ends, pieces = table.value
         for batch in batches:
             out, units, round_trip = [], [], []
-            for codes, own, md5 in zip(batch["codes"], batch["own"], batch["md5"], strict=True):
+            for codes, own, long, md5 in zip(batch["codes"], batch["own"], batch["long"], batch["md5"], strict=True):
                 codes = np.frombuffer(zlib.decompress(codes), np.int32)
                 mine = [x["ids"] for x in sorted(own, key=lambda x: x["k"])] if own is not None else []
-                ids = spelled(codes, flat, ends, mine)
+                ids = spelled(codes, flat, ends, mine, long if long is not None else [])
                 out.append(ids)
                 units.append(codes.size)
                 round_trip.append(check and hashlib.md5(decode_ids(ids.tolist(), pieces).encode()).digest() == md5)
             done = batch[names].assign(ids=out)
             yield done.assign(n_units=units, round_trip=round_trip) if check else done
 
-    tails = rows.select("u1", "u2", "text").mapInPandas(rare, "u1 long, u2 long, k int, unit string").repartition("unit").dropDuplicates()
+    tails = rows.select("u1", "u2", "text").mapInPandas(rare, "u1 long, u2 long, k int, unit string")
+    # repeated rows ask alike; both filters are always true and make the two uses below the same plan, whose shuffle is reused
+    tails = spread(tails.where("unit is not null and u1 is not null and u2 is not null"))
+    tails = tails.groupBy("unit", "u1", "u2").agg(F.min("k").alias("k")).where("k >= 0")
     found = lexicon(tails.select("unit").distinct(), model)
     own = tails.join(found.hint("merge"), "unit").groupBy("u1", "u2").agg(F.collect_list(F.struct("k", "ids")).alias("own"))
-    waiting = rows.mapInPandas(shorten, f"{fields}u1 long, u2 long, md5 binary, codes binary")
+    waiting = rows.mapInPandas(shorten, f"{fields}u1 long, u2 long, md5 binary, codes binary, long array<array<int>>")
     extra = ", n_units long, round_trip boolean" if check else ""
     out = waiting.join(own.hint("merge"), ["u1", "u2"], "left").mapInPandas(assemble, f"{fields}ids array<int>{extra}")
     return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
