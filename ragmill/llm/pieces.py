@@ -13,22 +13,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: A unit is a run of word marks with what follows them, or a line feed. No piece of a model that splits at white space
+#: A unit is a run of spaces with what follows them, or a line feed. No piece of a model that splits at white space
 #: reaches over a unit's end, so units are never cut, however long.
-UNIT = r"▁*[^▁\n]+|▁+|\n"
+UNIT = r" *[^ \n]+| +|\n"
+#: The same for models without a piece in which a letter is followed by another character: units end with letters too.
+FINE = r" *(?:[\d_]|[^\w \n])*[^\W\d_]+| *(?:[\d_]|[^\w \n])+| +|\n"
 #: Longer units, in characters, are segmented in their document's task by best_path(), in memory in proportion to them.
 LONG = 200
 
 
 @functools.cache
 def piece_scores(model: str = MODEL) -> list[tuple[str, int, int]]:
-    """(piece, id, score) of the model's ordinary pieces, from its file alone.
+    """(piece, id, score) of the model's ordinary pieces, from its file alone; a piece's word mark is a space here.
 
     A unigram model's scores are log probabilities and are kept. A BPE model has ranks instead, so a piece of rank r is
     given the Zipf probability 1 / ((r + 1) H) of its rank. Scores are in thousandths, rounded, so sums are exact.
@@ -44,7 +47,7 @@ def piece_scores(model: str = MODEL) -> list[tuple[str, int, int]]:
     if last < -1000:  # ranks
         h = math.log(len(scores)) + 0.5772
         scores = {i: -math.log((1 - s) * h) for i, s in scores.items()}
-    return [(sp.id_to_piece(i), i, round(1000 * s)) for i, s in scores.items()]
+    return [(sp.id_to_piece(i).replace("▁", " "), i, round(1000 * s)) for i, s in scores.items()]
 
 
 @functools.cache
@@ -72,16 +75,15 @@ def byte_ids(model: str = MODEL) -> int:
     return first if sp.is_byte(first) else -1
 
 
-def split_units(text: str, pattern: re.Pattern = re.compile(UNIT)) -> list[str]:
-    """The units of a text after SentencePiece's mark for spaces, with one before the first word; none of an empty text.
+@functools.cache
+def unit_pattern(model: str = MODEL) -> re.Pattern:
+    """The pattern of units: the finer they are, the fewer different ones there are."""
+    return re.compile(UNIT if any(re.search(r"[^\W\d_][\W\d_]", p) for p, _, _ in useful(model)) else FINE)
 
-    Texts whose spaces stand alone, as most do, need no regular expression.
-    """
-    if not text:
-        return []
-    if text[0] == " " or "  " in text or "▁" in text:
-        return pattern.findall("▁" + text.replace(" ", "▁"))
-    return [u for u in ("▁" + text.replace(" ", " ▁").replace("\n", " \n ")).split(" ") if u]
+
+def split_units(text: str, pattern: re.Pattern) -> list[str]:
+    """The units of a text, word marks as spaces, with one before the first word; none of an empty text."""
+    return pattern.findall(" " + text.replace("▁", " ")) if text else []
 
 
 def best_path(unit: str, known: dict[str, tuple[int, int]], prefixes: set[str], worst: int) -> list[int]:
@@ -196,7 +198,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def recurring_units(rows: DataFrame, held: int = 200_000) -> DataFrame:
+def recurring_units(rows: DataFrame, pattern: re.Pattern, held: int = 200_000) -> DataFrame:
     """unit, n: units of the texts that occur twice or more in a task's stretch of `held` distinct ones, and how often.
 
     It tells which units are worth sending to all tasks; what it leaves out is joined, so it decides no result.
@@ -206,13 +208,13 @@ def recurring_units(rows: DataFrame, held: int = 200_000) -> DataFrame:
         counts: Counter[str] = Counter()
 
         def often() -> pd.DataFrame:
-            twice = [(u, n) for u, n in counts.items() if n > 1]
+            twice = [(u, n) for u, n in counts.items() if n > 1 and len(u) <= LONG]
             counts.clear()
             return pd.DataFrame(twice, columns=["unit", "n"])
 
         for batch in batches:
             for text in batch["text"]:
-                counts.update(u for u in split_units(text) if len(u) <= LONG)
+                counts.update(split_units(text, pattern))
                 if len(counts) > held:
                     yield often()
         yield often()
@@ -227,31 +229,28 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """At most `most` of the commonest units by number, with the ids of number i at ids[ends[i] : ends[i + 1]]."""
-    counted = stored(recurring_units(rows), "piece-units")
+    counted = stored(recurring_units(rows, unit_pattern(model)), "piece-units")
     # how often the rarest of them occurs; counts of counts are few
     least, total = 1 << 62, 0
     for n, k in counted.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
         if total + k > most:
             break
         least, total = n, total + k
-    found = stored(lexicon(spread(counted.where(F.col("n") >= least).select("unit")), model), "piece-lexicon").toPandas()
-    ends = np.zeros(len(found) + 1, np.int64)
-    np.cumsum([len(x) for x in found["ids"]], out=ends[1:])
-    ids = np.concatenate(found["ids"].to_list()).astype(np.int32) if len(found) else np.zeros(0, np.int32)
-    return {u: i for i, u in enumerate(found["unit"])}, ids, ends
+    found = lexicon(spread(counted.where(F.col("n") >= least).select("unit")), model).toArrow()
+    lists = found["ids"].combine_chunks()
+    return {u: i for i, u in enumerate(found["unit"].to_pylist())}, lists.flatten().to_numpy().astype(np.int32), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
 
 
-def numbered(text: str, known: dict[str, int]) -> tuple[list[int], dict[str, int], dict[str, int]]:
-    """A text as numbers of its units: known ones by `known`, its own from len(known) on and long ones from -1 down.
+def numbered(units: list[str], known: dict[str, int]) -> tuple[list[int], dict[str, int], dict[str, int]]:
+    """A text's units as numbers: known ones by `known`, its own from len(known) on and long ones from -1 down.
 
     Both of these are numbered in the order they come up in, and returned too.
     """
-    found, own, long = [], {}, {}
-    for u in split_units(text):
-        i = known.get(u)
-        if i is None:
-            i = len(known) + own.setdefault(u, len(own)) if len(u) <= LONG else -1 - long.setdefault(u, len(long))
-        found.append(i)
+    found, own, long = list(map(known.get, units)), {}, {}
+    if None in found:
+        for at, u in enumerate(units):
+            if found[at] is None:
+                found[at] = len(known) + own.setdefault(u, len(own)) if len(u) <= LONG else -1 - long.setdefault(u, len(long))
     return found, own, long
 
 
@@ -292,7 +291,7 @@ def spelled(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: list[np
     return out
 
 
-def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 200_000, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 400_000, check: bool = False) -> DataFrame:
     """The `carry` columns and ids: array<int>, the pieces of every whole text in order.
 
     With `check` also n_units and round_trip: whether the ids decode to the text (by its MD5).
@@ -312,12 +311,13 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     rows = rows.withColumns({"u1": F.xxhash64(*names, "text"), "u2": F.xxhash64(F.lit(1), *names, "text"), "md5": F.unhex(F.md5("text"))})
     index, flat, ends = common_units(rows, model, common)
     known, table = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast((flat, ends, decoder(model)))
+    pattern = unit_pattern(model)
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
             texts = zip(batch["u1"], batch["u2"], batch["text"], strict=True)
-            out = [(u1, u2, k, u) for u1, u2, text in texts for u, k in numbered(text, known.value)[1].items()]
+            out = [(u1, u2, k, u) for u1, u2, text in texts for u, k in numbered(split_units(text, pattern), known.value)[1].items()]
             yield pd.DataFrame(out, columns=["u1", "u2", "k", "unit"])
 
     def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
         for batch in batches:
             codes, ids = [], []
             for text in batch["text"]:
-                found, _, long = numbered(text, known.value)
+                found, _, long = numbered(split_units(text, pattern), known.value)
                 if long and segment is None:
                     segment = long_units(model)
                 codes.append(zlib.compress(np.array(found, np.int32).tobytes(), 1))
