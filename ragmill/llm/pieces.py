@@ -228,7 +228,7 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """At most `most` of the commonest units by number, with the ids of number i at ids[ends[i] : ends[i + 1]]."""
+    """At most `most` of the commonest units by number, commonest first, with the ids of number i at ids[ends[i] : ends[i + 1]]."""
     counted = stored(recurring_units(rows, unit_pattern(model)), "piece-units")
     # how often the rarest of them occurs; counts of counts are few
     least, total = 1 << 62, 0
@@ -236,11 +236,22 @@ def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int]
         if total + k > most:
             break
         least, total = n, total + k
-    found = lexicon(spread(counted.where(F.col("n") >= least).select("unit")), model).toArrow()
+    chosen = counted.where(F.col("n") >= least)
+    found = lexicon(spread(chosen.select("unit")), model).join(chosen.hint("merge"), "unit").toArrow().sort_by([("n", "descending"), ("unit", "ascending")])
     lists = found["ids"].combine_chunks()
     return {u: i for i, u in enumerate(found["unit"].to_pylist())}, lists.flatten().to_numpy().astype(np.int32), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
 
 
+def packed(codes: list[int]) -> bytes:
+    """Numbers, compressed: first their lowest bytes, then the next ones, so that the many small numbers' zeros meet."""
+    return zlib.compress(np.array(codes, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
 def numbered(units: list[str], known: dict[str, int]) -> tuple[list[int], dict[str, int], dict[str, int]]:
     """A text's units as numbers: known ones by `known`, its own from len(known) on and long ones from -1 down.
 
@@ -328,7 +339,7 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
                 found, _, long = numbered(split_units(text, pattern), known.value)
                 if long and segment is None:
                     segment = long_units(model)
-                codes.append(zlib.compress(np.array(found, np.int32).tobytes(), 1))
+                codes.append(packed(found))
                 ids.append([segment(u) for u in long] if long else None)
             yield batch[[*names, "u1", "u2", "md5"]].assign(codes=codes, long=pd.Series(ids, batch.index, dtype=object))
 
@@ -337,7 +348,7 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
         for batch in batches:
             out, units, round_trip = [], [], []
             for codes, own, long, md5 in zip(batch["codes"], batch["own"], batch["long"], batch["md5"], strict=True):
-                codes = np.frombuffer(zlib.decompress(codes), np.int32)
+                codes = unpacked(codes)
                 mine = [x["ids"] for x in sorted(own, key=lambda x: x["k"])] if own is not None else []
                 ids = spelled(codes, flat, ends, mine, long if long is not None else [])
                 out.append(ids)
@@ -351,7 +362,8 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     tails = spread(tails.where("unit is not null and u1 is not null and u2 is not null"))
     tails = tails.groupBy("unit", "u1", "u2").agg(F.min("k").alias("k")).where("k >= 0")
     found = lexicon(tails.select("unit").distinct(), model)
-    own = tails.join(found.hint("merge"), "unit").groupBy("u1", "u2").agg(F.collect_list(F.struct("k", "ids")).alias("own"))
+    # repartitioned first, as lists of the few rows that a task has of a document would only be longer
+    own = tails.join(found.hint("merge"), "unit").select("u1", "u2", "k", "ids").repartition("u1", "u2").groupBy("u1", "u2").agg(F.collect_list(F.struct("k", "ids")).alias("own"))
     waiting = rows.mapInPandas(shorten, f"{fields}u1 long, u2 long, md5 binary, codes binary, long array<array<int>>")
     extra = ", n_units long, round_trip boolean" if check else ""
     out = waiting.join(own.hint("merge"), ["u1", "u2"], "left").mapInPandas(assemble, f"{fields}ids array<int>{extra}")
