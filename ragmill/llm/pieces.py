@@ -198,7 +198,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def recurring_units(rows: DataFrame, pattern: re.Pattern, held: int = 200_000) -> DataFrame:
+def recurring_units(rows: DataFrame, pattern: re.Pattern, held: int = 100_000) -> DataFrame:
     """unit, n: units of the texts that occur twice or more in a task's stretch of `held` distinct ones, and how often.
 
     It tells which units are worth sending to all tasks; what it leaves out is joined, so it decides no result.
@@ -302,7 +302,7 @@ def spelled(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: list[np
     return out
 
 
-def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 400_000, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 200_000, check: bool = False) -> DataFrame:
     """The `carry` columns and ids: array<int>, the pieces of every whole text in order.
 
     With `check` also n_units and round_trip: whether the ids decode to the text (by its MD5).
