@@ -45,6 +45,11 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df`, a stored table of narrow rows, as one side of a join: sent to all tasks if it has at most `rows`, else merged."""
+    return df.hint("broadcast" if df.count() <= rows else "merge")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), in place."""
     x ^= x >> U64(32)

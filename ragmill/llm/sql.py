@@ -6,7 +6,7 @@ MIX = r"""
 with sized as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
     (cast(cast('0x' || substr(md5('mix|' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) as double) + 0.5) / 281474976710656.0 as u from documents),
 weighed as (select *, cast(length(cast(size as varchar)) as bigint) as weight from sized),
-per as (select source, cast(sum(size) as bigint) as source_size, cast(sum(weight * size) as bigint) as weighted from weighed group by source),
+per as (select source, cast(sum(size) as bigint) as source_size from weighed group by source),
 named as (select *, (row_number() over (order by source nulls last) - 1) % 3 as k from per),
 capped as (select *, case k when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as w, source_size * 2.0::double as cap from named),
 levels as (select *, row_number() over o as nth,
@@ -14,10 +14,18 @@ levels as (select *, row_number() over o as nth,
     / (sum(w) over () - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0)) as level
     from capped window o as (order by cap / w, source nulls last)),
 first_free as (select nth as free_nth, level as free_level from levels where level * w <= cap order by nth limit 1),
-targets as (select source, source_size, weighted, case when free_nth is null or nth < free_nth then cap else least(free_level * w, cap) end as target
+targets as (select source, source_size, case when free_nth is null or nth < free_nth then cap else least(free_level * w, cap) end as target
     from levels left join first_free on true),
-expected as (select d.*, t.source_size, t.target, case when t.weighted > 0 then least(t.target * d.weight / t.weighted, 2.0::double) else 0.0::double end as expected
-    from weighed d join targets t on d.source is not distinct from t.source),
+groups as (select g.source, weight, words, source_size, target from (select source, weight, cast(sum(size) as bigint) as words from weighed group by source, weight) g
+    join targets t on g.source is not distinct from t.source),
+steps as (select *, row_number() over o as nth, (target - 2.0::double * coalesce(cast(sum(words) over (o rows between unbounded preceding and 1 preceding) as bigint), 0))
+    / nullif(cast(sum(weight * words) over (o rows between current row and unbounded following) as bigint), 0) as level
+    from groups window o as (partition by source order by weight desc)),
+free as (select source, min(nth) as nth, arg_min(level, nth) as level from steps where level * weight <= 2 group by source),
+shares as (select s.source, s.weight, source_size, target, case when f.nth is null or s.nth < f.nth then 2.0::double else least(greatest(f.level * s.weight, 0.0::double), 2.0::double) end as expected
+    from steps s left join free f on s.source is not distinct from f.source),
+expected as (select d.*, t.source_size, t.target, t.expected
+    from weighed d join shares t on d.source is not distinct from t.source and d.weight = t.weight),
 split as (select *, cast(floor(expected) as bigint) as certain, expected - floor(expected) as pi from expected),
 ranked as (select *, case when pi > 0 and certain + 1 <= 2 then u / (1 - u) / (pi / (1 - pi)) end as odds from split),
 lacking as (select source, first(target) - cast(sum(certain * size) as bigint) as lacking from ranked group by source),

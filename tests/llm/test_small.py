@@ -33,6 +33,18 @@ def test_mix_weights_certain_copies(spark):
     assert got[99] == 2
 
 
+def test_mix_reaches_targets_with_mixed_lengths(spark):
+    rows = [(i, "w " * 9, "a") for i in range(1000)] + [(2000 + i, "w " * 1000, "a") for i in range(9)] + [(3000 + i, "w " * 100, s) for i, s in enumerate(["b"] * 90 + ["c"] * 300 + [None] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weight in (F.length(F.col("size").cast("string")), None, F.when(F.col("size") > 500, 40).otherwise(1)):
+        got = mixing.pareto_mix(docs, doc_weight=weight).collect()
+        assert len(got) == len(rows)
+        for source in ("a", "b", "c", None):
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine)
+            assert all(r.taken <= 2 * r.size for r in mine)
+
+
 def test_quality_learns_and_takes_any_text(spark):
     good = [(i, "The quick fox runs over a lazy dog and then some more words follow it. " * (1 + i % 5)) for i in range(60)]
     bad = [(100 + i, "BUY!! NOW!! CHEAP!! " * (2 + i % 7)) for i in range(20)]
@@ -41,6 +53,8 @@ def test_quality_learns_and_takes_any_text(spark):
     model = quality.fit(docs, labels)
     got = {r.doc_id: r for r in quality.score(docs, model).collect()}
     assert sum(got[i].predicted == 1 for i, _ in good) >= 59 and sum(got[i].predicted == 0 for i, _ in bad) >= 19
+    clash = quality.fit(docs.withColumns({"q": F.lit(1), "_id": F.lit(2), "quality": F.lit(0)}), labels)
+    assert np.array_equal(clash.w, model.w)
     odd = quality.score(awkward(spark), model).collect()
     assert len(odd) == awkward(spark).count() and all(0 <= r.score <= 1 for r in odd)
     assert len({r.score for r in odd if r.doc_id in (102, 103)}) == 1
