@@ -19,7 +19,7 @@ def row_id(*columns: str):
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranker, trained on all labels, doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score(docs, model, carry=tuple(docs.columns)).where("predicted = 1")
+    kept = quality.score(docs, model, carry=tuple(COLUMNS)).where("predicted = 1")
     return kept.select(*COLUMNS)
 
 
