@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -45,6 +46,23 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits of a row's columns: rows that agree in them are taken to be equal."""
+    half = lambda *salt: F.lpad(F.hex(F.xxhash64(*salt, *columns)), 16, "0")
+    return F.unhex(F.concat(half(), half(F.lit(1))))
+
+
+def met(rows: DataFrame, per: DataFrame, keys: list[str], size: str, hot: int = 4096) -> DataFrame:
+    """`rows` joined by `keys` with `per`, which has one row for each key and in `size` how many rows the key has.
+
+    Keys of more than `hot` rows are at most one row in `hot`; they are sent to all tasks, if few, so that no task
+    gathers their rows. Both sides are stored tables.
+    """
+    large = stored(per.where(F.col(size) > hot), "hot-keys")
+    rest = rows.join(few(large.select(*keys)), keys, "left_anti")
+    return rows.join(few(large), keys).unionByName(rest.join(per.where(F.col(size) <= hot).hint("merge"), keys))
+
+
 def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """`df`, a stored table of narrow rows, as one side of a join: sent to all tasks if it has at most `rows`, else merged."""
     return df.hint("broadcast" if df.count() <= rows else "merge")

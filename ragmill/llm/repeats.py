@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, powers, prefix_hashes, span_hashes, stored
+from .common import U64, met, mix64, powers, prefix_hashes, row_key, span_hashes, stored
 
 BLOCK = 1 << 19
 
@@ -49,7 +49,7 @@ def anchors(data: np.ndarray, length: int) -> dict[str, np.ndarray]:
     return dict(zip(("at", "back", "reach", "h", "c"), columns, strict=True))
 
 
-ANCHORS = "uid long, at int, back int, reach int, h long, c long"
+ANCHORS = "uid binary, at int, back int, reach int, h long, c long"
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -60,7 +60,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 data = np.frombuffer(text.encode(), np.uint8)
                 if data.size >= length:
                     found = anchors(data, length)
-                    held.append((np.full(found["at"].size, uid), *(found[c].astype(np.int32) for c in ("at", "back", "reach")), found["h"].view(np.int64), found["c"].view(np.int64)))
+                    held.append((np.full(found["at"].size, uid, object), *(found[c].astype(np.int32) for c in ("at", "back", "reach")), found["h"].view(np.int64), found["c"].view(np.int64)))
                     size += found["at"].size
                 if size > 200_000:
                     yield pd.DataFrame(dict(zip(("uid", "at", "back", "reach", "h", "c"), map(np.concatenate, zip(*held, strict=True)), strict=True)))
@@ -216,7 +216,7 @@ def repeated_offsets(contexts: list[bytes], back: np.ndarray, reach: np.ndarray,
 
 
 def spans_of(uid: np.ndarray, start: np.ndarray, end: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"uid": uid.astype(np.int64), "start": start.astype(np.int64), "end": end.astype(np.int64)})
+    return pd.DataFrame({"uid": uid.astype(object), "start": start.astype(np.int64), "end": end.astype(np.int64)})
 
 
 def sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -249,7 +249,7 @@ def sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
             yield flush(rows)
 
     parted = contexts.repartition("h").sortWithinPartitions("h")
-    return parted.mapInPandas(run, "uid long, start long, end long")
+    return parted.mapInPandas(run, "uid binary, start long, end long")
 
 
 def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -266,10 +266,10 @@ def counted_repeats(contexts: DataFrame, length: int) -> DataFrame:
                     starts = np.arange(0, r.back - r.reach + 1)
                     raw = np.frombuffer(r.context, np.uint8)
                     one, two = (span_hashes(prefix_hashes(x), starts, starts + length) for x in (raw, raw ^ np.uint8(0xA5)))
-                    out.append((np.full(starts.size, r.uid), starts + (r.at - r.back), np.full(starts.size, r.n), one.view(np.int64), two.view(np.int64)))
+                    out.append((np.full(starts.size, r.uid, object), starts + (r.at - r.back), np.full(starts.size, r.n), one.view(np.int64), two.view(np.int64)))
                 yield pd.DataFrame(dict(zip(("uid", "start", "n", "one", "two"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    windows = stored(contexts.mapInPandas(run, "uid long, start long, n long, one long, two long"), "repeat-windows")
+    windows = stored(contexts.mapInPandas(run, "uid binary, start long, n long, one long, two long"), "repeat-windows")
     twice = windows.groupBy("one", "two").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     return windows.where("n = 1").join(twice.hint("merge"), ["one", "two"]).select("uid", "start", (F.col("start") + length).alias("end"))
 
@@ -312,15 +312,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     """
     filled = F.coalesce("text", F.lit("")).alias("text")
     named = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(*named, filled).withColumn("uid", F.xxhash64(*[f"_{i}" for i in range(len(carry))], "text"))
+    rows = docs.select(*named, filled).withColumn("uid", row_key(*[f"_{i}" for i in range(len(carry))], "text"))
     found = stored(anchor_rows(rows, length), "repeat-anchors")
-    # written out, so that the join's shuffles serve it alone and its skewed partitions can be split
-    again = stored(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "repeat-again")
-    found = stored(found.join(again.hint("merge"), "h"), "repeat-recurring")
+    again = stored(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "repeat-again")
+    found = stored(met(found, again, ["h"], "k").drop("k"), "repeat-recurring")
     kinds = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "back", "reach")).alias("one")), "repeat-kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h", "m")
-    whole = found.join(kinds.where("n > 1").select("h", "c").hint("merge"), ["h", "c"]).select("uid", (F.col("at") - F.col("back")).alias("start"), (F.col("at") - F.col("reach") + length).alias("end"))
-    ask = kinds.join(groups.hint("merge"), "h").select("one.*", "h", "n", "m")
+    whole = met(found, kinds.where("n > 1").select("h", "c", "n"), ["h", "c"], "n").select("uid", (F.col("at") - F.col("back")).alias("start"), (F.col("at") - F.col("reach") + length).alias("end"))
+    ask = met(kinds, stored(groups, "repeat-groups"), ["h"], "m").select("one.*", "h", "n", "m")
     empty = lambda kind: F.lit(None).cast(kind)
     notes = whole.select("uid", "start", "end", *[empty("long").alias(c) for c in ("h", "n", "m")], *[empty("int").alias(c) for c in ("at", "back", "reach")])
     notes = notes.unionByName(ask.select("uid", (F.col("at") - F.col("back")).cast("long").alias("start"), (F.col("at") - F.col("reach") + length).cast("long").alias("end"), "h", "n", "m", "at", "back", "reach"))
@@ -359,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
                     by_name = dict(zip(columns, map(list, zip(*rows, strict=True)), strict=True)) | {"kind": [kind] * len(rows)}
                     yield pd.DataFrame({c: pd.Series(by_name.get(c, [None] * len(rows)), dtype=object) for c in every})
 
-    schema = finished + ", text string" * (not keep_text) + ", h long, uid long, at int, back int, reach int, n long, m long, context binary, starts array<long>, ends array<long>, kind int"
+    schema = finished + ", text string" * (not keep_text) + ", h long, uid binary, at int, back int, reach int, n long, m long, context binary, starts array<long>, ends array<long>, kind int"
     every = [c.split()[0] for c in schema.split(", ")]
     parts = stored(known.mapInPandas(split, schema), "repeat-parts", "kind")
     contexts = parts.where("kind = 1").select(*asked)
