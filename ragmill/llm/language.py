@@ -14,7 +14,8 @@ from .common import stored
 
 #: Hashed byte trigrams of one model.
 CELLS = 1 << 15
-TAG = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: What a tag, script, style or comment without its end takes up is the rest of the page, so each is looked for once.
+TAG = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)")
 
 
 def trigram_cells(text: str) -> np.ndarray:
@@ -29,13 +30,16 @@ def visible_text(html: str | None) -> str:
     return TAG.sub(" ", html or "")
 
 
-def fit_text_model(docs: DataFrame, lang_col: str = "lang", smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit_text_model(docs: DataFrame, lang_col: str = "lang", smoothing: float = 0.5, most: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages, and log P(cell | language) by trigram counts over all documents with a language.
 
     Tasks add up counts of their documents, a vector for each language; their sums, languages * CELLS numbers however
-    large the corpus, are the model. Null and empty languages teach nothing.
+    large the corpus, are the model. Null and empty languages teach nothing. The model has the `most` languages with the
+    most documents, ties to the first by name, so that a column of stray values can't make it grow with the corpus.
     """
 
+    known = [r.lang for r in docs.groupBy(F.col(lang_col).alias("lang")).count().where("lang <> ''").orderBy(F.desc("count"), "lang").limit(most).collect()]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -47,7 +51,7 @@ def fit_text_model(docs: DataFrame, lang_col: str = "lang", smoothing: float = 0
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "cell": at.astype(np.int32), "n": counts[at]})
 
-    parts = docs.select(F.col(lang_col).alias("lang"), "text").mapInPandas(run, "lang string, cell int, n long")
+    parts = docs.select(F.col(lang_col).alias("lang"), "text").where(F.col("lang").isin(known)).mapInPandas(run, "lang string, cell int, n long")
     got = parts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique().tolist())
     counts = np.full((len(langs), CELLS), smoothing)
@@ -65,9 +69,10 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], declared_tru
     - text: log likelihoods of the visible text's trigrams, times `temper` since neighbouring trigrams aren't independent;
     - markup: the language that <html lang> declares is right with probability declared_trust;
     - address: a language code that is the host's suffix or the first part of the path, likewise with address_trust;
-    - host: a prior from the host's other evidence. A first pass without it gives every page a posterior; these are
+    - host: a prior from the host's other pages. A first pass without it gives every page a posterior; these are
       summed by host with partial aggregation, and a host's distribution is smoothed with that of its domain (the last
       two labels), a domain's with its suffix's and a suffix's with the whole, each as if by `prior_weight` more pages.
+      The page's own posterior is taken out of each sum, as its evidence is in already.
 
     Returns page_id, host, declared, address_lang, lang, probability and text_lang (by text alone). Evidence that is
     missing or names no language of the model is uniform. A null html is an empty page, a null url has no host: pages
@@ -119,19 +124,25 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], declared_tru
     labels = F.split("host", r"\.")
     hosts = hosts.withColumn("domain", F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))).withColumn("suffix", F.element_at(labels, -1))
 
-    def level(name: str) -> DataFrame:
-        return hosts.groupBy(name).agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
-
-    whole = hosts.agg(F.sum("n").alias("n_0"), *[F.sum(f"s{i}").alias(f"z{i}") for i in range(k)]).first()
-    total = whole["n_0"] or 0
-    top = [((whole[f"z{i}"] or 0) + prior_weight / k) / (total + prior_weight) for i in range(k)]
-    smooth = lambda up: [((F.col(f"s{i}") + prior_weight * up[i]) / (F.col("n") + prior_weight)).alias(f"q{i}") for i in range(k)]
-    of_suffix = level("suffix").select("suffix", *smooth([F.lit(x) for x in top]))
-    of_domain = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
-    of_domain = of_domain.join(of_suffix.hint("merge"), "suffix").select("domain", *smooth([F.col(f"q{i}") for i in range(k)]))
-    prior = hosts.select("host", "domain", "n", *[f"s{i}" for i in range(k)]).join(of_domain.hint("merge"), "domain").select("host", *smooth([F.col(f"q{i}") for i in range(k)]))
-    prior = stored(prior.select("host", F.array(*[F.log(f"q{i}") for i in range(k)]).alias("prior")), "language-priors")
-    fused = first.join(prior.hint("merge"), "host")
-    fused = fused.withColumn("p", posterior([F.col("logs")[i] + F.col("prior")[i] for i in range(k)]))
+    sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
+    packed = lambda n, at: [F.col("n").alias(n), F.array(*[f"s{i}" for i in range(k)]).alias(at)]
+    whole = hosts.agg(F.sum("n").alias("n"), *sums).first()
+    of_suffix = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), *sums).select("suffix", *packed("n_suffix", "of_suffix"))
+    of_domain = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), *sums).select("domain", "suffix", *packed("n_domain", "of_domain"))
+    priors = hosts.select("host", "domain", *packed("n_host", "of_host")).join(of_domain.hint("merge"), "domain").join(of_suffix.hint("merge"), "suffix")
+    priors = stored(priors.drop("domain", "suffix"), "language-priors")
+
+    def smoothed(s: Column, n: Column, up: Column) -> Column:
+        """The distribution of a level's other pages, smoothed by the level above."""
+        others = F.zip_with(s, F.col("own"), lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        return F.zip_with(others, up, lambda a, b: (a + prior_weight * b) / (n - 1 + prior_weight))
+
+    fused = first.join(priors.hint("merge"), "host").withColumn("own", posterior([F.col("logs")[i] for i in range(k)]))
+    up = smoothed(F.array(*[F.lit(float(whole[f"s{i}"] or 0)) for i in range(k)]), F.lit(whole["n"] or 1), F.array(*[F.lit(1.0 / k)] * k))
+    for level in ("suffix", "domain", "host"):
+        fused = fused.withColumn("prior", up)
+        up = smoothed(F.col(f"of_{level}"), F.col(f"n_{level}"), F.col("prior"))
+    fused = fused.withColumn("prior", up)
+    fused = fused.withColumn("p", posterior([F.col("logs")[i] + F.log(F.col("prior")[i]) for i in range(k)]))
     best = F.array_max("p")
     return fused.select("page_id", "host", "declared", "address_lang", F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("p", best).cast("int")).alias("lang"), best.alias("probability"), "text_lang")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import met, stored
 
 EDGES = "id long, nb long, d double"
 
@@ -120,14 +120,14 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, around: int, before: Dat
     return stored(nearest(graph.withColumn("old", F.lit(1)).unionByName(fresh), k), "graph-edges"), lists
 
 
-def build_graph(nodes: DataFrame, k: int = 14, starts: int = 3, group: int = 64, around: int = 24) -> DataFrame:
+def build_graph(nodes: DataFrame, k: int = 14, starts: int = 3, group: int = 64, around: int = 24, still: float = 0.001) -> DataFrame:
     """id, nb, d, old: about the k nearest neighbours of each node (id, vec as 32-bit floats), by NN-descent.
 
     Every node first meets those of `starts` random groups of about `group`. Then, round by round, the `around` nearest
     of a node's neighbours and of those that name it meet each other, since a neighbour's neighbours are likely to be
     neighbours; a node keeps its k nearest. Groups are bounded by construction, so no node, however central, is one
-    task's work; rounds end when no edge is new, which they come to, as every new edge is shorter than the one it
-    displaces. d is the squared distance.
+    task's work. Rounds end when fewer than `still` of all edges are new, as in the paper on NN-descent: the last ones
+    change hardly any list, and the search looks beyond a node's list anyway. d is the squared distance.
     """
     n = nodes.count()
     total = max(1, -(-n // group))
@@ -136,7 +136,7 @@ def build_graph(nodes: DataFrame, k: int = 14, starts: int = 3, group: int = 64,
     dealt = nodes.select(F.explode(ones).alias("x"), F.col("id").alias("nb"), "vec", far.alias("worst")).select("x.*", "nb", "vec", "worst")
     graph = stored(nearest(by_group(dealt, ["s", "g"], local_join(k), EDGES).withColumn("old", F.lit(0)), k), "graph-edges")
     groups = None
-    while not graph.where("old = 0").isEmpty():
+    while graph.where("old = 0").count() > still * k * n:
         graph, groups = descend(graph, nodes, k, around, groups)
     return graph
 
@@ -184,11 +184,25 @@ def nearest_neighbours(vectors: DataFrame, is_query: Callable[[Column], Column],
     no part. With fewer than k candidates all are returned; an empty table gives no rows; other columns are ignored.
     """
     rows = stored(usable(vectors), "knn-vectors")
-    node = rows.groupBy("vec").agg(F.min("vec_id").alias("id"))
-    nodes = stored(node.mapInPandas(lambda bs: (pd.DataFrame({"id": b["id"], "vec": [np.frombuffer(x, np.float64).astype(np.float32).tobytes() for x in b["vec"]], "exact": b["vec"]}) for b in bs), "id long, vec binary, exact binary"), "knn-nodes")
+    node = rows.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+
+    def greatest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"size": [np.abs(matrix(batch["vec"], np.float64)).max()]})
+
+    # the search has 32-bit floats of at most 1, whatever the size of the vectors
+    unit = rows.select("vec").mapInPandas(greatest, "size double").agg(F.max("size").alias("size")).first()["size"] or 1.0
+
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slim = [(np.frombuffer(x, np.float64) / unit).astype(np.float32).tobytes() for x in batch["vec"]]
+            yield pd.DataFrame({"id": batch["id"], "n": batch["n"], "vec": slim, "exact": batch["vec"]})
+
+    nodes = stored(node.mapInPandas(shorten, "id long, n long, vec binary, exact binary"), "knn-nodes")
     slim = nodes.select("id", "vec")
     graph = build_graph(slim)
-    members = rows.join(nodes.select("id", F.col("exact").alias("vec")).hint("merge"), "vec").select("id", "vec_id")
+    members = met(rows, nodes.select("id", "n", F.col("exact").alias("vec")), ["vec"], "n").select("id", "vec_id")
     members = stored(members, "knn-members")
     asked = members.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query"), "id")
     # queries of one node ask the same: the node is searched once
@@ -200,8 +214,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: Callable[[Column], Column],
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                diff = matrix(batch["exact"], np.float64) - matrix(batch["from"], np.float64)
-                yield pd.DataFrame({"node": batch["query"], "id": batch["id"], "score": np.sqrt((diff * diff).sum(1))})
+                a, b = matrix(batch["exact"], np.float64), matrix(batch["from"], np.float64)
+                diff = a - b
+                with np.errstate(over="ignore"):
+                    score = np.sqrt((diff * diff).sum(1))
+                out = ~np.isfinite(score) | (score < 1e-140)  # squares out of range are taken of parts of the greatest component
+                score[out] = np.sqrt(((a[out] / unit - b[out] / unit) ** 2).sum(1)) * unit
+                yield pd.DataFrame({"node": batch["query"], "id": batch["id"], "score": score})
 
     near = measured.mapInPandas(measure, "node long, id long, score double").join(few.hint("merge"), "id").select("node", "vec_id", "score")
     order = Window.partitionBy("node").orderBy("score", "vec_id")

@@ -161,7 +161,7 @@ def test_search_looks_at_every_node_it_keeps(spark):
 def test_descent_ends_when_no_edge_changes(spark):
     x = np.random.default_rng(5).normal(size=(3000, 12)).astype(np.float32)
     nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, vec binary")
-    graph = neighbours.build_graph(nodes)
+    graph = neighbours.build_graph(nodes, still=0)
     assert neighbours.descend(graph, nodes, 14, 24)[0].where("old = 0").isEmpty()
     assert graph.count() == graph.select("id", "nb").distinct().count() == 3000 * 14
 
@@ -185,3 +185,19 @@ def test_long_runs_as_the_library_segments_them(spark, unigram):
     for r in pieces.encode(docs).collect():
         lib = unigram.encode(runs[r.doc_id])
         assert r.ids == lib or sum(score.get(i, -99_999) for i in r.ids) == sum(score.get(i, -99_999) for i in lib)
+
+
+def test_large_magnitudes_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    for size in (1e200, 1e-200, 3e38):
+        x = {i: v for i, v in enumerate(rng.uniform(-1, 1, (40, 6)) * size)}
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()] + [(3, (x[3] + 9 * size).tolist())], "vec_id long, embedding array<double>")
+        x[3] = np.array(min(x[3].tolist(), (x[3] + 9 * size).tolist()))
+        got = {}
+        for r in neighbours.nearest_neighbours(df, lambda i: i % 10 == 0, 5).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        assert sorted(got) == [0, 10, 20, 30]
+        for q, rows in got.items():
+            want = sorted((float(np.sqrt((((x[q] - x[i]) / size) ** 2).sum())), i) for i in x if i != q)[:5]
+            assert [r[1] for r in sorted(rows)] == [i for _, i in want]
+            assert np.allclose([r[2] / size for r in sorted(rows)], [d for d, _ in want])

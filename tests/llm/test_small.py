@@ -124,3 +124,35 @@ def test_language_fusion(spark):
     assert got[20].lang == "de" and got[21].lang == "en" and got[21].address_lang == "en" and got[0].probability > 0.9
     assert language.identify(df, model).count() == 12 and language.identify(none_of(df), model).count() == 0
     assert language.identify(df, language.fit_text_model(none_of(docs))).where("lang is not null").isEmpty()
+
+
+def test_language_as_bayes_has_it(spark):
+    """Every page against the rule written out: a page alone on its host learns nothing from itself."""
+    docs = spark.createDataFrame([("the cat and the dog are in the house with them", "en"), ("der hund und die katze sind nicht im haus mit ihnen", "de"), ("le chat et le chien sont dans la maison", "fr")], "text string, lang string")
+    langs, logs = model = language.fit_text_model(docs)
+    bodies = ["the dog", "der hund", "le chien est dans", "", "x", "und the"]
+    rows = [(i, [f"https://h{i % 4}.a.de/p", f"https://h{i % 3}.b.com/de/x", f"http://alone{i}.org/", None][i % 4], f'<html lang="{["en", "de", "xx"][i % 3]}"><p>{bodies[i % 6]}</p>') for i in range(40)]
+    got = {r.page_id: r for r in language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    k = len(langs)
+    share = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    trust = lambda code, t: np.array([0.0 if code not in langs else np.log(t if code == x else (1 - t) / (k - 1)) for x in langs])
+    host = {r[0]: got[r[0]].host for r in rows}
+    keys = {i: [h, ".".join(h.split(".")[-2:]), h.split(".")[-1], "all"] for i, h in host.items()}
+    evidence = {}
+    for i, _, html in rows:
+        cells, counts = np.unique(language.trigram_cells(language.visible_text(html)), return_counts=True)
+        evidence[i] = logs[:, cells] @ counts * 0.05 + trust(got[i].declared, 0.9) + trust(got[i].address_lang, 0.85)
+    for i in host:
+        prior = np.full(k, 1 / k)
+        for level in (3, 2, 1, 0):
+            others = [share(evidence[j]) for j in host if j != i and keys[j][level] == keys[i][level]]
+            prior = (sum(others, np.zeros(k)) + 5 * prior) / (len(others) + 5)
+        want = share(evidence[i] + np.log(prior))
+        assert abs(got[i].probability - want.max()) < 1e-9 and (got[i].lang == langs[int(want.argmax())] or np.sort(want)[-2] > want.max() - 1e-9)
+
+
+def test_language_bounds(spark):
+    assert language.visible_text("a<script>" * 20_000).strip() == "a"
+    assert language.visible_text("<p>a<!-- b --> c<i") .split() == ["a", "c"]
+    docs = spark.createDataFrame([("some words", f"l{i:04d}") for i in range(300)] + [("more", "zz"), ("more", "zz")], "text string, lang string")
+    assert language.fit_text_model(docs, most=3)[0] == ["l0000", "l0001", "zz"]
