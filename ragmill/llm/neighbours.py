@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import met, stored
+from .common import few, met, stored
 
 EDGES = "id long, nb long, d double"
 
@@ -106,36 +107,72 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, around: int, before: Dat
     With it come these groups (id, nbs). Those with no member that wasn't in them `before` have all met already, at no
     lower bounds, so they need not meet again.
     """
-    far = F.lit(float("inf"))
     lists = stored(nearest(both_ways(graph), around).groupBy("id").agg(F.sort_array(F.collect_list("nb")).alias("nbs")), "graph-groups")
     members = lists
     if before is not None:
         none = F.array().cast("array<long>")
         members = lists.join(before.withColumnRenamed("nbs", "met").hint("merge"), "id", "left").where(F.size(F.array_except("nbs", F.coalesce("met", none))) > 0)
     members = members.select("id", F.explode("nbs").alias("nb"))
-    worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("has")).select(F.col("id").alias("nb"), F.when(F.col("has") < k, far).otherwise(F.col("worst")).alias("worst"))
-    known = nodes.select(F.col("id").alias("nb"), "vec").join(worst.hint("merge"), "nb", "left").select("nb", "vec", F.coalesce("worst", far).alias("worst"))
-    met = members.join(known.hint("merge"), "nb").withColumnRenamed("id", "g")
-    fresh = by_group(met, ["g"], local_join(k), EDGES).withColumn("old", F.lit(0))
+    together = members.join(bounds_of(graph, nodes, k).hint("merge"), "nb").withColumnRenamed("id", "g")
+    fresh = by_group(together, ["g"], local_join(k), EDGES).withColumn("old", F.lit(0))
     return stored(nearest(graph.withColumn("old", F.lit(1)).unionByName(fresh), k), "graph-edges"), lists
 
 
-def build_graph(nodes: DataFrame, k: int = 14, starts: int = 3, group: int = 64, around: int = 24, still: float = 0.001) -> DataFrame:
+def cells(nodes: DataFrame, starts: int, bits: int, seed: int) -> DataFrame:
+    """id, s, cell: on which sides of `bits` random hyperplanes a node lies, for each of `starts` sets of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = matrix(batch["vec"]).astype(np.float64)
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(x.shape[1], starts * bits))
+            sides = (x @ planes > 0).reshape(len(x), starts, bits)
+            cell = sides @ (1 << np.arange(bits, dtype=np.int64))
+            yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), starts), "s": np.tile(np.arange(starts), len(x)), "cell": cell.ravel()})
+
+    return nodes.mapInPandas(run, "id long, s int, cell long")
+
+
+def bounds_of(graph: DataFrame | None, nodes: DataFrame, k: int) -> DataFrame:
+    """nb, vec, worst: each node with the distance of its farthest of k neighbours, infinite while it has fewer."""
+    far = F.lit(float("inf"))
+    if graph is None:
+        return nodes.select(F.col("id").alias("nb"), "vec", far.alias("worst"))
+    worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("has")).select(F.col("id").alias("nb"), F.when(F.col("has") < k, far).otherwise(F.col("worst")).alias("worst"))
+    return nodes.select(F.col("id").alias("nb"), "vec").join(worst.hint("merge"), "nb", "left").select("nb", "vec", F.coalesce("worst", far).alias("worst"))
+
+
+def start_graph(nodes: DataFrame, n: int, k: int, starts: int, group: int, batch: int = 8) -> DataFrame:
+    """A first graph: in each of `starts` random partitions of space, a node meets those of its cell.
+
+    Cells come from as many hyperplanes as give about `group` nodes each; larger ones are dealt out by a hash, so a
+    group has about that many at most, whatever the vectors are.
+    """
+    bits, graph = max(0, math.ceil(math.log2(max(1, n / group)))), None
+    for seed in range(0, starts if bits else 1, batch):
+        here = stored(cells(nodes, min(batch, starts) if bits else 1, bits, seed), "graph-cells")
+        sizes = stored(here.groupBy("s", "cell").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")), "graph-sizes")
+        dealt = here.join(few(sizes), ["s", "cell"]).select("s", "cell", F.pmod(F.xxhash64("id", "s"), F.col("parts")).alias("part"), F.col("id").alias("nb"))
+        dealt = dealt.join(bounds_of(graph, nodes, k).hint("merge"), "nb")
+        fresh = by_group(dealt, ["s", "cell", "part"], local_join(k), EDGES).withColumn("old", F.lit(0))
+        graph = stored(nearest(fresh if graph is None else graph.unionByName(fresh), k), "graph-edges")
+    return graph.withColumn("old", F.lit(0))
+
+
+def build_graph(nodes: DataFrame, k: int = 14, starts: int = 48, group: int = 1024, around: int = 24, still: float = 0.001) -> DataFrame:
     """id, nb, d, old: about the k nearest neighbours of each node (id, vec as 32-bit floats), by NN-descent.
 
-    Every node first meets those of `starts` random groups of about `group`. Then, round by round, the `around` nearest
+    Every node first meets those of its cell in `starts` random partitions. Then, round by round, the `around` nearest
     of a node's neighbours and of those that name it meet each other, since a neighbour's neighbours are likely to be
     neighbours; a node keeps its k nearest. Groups are bounded by construction, so no node, however central, is one
     task's work. Rounds end when fewer than `still` of all edges are new, as in the paper on NN-descent: the last ones
     change hardly any list, and the search looks beyond a node's list anyway. d is the squared distance.
     """
     n = nodes.count()
-    total = max(1, -(-n // group))
-    far = F.lit(float("inf"))
-    ones = F.array(*[F.struct(F.lit(s).alias("s"), F.pmod(F.xxhash64("id", F.lit(s)), F.lit(total)).alias("g")) for s in range(starts)])
-    dealt = nodes.select(F.explode(ones).alias("x"), F.col("id").alias("nb"), "vec", far.alias("worst")).select("x.*", "nb", "vec", "worst")
-    graph = stored(nearest(by_group(dealt, ["s", "g"], local_join(k), EDGES).withColumn("old", F.lit(0)), k), "graph-edges")
-    groups = None
+    graph, groups = start_graph(nodes, n, k, starts, group), None
     while graph.where("old = 0").count() > still * k * n:
         graph, groups = descend(graph, nodes, k, around, groups)
     return graph
