@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import few, scratch
 
 RECORD = "page_id long, payload binary, payload_digest string, refers_to long, url string, record_type string"
 MANIFEST = "shard int, part int, path string, records long, bytes long, sha256 string"
@@ -161,15 +161,24 @@ def write_warc(rows: DataFrame, marks: DataFrame, folder: str, bounds: list[int]
     return rows.sparkSession.read.schema(MANIFEST).parquet(manifest)
 
 
+#: Bytes of an archive that a record's decompressor is given at once.
+STEP = 1 << 16
 HEADER = re.compile(rb"^([A-Za-z-]+): (.*?)\r?$", re.M)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple]:
     """Records of one archive, member by member: page_id, record_type, payload_bytes, payload_digest, refers_to, url, payload."""
-    while content:
-        member = zlib.decompressobj(wbits=31)
-        data = member.decompress(content)
-        content = member.unused_data
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(wbits=31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("archive ends within a record")
+            piece = view[at : at + STEP]
+            parts.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         fields = {k.decode().lower(): v.decode() for k, v in HEADER.findall(head)}
         block = rest[: int(fields["content-length"])]
@@ -190,16 +199,17 @@ def parse_archive(content: bytes) -> Iterator[tuple]:
 def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """Records of the archives that the manifest in `folder` names; temporary files of lost attempts are never read.
 
-    The driver gets one path per file, as it does for any table. Each file is read whole by one task, so `roll_bytes`
-    of the writer bounds its memory. Lengths and digests of responses are computed anew and held against the headers;
+    Files are listed by their folder and held against the manifest by a join. Each is read whole by one task, so
+    `roll_bytes` of the writer bounds its memory. Lengths and digests of responses are computed anew and held against the headers;
     revisits, which have no payload, take theirs from the header. Returns page_id, record_type, payload_bytes,
     payload_digest, refers_to, url and, if asked for, payload. No archives give no rows.
     """
     columns = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "payload"][: 6 + with_payload]
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string" + ", payload binary" * with_payload
-    paths = [r.path for r in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("path").collect()]
-    if not paths:
-        return spark.createDataFrame([], schema)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    named = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select(name)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(folder)
+    files = files.select(name, "content").join(few(named), "name", "left_semi")
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
@@ -217,7 +227,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = True) -> Da
                 if rows:
                     yield frame(rows)
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(parse, schema)
+    return files.select("content").mapInPandas(parse, schema)
 
 
 def warc_round_trip(pages: DataFrame, shard_rows: int = 1000, roll_bytes: int = 8 << 20, min_bytes: int = 100) -> DataFrame:
