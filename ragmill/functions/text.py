@@ -11,6 +11,9 @@ NUMBERING = r"^[0-9]+[.、)]\s*"
 NUMBERING_DASH = r"^[0-9]+[.、)\-]\s*"
 SENTENCE_END = r"(?<=[。！？.!?])\s*"
 TRUNCATED = "...(内容已截断)"
+PIECE_END = r"(?<=[。！？；\n])\s*|(?<=[.!?;]\s)\s*"
+#: Scripts written without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def empties_dropped(parts: Column) -> Column:
@@ -18,8 +21,14 @@ def empties_dropped(parts: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Search terms: maximal runs of letters and digits, case kept."""
-    return empties_dropped(F.split(text, r"[^\p{L}\p{N}]+"))
+    """Search terms: maximal runs of letters and digits, case kept; of runs in scripts without spaces each two neighbours.
+
+    A single such character is a term of its own. Only texts that have such runs pay for looking into every term.
+    """
+    runs = empties_dropped(F.split(F.regexp_replace(text, f"({UNSPACED}+)", " $1 "), r"[^\p{L}\p{N}]+"))
+    pairs = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))
+    split = F.flatten(F.transform(runs, lambda x: F.when(x.rlike(f"^{UNSPACED}{{2}}"), pairs(x)).otherwise(F.array(x))))
+    return F.when(text.rlike(UNSPACED), split).otherwise(empties_dropped(F.split(text, r"[^\p{L}\p{N}]+")))
 
 
 def token_count(text: Column) -> Column:
@@ -69,7 +78,7 @@ def parse_tags(raw: Column) -> Column:
 
 def pieces_of_sentences(text: Column) -> Column:
     """Pieces between sentence ends, trimmed, those of 5 characters or more."""
-    parts = F.split(text, r"(?<=[。！？；\n])\s*|(?<=[.!?;]\s)\s*")
+    parts = F.split(text, PIECE_END)
     return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: F.length(x) >= 5)
 
 

@@ -109,10 +109,10 @@ def parents(subs: DataFrame, per_parent: int = 4, most: int = 1024, joiner: str
     return rows.select("document_id", "parent_index", F.when(n > most, T.token_truncate(F.col("content"), most)).otherwise(F.col("content")).alias("content"), F.least(n, F.lit(most)).alias("token_count"), "pages", "sub_count")
 
 
-def windows(docs: DataFrame, size: int = 700, overlap: int = 100) -> DataFrame:
-    """document_id, chunk_index, content: character windows of each text."""
-    starts = docs.select("document_id", "text", F.posexplode(T.window_starts(F.length("text"), size, overlap)).alias("chunk_index", "start"))
-    return starts.select("document_id", "chunk_index", F.expr(f"substr(text, start + 1, {size})").alias("content"))
+def windows(docs: DataFrame, size: int = 700, overlap: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """document_id, the `carry` columns, chunk_index, content: character windows of each text."""
+    starts = docs.select("document_id", *carry, "text", F.posexplode(T.window_starts(F.length("text"), size, overlap)).alias("chunk_index", "start"))
+    return starts.select("document_id", *carry, "chunk_index", F.expr(f"substr(text, start + 1, {size})").alias("content"))
 
 
 def two_level_windows(docs: DataFrame, parent: tuple[int, int] = (2200, 250), sub: tuple[int, int] = (700, 100)) -> DataFrame:

@@ -9,10 +9,11 @@ from ..functions.text import terms
 from ..functions.vector import dot, norm
 
 
-def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, threshold: float = 0.5, metric: str = "half") -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, threshold: float = 0.5, metric: str = "half", not_itself: bool = False) -> DataFrame:
     """query_id, id, score, rank of vectors (kb_id, id, embedding) for queries (query_id, kb_id, embedding).
 
-    Queries meet only vectors of their knowledge base, an equi-join. metric "half" scores 1 - d / 2 of the cosine
+    Queries meet only vectors of their knowledge base, an equi-join; with not_itself query ids are ids of vectors, which
+    don't find themselves. metric "half" scores 1 - d / 2 of the cosine
     distance d, "sidecar" max(0, 1 - d). The top_k are cut first and the threshold applied to them afterwards. Norms are
     computed once for each vector, not for each pair.
     """
@@ -20,7 +21,8 @@ def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, threshold: fl
     v = vectors.select("kb_id", "id", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("vn"))
     cos = F.when((F.col("qn") > 0) & (F.col("vn") > 0), dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("vn"))).otherwise(0.0)
     score = F.round((1 + cos) / 2, 4) if metric == "half" else F.round(F.greatest(F.lit(0.0), cos), 4)
-    scored = q.join(v, "kb_id").where(F.size("qv") == F.size("v")).select("query_id", "id", score.alias("score"))
+    pairs = q.join(v, "kb_id").where(F.size("qv") == F.size("v"))
+    scored = pairs.where(F.col("query_id") != F.col("id") if not_itself else F.lit(True)).select("query_id", "id", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).where(F.col("score") >= threshold)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bm25, catalog, feedback, jobs, tags
-from .base import query
+from .base import TERMS, query
 
 # ---- tags ---------------------------------------------------------------------------------------------------------------
 
@@ -68,7 +68,7 @@ def tag09(t):
     return t.documents.select("doc_id", F.array_join(F.transform(tags.normalise(raw), lambda x: F.concat(x["source"], F.lit(":"), x["name"])), ",").alias("tags"))
 
 
-@query("tag10_keywords", r"""w as (select doc_id, unnest(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from documents), p as (select doc_id, term, count(*) as tf from w group by all),
+@query("tag10_keywords", """w as (select doc_id, unnest(""" + TERMS + r""") as term from documents), p as (select doc_id, term, count(*) as tf from w group by all),
     d as (select term, count(*) as df from p group by term), n as (select count(*) as n from documents),
     s as (select doc_id, term, round(tf * ln((n - df + 0.5) / (df + 0.5) + 1), 6) as s from p join d using (term), n where length(term) > 1 and not regexp_matches(term, '^[0-9]+$') and lower(term) not in ('document', 'report', 'guide', 'tutorial', 'introduction', 'technology', 'software', 'programming', 'development'))
     select doc_id as chunk_id, row_number() over (partition by doc_id order by s desc, term) as pos, term from s qualify pos <= 5""")

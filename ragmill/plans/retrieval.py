@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25, chunk, fusion, rerank, retrieve, vectors
 from ..sources.views import Tables
-from .base import query
+from .base import TERMS, query
 
 # ---- shared SQL ---------------------------------------------------------------------------------------------------------
 
-WIN = """win as (select document_id, kb_id, cast(i as int) as chunk_index, substr(text, cast(i * 600 + 1 as bigint), 700) as content
-    from (select document_id, kb_id, text, unnest(range(0, cast(ceil(greatest(length(text) - 700, 0) / 600.0) as bigint) + 1)) as i from docs where length(text) > 0)),
-chunks as (select kb_id, 'chunk_' || document_id || '_' || chunk_index as chunk_id, content as text from win where kb_id is not null)"""
+WIN = """members as (select document_id, kb_id from docs where kb_id is not null union select document_id, kb_id from doc_kb),
+win as (select document_id, cast(i as int) as chunk_index, substr(text, cast(i * 600 + 1 as bigint), 700) as content
+    from (select document_id, text, unnest(range(0, cast(ceil(greatest(length(text) - 700, 0) / 600.0) as bigint) + 1)) as i from docs where length(text) > 0)),
+chunks as (select kb_id, 'chunk_' || document_id || '_' || chunk_index as chunk_id, content as text from win join members using (document_id))"""
 POST = WIN + r""",
-words as (select kb_id, chunk_id, unnest(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from chunks),
+words as (select kb_id, chunk_id, unnest(""" + TERMS + r""") as term from chunks),
 post as (select kb_id, chunk_id, term, count(*) as tf from words group by all),
 lens as (select c.kb_id, c.chunk_id, coalesce(n, 0) as len from chunks c left join (select kb_id, chunk_id, count(*) as n from words group by all) w using (kb_id, chunk_id)),
 stat as (select kb_id, count(*) as n, avg(len) as avgdl from lens group by kb_id),
 idf as (select kb_id, term, df, ln((n - df + 0.5) / (df + 0.5) + 1) as idf from (select kb_id, term, count(*) as df from post group by all) join stat using (kb_id))"""
 BM = POST + r""",
-asked as (select query_id, kb_id, term, count(*) as times from (select query_id, kb_id, unnest(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from text_queries) group by all),
+asked as (select query_id, kb_id, term, count(*) as times from (select query_id, kb_id, unnest(""" + TERMS + r""") as term from text_queries) group by all),
 hits as (select query_id, chunk_id as id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / avgdl))), 4) as score
     from asked join post using (kb_id, term) join idf using (kb_id, term) join lens using (kb_id, chunk_id) join stat using (kb_id) group by query_id, chunk_id),
 bm as (select *, row_number() over (partition by query_id order by score desc, id) as bm25_rank from hits where score > 0 qualify bm25_rank <= 15)"""
@@ -40,9 +41,12 @@ fused as (select *, row_number() over (partition by query_id order by rrf desc,
 
 
 def chunks(t: Tables) -> DataFrame:
-    """Character windows of documents that are in a knowledge base: kb_id, chunk_id, text."""
-    docs = t.docs.where("kb_id is not null").select("document_id", "kb_id", "text")
-    win = chunk.windows(docs).join(docs.select("document_id", "kb_id"), "document_id")
+    """Character windows of documents in each knowledge base they are in, by either path: kb_id, chunk_id, text."""
+    linked = t.doc_kb.groupBy("document_id").agg(F.collect_set("kb_id").alias("linked"))
+    none = F.array().cast("array<int>")
+    kbs = F.array_distinct(F.array_compact(F.concat(F.array("kb_id"), F.coalesce("linked", none))))
+    docs = t.docs.select("document_id", "kb_id", "text").join(linked, "document_id", "left").select("document_id", kbs.alias("kbs"), "text")
+    win = chunk.windows(docs, carry=("kbs",)).withColumn("kb_id", F.explode("kbs"))
     return win.select("kb_id", F.concat_ws("_", F.lit("chunk"), "document_id", "chunk_index").alias("chunk_id"), F.col("content").alias("text"))
 
 
@@ -69,7 +73,7 @@ def lists(t: Tables) -> DataFrame:
 # ---- BM25 ---------------------------------------------------------------------------------------------------------------
 
 
-@query("bm01_terms", r"select item_id, array_to_string(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') as terms from benchmark")
+@query("bm01_terms", "select item_id, array_to_string(" + TERMS + ", ' ') as terms from benchmark")
 def bm01(t):
     from ..functions.text import terms
 
@@ -104,7 +108,7 @@ def bm06(t):
 
 
 @query("bm07_build_by_membership", r"""members as (select document_id, kb_id from docs where kb_id is not null union select document_id, kb_id from doc_kb),
-    words as (select m.kb_id, document_id, unnest(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from members m join docs d using (document_id))
+    words as (select m.kb_id, document_id, unnest(""" + TERMS + r""") as term from members m join docs d using (document_id))
     select kb_id, term, count(distinct document_id) as df, count(*) as tf from words group by all""")
 def bm07(t):
     """Document frequencies of every knowledge base, by both membership paths."""
@@ -114,15 +118,16 @@ def bm07(t):
     return bm25.postings(rows).groupBy("kb_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("bm08_standalone_search", BM + " select query_id, id, score, bm25_rank from bm where query_id in (select query_id from text_queries where kb_id < 10) and bm25_rank <= 5")
+@query("bm08_standalone_search", BM + " select query_id, id, score, bm25_rank from bm where bm25_rank <= 5")
 def bm08(t):
-    """Knowledge bases without an index (here: those from 10) give no rows."""
-    return bm25.search(t.text_queries, chunks(t).where("kb_id < 10"), 5)
+    """All queries, and as many of a knowledge base that doesn't exist: one without an index gives no rows."""
+    nowhere = t.text_queries.withColumns({"query_id": F.col("query_id") + 1_000_000_000, "kb_id": F.lit(-1)})
+    return bm25.search(t.text_queries.unionByName(nowhere), chunks(t), 5)
 
 
 # ---- vectors ------------------------------------------------------------------------------------------------------------
 
-KNN = """pairs as (select query_id, vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as cos from vector_queries q join vectors v using (kb_id)),
+KNN = """pairs as (select query_id, vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as cos from vector_queries q join vectors v using (kb_id) where v.vec_id <> q.query_id),
 knn as (select query_id, id, round((1 + cos) / 2, 4) as score, row_number() over (partition by query_id order by round((1 + cos) / 2, 4) desc, id) as rank from pairs qualify rank <= 5)"""
 
 
@@ -131,23 +136,23 @@ def vec01(t):
     from ..functions.vector import cosine
 
     q = t.vector_queries.select("query_id", "kb_id", F.col("embedding").alias("q"))
-    return q.join(dense(t), "kb_id").select("query_id", "id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+    return q.join(dense(t), "kb_id").where(F.col("query_id") != F.col("id")).select("query_id", "id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
 
 
 @query("vec02_knn", KNN + " select query_id, id, score, rank from knn where score >= 0.5")
 def vec02(t):
-    return vectors.search(t.vector_queries, dense(t))
+    return vectors.search(t.vector_queries, dense(t), not_itself=True)
 
 
 @query("vec03_sidecar_knn", KNN.replace("round((1 + cos) / 2, 4)", "round(greatest(0, cos), 4)") + " select query_id, id, score, rank from knn where score >= 0.35")
 def vec03(t):
-    return vectors.search(t.vector_queries, dense(t), 5, 0.35, "sidecar")
+    return vectors.search(t.vector_queries, dense(t), 5, 0.35, "sidecar", not_itself=True)
 
 
 @query("vec04_merge_modalities", KNN + """, img as (select query_id, id, score from knn where id % 3 = 0 and score >= 0.5), txt as (select query_id, id, score from knn where id % 3 <> 0),
     both_ as (select *, 'text' as modality from txt union all select *, 'image' from img) select query_id, id, score, modality, row_number() over (partition by query_id order by score desc, modality, id) as rank from both_ qualify rank <= 5""")
 def vec04(t):
-    hits = vectors.search(t.vector_queries, dense(t), 5, 0.0)
+    hits = vectors.search(t.vector_queries, dense(t), 5, 0.0, not_itself=True)
     return vectors.merge_modalities(hits.where("id % 3 <> 0"), hits.where("id % 3 = 0"))
 
 
@@ -246,7 +251,7 @@ def rer04(t):
     return rerank.rerank(candidates(t), 8)
 
 
-@query("rer05_cross_encoder", CANDS + " select query_id, id, norm as rerank_score, cast(row_number() over (partition by query_id order by norm desc, id) as int) as rank from z qualify rank <= 8")
+@query("rer05_cross_encoder", CANDS + " select query_id, id, norm as rerank_score, cast(row_number() over (partition by query_id order by norm desc, id) as int) as rank from z qualify row_number() over (partition by query_id order by norm desc, id) <= 8")
 def rer05(t):
     return rerank.rerank(candidates(t), 8, always=True)
 
@@ -295,7 +300,7 @@ def rer07(t):
 
 @query("ret01_basic", KNN + " select query_id, id, score, rank from knn where score >= 0.7")
 def ret01(t):
-    return vectors.search(t.vector_queries, dense(t), 5, 0.7)
+    return vectors.search(t.vector_queries, dense(t), 5, 0.7, not_itself=True)
 
 
 @query("ret02_hybrid_flagship", LISTS + """, doc as (select query_id, cast(split_part(id, '_', 2) as bigint) as document_id, id, rrf, rank, row_number() over (partition by query_id, split_part(id, '_', 2) order by rank) as nth from fused)

@@ -15,7 +15,7 @@ VIEWS = {
         from {documents} d left join {labels} l on d.doc_id = l.doc_id""",
     "doc_kb": "select doc_id as document_id, cast((doc_id * 7) % 20 as int) as kb_id from {documents} where doc_id % 3 = 0",
     "doc_tags": "select doc_id as document_id, lang as name, 'manual' as source from {documents} union all select doc_id, case when quality = 1 then 'quality' else 'review' end, 'auto' from {labels}",
-    "vectors": "select vec_id, label as kb_id, embedding from {embeddings} where vec_id % 50 <> 0",
+    "vectors": "select vec_id, label as kb_id, embedding from {embeddings}",
     "vector_queries": "select vec_id as query_id, label as kb_id, embedding from {embeddings} where vec_id % 50 = 0",
     "text_queries": "select item_id as query_id, cast(item_id % 20 as int) as kb_id, text from {benchmark}",
     "conversations_v": "select conv_id, conv_id % 10 as user_id, case when conv_id % 4 = 0 then null else cast(conv_id % 20 as int) end as kb_id, count(*) as n_messages from {conversations} group by conv_id",

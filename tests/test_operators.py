@@ -157,3 +157,11 @@ def test_threshold_is_applied_after_the_cut(spark):
     assert [r.id for r in vectors.search(q, v, 2, 0.9).orderBy("rank").collect()] == [0]
     plan = vectors.search(q, v, 2, 0.9)._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.index("score") < plan.index("Window")
+
+
+def test_terms_of_scripts_without_spaces(spark):
+    from ragmill.functions.text import terms
+
+    rows = ["plain Words, 2 of them", "检索增强 RAG生成x", "字", "かな カ", "", "a-b日本語c"]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(terms(F.col("x")).alias("t")).collect()]
+    assert got == [["plain", "Words", "2", "of", "them"], ["检索", "索增", "增强", "RAG", "生成", "x"], ["字"], ["かな", "カ"], [], ["a", "b", "日本", "本語", "c"]]

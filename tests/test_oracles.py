@@ -5,15 +5,16 @@ import pytest
 from conftest import DATA, oracle_rows, rows_of
 from ragmill.plans import registry
 
-QUICK = [n for n in registry.queries() if n in registry.oracle_sql() and not n.startswith(("fus0", "rer0", "ret0"))]
-HEAVY = ["fus01_reciprocal_rank", "fus03_linear", "fus04_hybrid", "rer04_rerank", "rer02_parse_scores", "rer03_parse_legacy", "ret02_hybrid_flagship", "ret03_parents", "ret05_source_enrichment", "ret07_hard_truncate", "ret08_context_text"]
 
 
-@pytest.mark.parametrize("name", [*QUICK, *HEAVY])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_as_sql(spark, duck, name):
     assert rows_of(registry.queries()[name](spark, DATA)) == oracle_rows(duck, registry.oracle_sql()[name])
 
 
+#: Queries without SQL, and whether the given pages and documents hold anything for them; txt10_cards has literal tests.
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n not in registry.oracle_sql()])
-def test_without_sql_runs(spark, name):
-    assert registry.queries()[name](spark, DATA).count() >= 0
+def test_without_sql_gives_rows(spark, name):
+    out = registry.queries()[name](spark, DATA)
+    assert len(set(out.columns)) == len(out.columns)
+    assert name == "txt10_cards" or out.count() > 0
