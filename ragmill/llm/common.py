@@ -15,7 +15,7 @@ U64 = np.uint64
 LOW = -(1 << 63)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Rows of documents are long: Arrow batches of `rows` at most keep a Python worker's memory to a few megabytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:

@@ -237,7 +237,11 @@ def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int]
             break
         least, total = n, total + k
     chosen = counted.where(F.col("n") >= least)
-    found = lexicon(spread(chosen.select("unit")), model).join(chosen.hint("merge"), "unit").toArrow().sort_by([("n", "descending"), ("unit", "ascending")])
+    often = dict(zip(*chosen.select("unit", "n").toArrow().to_pydict().values(), strict=True))
+    found = lexicon(spread(chosen.select("unit")), model).toArrow()
+    units = found["unit"].to_pylist()
+    order = sorted(range(len(units)), key=lambda i: (-often[units[i]], units[i]))
+    found = found.take(order)
     lists = found["ids"].combine_chunks()
     return {u: i for i, u in enumerate(found["unit"].to_pylist())}, lists.flatten().to_numpy().astype(np.int32), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
 
@@ -349,8 +353,7 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
             out, units, round_trip = [], [], []
             for codes, own, long, md5 in zip(batch["codes"], batch["own"], batch["long"], batch["md5"], strict=True):
                 codes = unpacked(codes)
-                mine = [x["ids"] for x in sorted(own, key=lambda x: x["k"])] if own is not None else []
-                ids = spelled(codes, flat, ends, mine, long if long is not None else [])
+                ids = spelled(codes, flat, ends, list(own) if own is not None else [], list(long) if long is not None else [])
                 out.append(ids)
                 units.append(codes.size)
                 round_trip.append(check and hashlib.md5(decode_ids(ids.tolist(), pieces).encode()).digest() == md5)
@@ -363,7 +366,8 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     tails = tails.groupBy("unit", "u1", "u2").agg(F.min("k").alias("k")).where("k >= 0")
     found = lexicon(tails.select("unit").distinct(), model)
     # repartitioned first, as lists of the few rows that a task has of a document would only be longer
-    own = tails.join(found.hint("merge"), "unit").select("u1", "u2", "k", "ids").repartition("u1", "u2").groupBy("u1", "u2").agg(F.collect_list(F.struct("k", "ids")).alias("own"))
+    own = tails.join(found.hint("merge"), "unit").select("u1", "u2", "k", "ids").repartition("u1", "u2").groupBy("u1", "u2").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("own"))
+    own = own.select("u1", "u2", F.transform("own", lambda x: x["ids"]).alias("own"))
     waiting = rows.mapInPandas(shorten, f"{fields}u1 long, u2 long, md5 binary, codes binary, long array<array<int>>")
     extra = ", n_units long, round_trip boolean" if check else ""
     out = waiting.join(own.hint("merge"), ["u1", "u2"], "left").mapInPandas(assemble, f"{fields}ids array<int>{extra}")
