@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -241,7 +242,7 @@ def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int]
     found = lexicon(spread(chosen.select("unit")), model).toArrow()
     units = found["unit"].to_pylist()
     order = sorted(range(len(units)), key=lambda i: (-often[units[i]], units[i]))
-    found = found.take(order)
+    found = found.take(pa.array(order, pa.int64()))
     lists = found["ids"].combine_chunks()
     return {u: i for i, u in enumerate(found["unit"].to_pylist())}, lists.flatten().to_numpy().astype(np.int32), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
 
