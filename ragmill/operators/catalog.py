@@ -79,6 +79,18 @@ def link(doc_kb: DataFrame, new: DataFrame) -> DataFrame:
     return doc_kb.select("document_id", "kb_id").union(new.select("document_id", "kb_id")).dropDuplicates(["document_id", "kb_id"])
 
 
+def unlink(doc_kb: DataFrame, gone: DataFrame) -> DataFrame:
+    """The bridge without the pairs in `gone`; pairs that aren't there change nothing."""
+    return doc_kb.select("document_id", "kb_id").join(gone.select("document_id", "kb_id"), ["document_id", "kb_id"], "left_anti")
+
+
+def touched(before: DataFrame, after: DataFrame) -> DataFrame:
+    """kb_id of the knowledge bases whose membership changed, each once: those whose index must be built again."""
+    side = lambda df, n: df.select("document_id", "kb_id").distinct().withColumn("n", F.lit(n))
+    both = side(before, 1).unionByName(side(after, -1)).groupBy("document_id", "kb_id").agg(F.sum("n").alias("n"))
+    return both.where("n <> 0").select("kb_id").distinct()
+
+
 def page_of(rows: DataFrame, page: int, size: int, order: str = "document_id") -> DataFrame:
     """One page, newest first, with total and total_pages; page and size are held to 1 and 1..100.
 

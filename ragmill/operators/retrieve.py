@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .vectors import hashed_terms
+from ..sources.files import written
+from . import bm25, fusion, rerank
+from .vectors import hashed_terms, sparse_search
 
 SUFFIX = "\n\n...(内容已截断)"
 
@@ -88,3 +90,67 @@ def validate(requests: DataFrame) -> DataFrame:
     n = F.length(F.coalesce("text", F.lit("")))
     reason = F.when((n < 1) | (n > 2000), "query").when(F.coalesce(F.col("kb_id") < 1, F.lit(True)), "kb_id").when(~F.col("top_k").between(1, 50), "top_k").when(~F.col("threshold").between(0, 1), "threshold")
     return requests.withColumn("reject_reason", reason)
+
+
+def enhanced_lists(variants: DataFrame, chunks: DataFrame, images: DataFrame, fetch: int = 15, threshold: float = 0.5) -> DataFrame:
+    """query_id, list_id, rank, id, score: one list for each variant (query_id, kb_id, variant, text) that has a vector hit.
+
+    A list is the hybrid of the variant's vector and BM25 hits in `chunks` (kb_id, chunk_id, text), `fetch` of them at
+    most, then its hits in `images` (same columns) in their own order. A variant without a vector hit has no list, so its
+    BM25 hits don't count. Null texts have no terms and no list.
+    """
+    asked = variants.select(F.struct("query_id", "variant").alias("query_id"), "kb_id", "text")
+
+    def hashed(df: DataFrame, *key: str) -> DataFrame:
+        rows = df.select(F.struct(*key).alias("id"), "text")
+        return hashed_terms(rows).select("id.*", "bucket", "weight")
+
+    def near(df: DataFrame) -> DataFrame:
+        vecs = hashed(df, "kb_id", "chunk_id").withColumnRenamed("chunk_id", "id")
+        return sparse_search(hashed(asked, "query_id", "kb_id"), vecs, fetch).where(F.col("score") >= threshold)
+
+    semantic, pictures = written(near(chunks), "semantic"), written(near(images), "pictures")
+    alive = semantic.select("query_id").unionByName(pictures.select("query_id")).distinct()
+    words = bm25.search(asked.join(alive, "query_id", "left_semi"), chunks, fetch).withColumnRenamed("bm25_rank", "rank")
+    words = written(words, "words")
+    fused = fusion.hybrid(semantic, words, fetch).select("query_id", F.lit(0).alias("part"), "rank", "id", "score")
+    both = fused.unionByName(pictures.select("query_id", F.lit(1).alias("part"), "rank", "id", "score"))
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "rank"))
+    return both.withColumn("rank", order).select("query_id.query_id", F.col("query_id.variant").alias("list_id"), "rank", "id", "score")
+
+
+def enhanced(lists: DataFrame, raw: DataFrame, basic: DataFrame, failed: DataFrame, top_k: int = 5) -> DataFrame:
+    """query_id, id, score, rank, stage: results of enhanced retrieval.
+
+    `lists` of enhanced_lists() are fused over a query's variants, reranked by the model's scores `raw` (query_id, id,
+    raw; missing ones leave the order) and cut. Queries in `failed` take the first of `basic` (query_id, id, score, rank).
+    """
+    merged = fusion.multi_query(lists).join(failed, "query_id", "left_anti").join(raw, ["query_id", "id"], "left")
+    good = rerank.rerank(merged, top_k).select("query_id", "id", F.col("rerank_score").alias("score"), "rank", F.lit("enhanced").alias("stage"))
+    plain = basic.join(failed, "query_id", "left_semi").where(F.col("rank") <= top_k)
+    return good.unionByName(plain.select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"), F.lit("basic").alias("stage")))
+
+
+def details(variants: DataFrame, lists: DataFrame, results: DataFrame, places: DataFrame) -> DataFrame:
+    """A row for each query: stages, variants, merged_from_variants, candidates_before_rerank, final_count, parent_chunks_used, sources_count.
+
+    `places` (id, document_id, parent_index, page) says where a result is; one without a parent counts as a source only.
+    Counts of stages that a query didn't reach are 0.
+    """
+    asked = variants.groupBy("query_id").agg(F.count("*").alias("variants"))
+    found = lists.groupBy("query_id").agg(F.count_distinct("list_id").alias("lists"), F.count_distinct("id").alias("candidates"))
+    at = results.join(places, "id", "left")
+    final = at.groupBy("query_id").agg(
+        F.count_distinct("id").alias("final_count"), F.max(F.col("stage") == "basic").alias("basic"),
+        F.count_distinct("document_id", "parent_index").alias("parent_chunks_used"),
+        F.count_distinct(F.when(F.col("document_id").isNotNull(), F.struct("document_id", "page"))).alias("sources_count"))
+    rows = asked.join(found, "query_id", "left").join(final, "query_id", "left").na.fill(0).na.fill(False)
+    stages = F.array_compact(F.concat(
+        F.array(F.when(F.col("variants") > 1, "query_rewrite")), F.array_repeat(F.lit("hybrid_search"), F.col("lists").cast("int")),
+        F.array(F.when(F.col("lists") > 1, "multi_query_fusion"), F.when(F.col("basic"), "fallback_basic").when(F.col("lists") == 0, "no_results").otherwise("rerank"),
+                F.when(~F.col("basic") & (F.col("lists") > 0), "complete"))))
+    merged = F.when(F.col("lists") > 1, F.col("lists")).otherwise(0)
+    before = F.when(F.col("basic"), 0).otherwise(F.col("candidates"))
+    return rows.select(
+        "query_id", F.array_join(stages, ",").alias("stages"), "variants", merged.alias("merged_from_variants"), before.alias("candidates_before_rerank"),
+        "final_count", "parent_chunks_used", "sources_count")

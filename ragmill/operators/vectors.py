@@ -75,3 +75,14 @@ def sparse_search(queries: DataFrame, vectors: DataFrame, top_k: int = 5) -> Dat
     scored = pairs.groupBy("query_id", "id").agg(F.round((1 + F.sum(F.col("w") * F.col("weight"))) / 2, 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
+def copy_to_kb(index: DataFrame, links: DataFrame, own: DataFrame) -> DataFrame:
+    """document_id, kb_id, vec_id: `index` and the vectors of newly linked documents.
+
+    A document of `links` (document_id, kb_id) that has any vector in that knowledge base already is left as it is; others
+    get all of their `own` vectors (document_id, vec_id). Repeated links count once, links with nulls not at all.
+    """
+    held = index.select("document_id", "kb_id").distinct()
+    new = links.select("document_id", "kb_id").distinct().join(held, ["document_id", "kb_id"], "left_anti").where("kb_id is not null")
+    return index.select("document_id", "kb_id", "vec_id").unionByName(new.join(own.select("document_id", "vec_id"), "document_id").select("document_id", "kb_id", "vec_id"))

@@ -132,6 +132,23 @@ def rel08(t):
     return catalog.link(t.doc_kb, t.docs.where("document_id % 6 = 0").select("document_id", F.lit(9).alias("kb_id")))
 
 
+RELINK = """new_kb as (select document_id, kb_id from doc_kb where not (kb_id = 7 and document_id % 2 = 0) union select document_id, 9 from docs where document_id % 6 = 0),
+    members as (select document_id, kb_id from new_kb union select document_id, kb_id from docs where kb_id is not null),
+    diff as (select distinct kb_id from ((select * from doc_kb except select * from new_kb) union all (select * from new_kb except select * from doc_kb))),
+    words as (select kb_id, document_id, unnest(""" + TERMS + """) as term from members join (select document_id, text from docs) using (document_id) where kb_id in (select kb_id from diff))"""
+
+
+@query("rel08_relink_rebuild", RELINK + " select kb_id, term, count(distinct document_id) as df, count(*) as tf from words group by all")
+def rel08_rebuild(t):
+    """Documents linked to one knowledge base and unlinked from another; the terms of the touched ones are counted again."""
+    gone = t.doc_kb.where("kb_id = 7 and document_id % 2 = 0")
+    new = t.docs.where("document_id % 6 = 0").select("document_id", F.lit(9).alias("kb_id"))
+    after = catalog.link(catalog.unlink(t.doc_kb, gone), new)
+    members = catalog.membership(t.docs.select("document_id", F.col("kb_id")), after).join(catalog.touched(t.doc_kb, after), "kb_id", "left_semi")
+    rows = members.join(t.docs.select("document_id", "text"), "document_id").select("kb_id", F.col("document_id").alias("chunk_id"), "text")
+    return bm25.postings(rows).groupBy("kb_id", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 @query("rel09_page", "select document_id, row_number() over (order by document_id desc) as nth, (select count(*) from docs where user_id = 2) as total, cast(ceil((select count(*) from docs where user_id = 2) / 15.0) as bigint) as total_pages from docs where user_id = 2 order by document_id desc limit 15 offset 15")
 def rel09(t):
     return catalog.page_of(t.docs.where("user_id = 2"), 2, 15).select("document_id", "nth", "total", "total_pages")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bm25, chunk, fusion, rerank, retrieve, vectors
+from ..sources.files import written
 from ..sources.views import Tables
 from .base import TERMS, query
 
@@ -175,6 +176,16 @@ def vec07(t):
     return new.select("vec_id", F.lit(19).alias("kb_id")).unionByName(t.vectors.where("kb_id = 19").select("vec_id", "kb_id"))
 
 
+@query("vec07_linked_documents", """idx as (select d.document_id, kb_id, vec_id from docs d join embeddings e on e.vec_id // 2 = d.document_id where kb_id is not null)
+    select document_id, kb_id, vec_id from idx union all select l.document_id, l.kb_id, e.vec_id from doc_kb l join embeddings e on e.vec_id // 2 = l.document_id
+    where not exists (select 1 from idx i where i.document_id = l.document_id and i.kb_id = l.kb_id)""")
+def vec07_links(t):
+    """Each document's two vectors in its own knowledge base, copied to those that the bridge table links it to."""
+    own = t.embeddings.select(F.floor(F.col("vec_id") / 2).alias("document_id"), "vec_id")
+    index = t.docs.where("kb_id is not null").select("document_id", "kb_id").join(own, "document_id")
+    return vectors.copy_to_kb(index, t.doc_kb, own)
+
+
 @query("vec08_hashed_vectors", BM + SPARSE + " select id, bucket, round(weight, 6) as weight from cvec")
 def vec08(t):
     return vectors.hashed_terms(chunks(t).select(F.col("chunk_id").alias("id"), "text")).withColumn("weight", F.round("weight", 6))
@@ -313,6 +324,73 @@ def ret02(t):
     return first.withColumn("pos", pos).where("pos <= 5").select("query_id", "document_id", "id", "rrf", "pos")
 
 
+# Rewrites of a passage stand-in: its first 80 characters and the next 80. Keys of variants in SQL are query_id * 8 + variant.
+ENHANCED = """vq as (select query_id * 8 as query_id, kb_id, text from text_queries union all select query_id * 8 + 1, kb_id, substr(text, 1, 80) from text_queries where length(text) > 80
+        union all select query_id * 8 + 2, kb_id, substr(text, 81, 80) from text_queries where length(text) > 80 and substr(text, 81, 80) <> substr(text, 1, 80)), """ + (BM + SPARSE).replace("text_queries", "vq") + """,
+    good as (select query_id, rank, id, score from sem where score >= 0.6),
+    near_img as (select query_id, 'image_' || split_part(id, '_', 2) as id, score from near where split_part(id, '_', 3) = '0' and cast(split_part(id, '_', 2) as bigint) % 4 = 0),
+    img as (select *, row_number() over (partition by query_id order by score desc, id) as rank from near_img qualify rank <= 15),
+    pic as (select * from img where score >= 0.6),
+    alive as (select query_id from good union select query_id from pic),
+    word as (select query_id, bm25_rank as rank, id, score from bm where query_id in (select query_id from alive)),
+    two as (select query_id, 0 as l, rank, id, score from good union all select query_id, 1, rank, id, score from word),
+    rr as (select query_id, id, round(sum(1.0::double / (60 + rank)), 6) as rrf, arg_min(score, l) as score from two group by query_id, id),
+    hyb as (select query_id, 0 as part, row_number() over (partition by query_id order by rrf desc, id) as rank, id, score from rr where query_id in (select query_id from word)
+        union all select query_id, 0, rank, id, score from good where query_id not in (select query_id from word)),
+    vl as (select query_id // 8 as query_id, query_id % 8 as list_id, id, score, row_number() over (partition by query_id order by part, rank) as rank from
+        (select * from hyb where rank <= 15 union all select query_id, 1, rank, id, score from pic)),
+    e as (select query_id, min(list_id) as a, max(list_id) as b from vl group by query_id),
+    again as (select v.query_id, list_id, rank, id, score from vl v join e using (query_id) where a < b union all select v.query_id, 1048576, rank, id, score from vl v join e using (query_id) where a < b and list_id = a),
+    fz as (select query_id, id, round(sum(1.0::double / (60 + rank)), 6) as rrf, arg_min(score, list_id) as score from again group by query_id, id),
+    mq as (select query_id, id, score, row_number() over (partition by query_id order by rrf desc, id) as rank from fz union all select v.query_id, id, score, rank from vl v join e using (query_id) where a = b),
+    c as (select *, cast((cast('0x' || substr(md5(id), 1, 4) as int) % 101) as double) as raw from mq where query_id % 10 <> 9),
+    z as (select *, case when stddev_pop(raw) over q < 1e-6 then 0.5 else round(1 / (1 + exp(-0.8 * (raw - avg(raw) over q) / stddev_pop(raw) over q)), 4) end as norm, count(*) over q as n from c window q as (partition by query_id)),
+    y as (select *, row_number() over (partition by query_id order by norm desc, id) as by_ from z),
+    res as (select query_id, id, case when n <= 5 then coalesce(score, 0.5) else norm end as score, cast(case when n <= 5 then rank else by_ end as int) as rank, 'enhanced' as stage from y where case when n <= 5 then rank else by_ end <= 5
+        union all select query_id // 8, id, score, cast(rank as int), 'basic' from good where query_id % 8 = 0 and (query_id // 8) % 10 = 9 and rank <= 5)"""
+
+
+def enhanced_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Variants, their lists and the results. Every tenth query stands for one whose model calls failed; raw scores come from ids."""
+    halves = F.array(F.substring("text", 1, 80), F.substring("text", 81, 80))
+    rewrites = t.text_queries.select("query_id", F.when(F.length("text") > 80, halves).alias("expansions"))
+    asked = fusion.variants(t.text_queries.select("query_id", "text"), rewrites).join(t.text_queries.select("query_id", "kb_id"), "query_id")
+    rows = written(chunks(t), "chunks")
+    document = F.split("chunk_id", "_")[1]
+    images = rows.where(F.endswith("chunk_id", F.lit("_0")) & (document.cast("long") % 4 == 0)).select("kb_id", F.concat(F.lit("image_"), document).alias("chunk_id"), "text")
+    found = written(retrieve.enhanced_lists(asked, rows, images, 15, 0.6), "lists")
+    failed = t.text_queries.where("query_id % 10 = 9").select("query_id")
+    raw = (F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 101).cast("double")
+    basic = semantic_hits(t).where("score >= 0.6")
+    scores = found.select("query_id", "id").distinct().withColumn("raw", raw)
+    return asked, found, written(retrieve.enhanced(found, scores, basic, failed), "results")
+
+
+@query("ret02_enhanced", ENHANCED + " select query_id, id, score, rank, stage from res")
+def ret02_enhanced(t):
+    """Variants, over-fetch, hybrid search and images for each, fusion over variants, rerank, and basic results where calls failed."""
+    return enhanced_parts(t)[2]
+
+
+@query("ret11_stages", ENHANCED + """, q as (select query_id // 8 as query_id, count(*) as variants from vq group by 1),
+    f as (select query_id, count(distinct list_id) as lists, count(distinct id) as candidates from vl group by query_id),
+    p as (select *, id like 'chunk%' as is_chunk, split_part(id, '_', 2) as d, cast(nullif(split_part(id, '_', 3), '') as int) as k from res),
+    r as (select query_id, count(distinct id) as final_count, bool_or(stage = 'basic') as basic, count(distinct d || '_' || (k * 600 // 1950)) filter (is_chunk) as parents, count(distinct d || '_' || coalesce(k // 4, 0)) as sources from p group by query_id),
+    j as (select query_id, variants, coalesce(lists, 0) as lists, coalesce(candidates, 0) as candidates, coalesce(final_count, 0) as final_count, coalesce(basic, false) as basic, coalesce(parents, 0) as parents, coalesce(sources, 0) as sources
+        from q left join f using (query_id) left join r using (query_id))
+    select query_id, case when variants > 1 then 'query_rewrite,' else '' end || repeat('hybrid_search,', lists) || case when lists > 1 then 'multi_query_fusion,' else '' end
+        || case when basic then 'fallback_basic' when lists = 0 then 'no_results' else 'rerank,complete' end as stages, variants, case when lists > 1 then lists else 0 end as merged_from_variants,
+        case when basic then 0 else candidates end as candidates_before_rerank, final_count, parents as parent_chunks_used, sources as sources_count from j""")
+def ret11_stages(t):
+    """What each query of ret02_enhanced went through; an image belongs to its document's page 0 and has no parent."""
+    asked, found, results = enhanced_parts(t)
+    part = F.split("id", "_")
+    nth = F.get(part, F.lit(2)).cast("int")
+    places = results.select("id").distinct().select(
+        "id", part[1].cast("long").alias("document_id"), F.floor(nth * 600 / 1950).alias("parent_index"), F.coalesce(F.floor(nth / 4), F.lit(0)).alias("page"))
+    return retrieve.details(asked, found, results, places)
+
+
 PARENTS = LISTS + """, up as (select document_id, cast(i as int) as parent_index, substr(text, cast(i * 1950 + 1 as bigint), 2200) as content from (select document_id, text, unnest(range(0, cast(ceil(greatest(length(text) - 2200, 0) / 1950.0) as bigint) + 1)) as i from docs where length(text) > 0)),
     hit as (select distinct query_id, cast(split_part(id, '_', 2) as bigint) as document_id, cast(cast(split_part(id, '_', 3) as int) * 600 // 1950 as int) as parent_index from fused where rank <= 5),
     par as (select h.query_id, h.document_id, h.parent_index, u.content, d.original_filename as filename, row_number() over (partition by h.query_id order by h.parent_index, h.document_id) as pos from hit h join up u using (document_id, parent_index) left join docs d using (document_id))"""

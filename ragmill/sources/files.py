@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def text_files(spark: SparkSession, folder: str, pattern: str = "*.{txt,md,markd
     return rows.select("path", "text", F.upper(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), F.size(F.split("text", "\n")).alias("line_count"), "file_size")
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written under spark.checkpoint.dir and read back, so that what follows uses it many times and computes it once.
+
+    Where no such folder is set, df as it is.
+    """
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_dataset(pairs: DataFrame, folder: str, kb_id: int, stamp: str, label: str = "") -> str:
     """Write question-answer pairs as JSON under kb_{id}_{stamp}[_label]; returns the folder."""
     path = f"{folder.rstrip('/')}/kb_{kb_id}_{stamp}" + (f"_{label}" if label else "")

@@ -87,15 +87,17 @@ def daily_feedback(events: DataFrame, late: str = "1 day", window: str = "1 day"
 
 
 def failure_stream(calls: DataFrame, last: int = 10, share: float = 0.5) -> DataFrame:
-    """user_id, n, failures, open after each batch: each user's last calls are kept as state."""
+    """user_id, n, failures, open after each batch: each user's last calls by (ts, event_id), in whatever order they arrive, are kept as state."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches, state):
-        held = list(state.get[0]) if state.exists else []
+        held = list(zip(*state.get, strict=True)) if state.exists else []
         for batch in batches:
-            held = (held + [int(x) for x in batch.sort_values(["ts", "event_id"])["failed"]])[-last:]
-        state.update((held,))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [len(held)], "failures": [sum(held)], "open": [len(held) >= last and sum(held) / last >= share]})
+            rows = zip(batch["ts"].astype("int64"), batch["event_id"], batch["failed"], strict=True)
+            held = sorted(held + [tuple(map(int, r)) for r in rows])[-last:]
+        state.update(tuple(list(c) for c in zip(*held, strict=True)))
+        failures = sum(h[2] for h in held)
+        yield pd.DataFrame({"user_id": [key[0]], "n": [len(held)], "failures": [failures], "open": [len(held) >= last and failures / last >= share]})
 
-    return calls.groupBy("user_id").applyInPandasWithState(step, "user_id long, n int, failures int, open boolean", "held array<int>", "update", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("user_id").applyInPandasWithState(step, "user_id long, n int, failures int, open boolean", "ts array<long>, event_id array<long>, failed array<int>", "update", GroupStateTimeout.NoTimeout)
