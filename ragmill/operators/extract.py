@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.files import written
 
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "section", "article", "td", "ul", "ol", "table", "main", "body"}
 DROPPED = {"script", "style", "nav", "footer", "header"}
@@ -61,13 +62,13 @@ def structured(pages: DataFrame) -> DataFrame:
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page: (depth, tag, class, own text, link text, number of children, title inside)."""
+    """Blocks of a page: tag, class, text, link text, number of children, place of the start tag, first title inside."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
         self.blocks: list[dict] = []
-        self.hidden = self.link = 0
+        self.hidden = self.link = self.opened = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
@@ -78,26 +79,30 @@ class _Blocks(HTMLParser):
             return
         if self.stack:
             self.stack[-1]["children"] += 1
-        self.stack.append({"tag": tag, "class": dict(attrs).get("class") or "", "text": [], "link": 0, "children": 0, "title": "", "drop": self.hidden > 0})
+        name = (dict(attrs).get("class") or "").strip()
+        block = {"tag": tag, "class": name, "text": [], "link": 0, "children": 0, "title": None, "drop": self.hidden > 0, "start": self.opened}
+        self.opened += 1
+        if not self.hidden and (re.fullmatch("h[1-6]|strong", tag) or re.search("[tT]itle|[nN]ame", name)):
+            for up in self.stack:
+                up["title"] = up["title"] or block
+        self.stack.append(block)
 
     def handle_endtag(self, tag):
         if not any(b["tag"] == tag for b in self.stack):
             return
         while self.stack:
             b = self.stack.pop()
-            text = " ".join("".join(b["text"]).split())
+            text = b["words"] = " ".join("".join(b["text"]).split())
             if b["tag"] in DROPPED:
                 self.hidden = max(0, self.hidden - 1)
             if b["tag"] == "a":
                 self.link = max(0, self.link - 1)
             if not b["drop"]:
-                self.blocks.append({"tag": b["tag"], "class": b["class"], "text": text, "link": b["link"], "children": b["children"], "title": b["title"]})
+                self.blocks.append({**b, "text": text, "title": b["title"]["words"] if b["title"] else ""})
                 if self.stack:
                     up = self.stack[-1]
                     up["text"] += [" ", *b["text"], " "]
                     up["link"] += b["link"]
-                    if re.fullmatch("h[1-6]", b["tag"]) and not up["title"]:
-                        up["title"] = text
             if b["tag"] == tag:
                 break
 
@@ -108,7 +113,7 @@ class _Blocks(HTMLParser):
                 self.stack[-1]["link"] += len(data.strip())
 
 
-BLOCK = "page_id long, pos int, tag string, class string, title string, text string, link_chars int, children int"
+BLOCK = "page_id long, pos int, tag string, class string, title string, text string, link_chars int, children int, start int"
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -121,7 +126,7 @@ def blocks(pages: DataFrame) -> DataFrame:
                 p = _Blocks()
                 p.feed(html or "")
                 p.close()
-                out += [(page_id, i, b["tag"], b["class"], b["title"], b["text"], b["link"], b["children"]) for i, b in enumerate(p.blocks)]
+                out += [(page_id, i, b["tag"], b["class"], b["title"], b["text"], b["link"], b["children"], b["start"]) for i, b in enumerate(p.blocks)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK.split(", ")])
 
     return pages.select("page_id", "html").mapInPandas(run, BLOCK)
@@ -153,18 +158,32 @@ def semantic_area(pages: DataFrame, least: int = 50) -> DataFrame:
 def cards(pages: DataFrame, least: int = 3) -> DataFrame:
     """page_id, class, n_cards, text: repeated elements of the class that scores best by count * 10 + min(text length, 500).
 
-    A class counts with over 5 characters, no navigation word in it, `least` elements or more and two children in each;
-    its cards of over 30 characters are written as `## title` and body, two at least.
+    A class attribute of div, li, article or section counts with over 5 characters, no navigation word in it and `least`
+    elements. Its first element, of any tag with all its names, needs two children and gives the text length; ties go to
+    the class that comes first. Elements with all its names and over 30 characters are the cards, written as `## title`
+    and body; a page has two at least or no row. The title is the first heading, strong or element of a title or name class.
     """
-    rows = blocks(pages).where((F.length("class") > 5) & ~F.lower("class").rlike("header|footer|nav|menu|sidebar") & (F.col("children") >= 2))
-    groups = rows.groupBy("page_id", "class").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).where(F.col("n") >= least)
-    groups = groups.withColumn("score", F.col("n") * 10 + F.least("longest", F.lit(500)))
-    best = groups.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "class"))).where("r = 1").select("page_id", "class")
+    # read twice: to choose classes, and for the elements of those chosen
+    rows = written(blocks(pages).where("class <> ''"), "blocks")
+    names = F.array_distinct(F.split("class", r"\s+"))
+    usable = F.col("tag").isin("div", "li", "article", "section") & (F.length("class") > 5) & ~F.col("class").rlike("header|footer|nav|menu|sidebar")
+    groups = rows.where(usable).groupBy("page_id", "class").agg(F.count("*").alias("n"), F.min("start").alias("first")).where(F.col("n") >= least)
+    groups = groups.select("page_id", "class", "n", "first", names.alias("names"))
+    parts = rows.select("page_id", F.explode(names).alias("name"), names.alias("own"), "start", "title", "text", "children")
+
+    def members(chosen: DataFrame) -> DataFrame:
+        """Elements with all names of a chosen class: they share its first name, then the others are looked up."""
+        keyed = chosen.withColumn("name", F.col("names")[0])
+        return keyed.join(parts.hint("shuffle_hash"), ["page_id", "name"]).where(F.size(F.array_except("names", "own")) == 0)
+
+    sample = members(groups).groupBy("page_id", "class", "n", "first", "names").agg(F.min_by(F.struct("children", F.length("text").alias("size")), "start").alias("s"))
+    scored = sample.where("s.children >= 2").withColumn("score", F.col("n") * 10 + F.least("s.size", F.lit(500)))
+    best = scored.groupBy("page_id").agg(F.min_by(F.struct("class", "names"), F.struct(-F.col("score"), "first")).alias("b")).select("page_id", "b.*")
     body = F.when(F.startswith("text", F.col("title")), F.trim(F.expr("substr(text, length(title) + 1)"))).otherwise(F.col("text"))
-    card = F.when(F.length("title") > 0, F.concat(F.lit("## "), "title", F.lit("\n"), body)).otherwise(F.col("text"))
-    kept = rows.join(best, ["page_id", "class"]).where(F.length("text") > 30).select("page_id", "class", "pos", card.alias("card"))
-    out = kept.groupBy("page_id", "class").agg(F.count("*").alias("n_cards"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "card"))), lambda x: x["card"]), "\n\n---\n\n").alias("text"))
-    return out.where("n_cards >= 2")
+    card = F.concat(F.lit("## "), "title", F.when(F.length(body) > 0, F.concat(F.lit("\n"), body)).otherwise(""))
+    kept = members(best).where(F.length("text") > 30).select("page_id", "class", "start", card.alias("card"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("start", "card"))), lambda x: x["card"])
+    return kept.groupBy("page_id", "class").agg(F.count("*").alias("n_cards"), F.array_join(in_order, "\n\n---\n\n").alias("text")).where("n_cards >= 2")
 
 
 def ladder(candidates: DataFrame) -> DataFrame:

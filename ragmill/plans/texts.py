@@ -81,16 +81,21 @@ def txt10(t):
     return cards(t.pages).select("page_id", "class", "n_cards", F.length("text").alias("n_chars"))
 
 
-LADDER = rf"""c as (select page_id, trim(regexp_replace(html, '<[^>]+>', ' ', 'g')) as visible, {LINES.format(h=CLEAN)} as readable from pages)
-    select page_id, case when length(readable) >= 500 then 'readability' when greatest(length(readable), length(visible)) = 0 then 'error' when length(readable) >= length(visible) then 'readability' else 'visible' end as method from c"""
+LADDER = rf"""area as (select page_id, regexp_extract(html, '<article\b[^>]*>(.*?)</article>', 1, 'is') as a from pages),
+    c as (select page_id, case when length(a) > 50 then regexp_replace(a, '<[^>]+>', ' ', 'g') else '' end as semantic, trim(regexp_replace(html, '<[^>]+>', ' ', 'g')) as visible, {LINES.format(h=CLEAN)} as readable from pages join area using (page_id))
+    select page_id, case when length(readable) >= 500 then 'readability' when greatest(length(readable), length(semantic), length(visible)) = 0 then 'error' when length(readable) >= greatest(length(semantic), length(visible)) then 'readability'
+        when length(semantic) >= length(visible) then 'semantic' else 'visible' end as method from c"""
 
 
 @query("txt11_ladder", LADDER)
 def txt11(t):
-    from ..operators.extract import ladder
+    """Candidates of every kind; the given pages hold no repeated cards, as the SQL takes for granted."""
+    from ..operators.extract import cards, ladder, semantic_area
 
-    c = t.pages.select("page_id", T.html_lines(T.without_boilerplate(F.col("html"))).alias("readable"), F.lit("").alias("cards"), F.lit("").alias("semantic"), F.trim(T.tags_to_space(F.col("html"))).alias("visible"))
-    return ladder(c).select("page_id", "method")
+    found = cards(t.pages).select("page_id", F.col("text").alias("cards"))
+    area = semantic_area(t.pages).select("page_id", F.col("text").alias("semantic"))
+    c = t.pages.select("page_id", T.html_lines(T.without_boilerplate(F.col("html"))).alias("readable"), F.trim(T.tags_to_space(F.col("html"))).alias("visible"))
+    return ladder(c.join(found.hint("merge"), "page_id", "left").join(area, "page_id", "left")).select("page_id", "method")
 
 
 @query("txt12_visible_lines", r"""l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) as l from documents),

@@ -165,3 +165,36 @@ def test_terms_of_scripts_without_spaces(spark):
     rows = ["plain Words, 2 of them", "检索增强 RAG生成x", "字", "かな カ", "", "a-b日本語c"]
     got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").orderBy("i").select(terms(F.col("x")).alias("t")).collect()]
     assert got == [["plain", "Words", "2", "of", "them"], ["检索", "索增", "增强", "RAG", "生成", "x"], ["字"], ["かな", "カ"], [], ["a", "b", "日本", "本語", "c"]]
+
+
+def test_cards_of_nested_classes_titles_and_ties(spark):
+    from ragmill.operators import extract
+
+    item = '<li class="job-item {x}"><span class="jobName">Job {i}</span><p>words of the job number {i}, long enough</p></li>'
+    many = "".join(item.format(i=i, x="hot" if i == 9 else "").replace(' "', '"') for i in (1, 2, 3, 9))
+    spans = "".join(f'<span class="spanclass"><b>a</b><i>{i}</i> over thirty characters of text here</span>' for i in range(9))
+    thin = "".join('<div class="single-child"><p>one child only, over thirty characters of text</p></div>' for _ in range(9))
+    html = f"<html><body><ul>{many}</ul>{spans}{thin}</body></html>"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>no classes</p>")], "page_id long, html string")
+    row = extract.cards(pages).collect()
+    assert [(r.page_id, r["class"], r.n_cards) for r in row] == [(1, "job-item", 4)]
+    parts = row[0].text.split("\n\n---\n\n")
+    assert parts[0] == "## Job 1\nwords of the job number 1, long enough" and parts[3].startswith("## Job 9")
+
+
+def test_touched_and_unlink(spark):
+    from ragmill.operators import catalog
+
+    before = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "document_id long, kb_id int")
+    after = catalog.link(catalog.unlink(before, before.where("document_id = 1")), spark.createDataFrame([(3, 8), (3, 9)], "document_id long, kb_id int"))
+    assert sorted(r.kb_id for r in catalog.touched(before, after).collect()) == [7, 9]
+
+
+def test_copy_to_kb_skips_documents_that_are_there(spark):
+    from ragmill.operators import vectors
+
+    index = spark.createDataFrame([(1, 3, 10)], "document_id long, kb_id int, vec_id long")
+    links = spark.createDataFrame([(1, 3), (1, 4), (1, 4), (2, 4), (5, 4), (1, None)], "document_id long, kb_id int")
+    own = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "document_id long, vec_id long")
+    got = sorted(tuple(r) for r in vectors.copy_to_kb(index, links, own).collect())
+    assert got == [(1, 3, 10), (1, 4, 10), (1, 4, 11), (2, 4, 20)]
