@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, chunk, vectors
+from ..sources import files
+from ..streaming import streams
 from .base import query
 
 PARA = "para as (select document_id, cast(i as int) - 1 as pos, p as text from (select document_id, unnest(l) as p, unnest(range(1, len(l) + 1)) as i from (select document_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: length(x) > 0) as l from docs)))"
@@ -151,3 +153,27 @@ def chk17(t):
     text = F.col("text")
     line = F.concat(F.lit("["), F.col("document_id").cast("string"), F.lit("] "), F.replace(F.substring(text, 1, 400), F.lit("\n"), F.lit(" ")))
     return t.docs.select("document_id", F.md5(T.clip_middle(text, 500, 250)).alias("middle_md5"), F.md5(T.clip(text, 1500, "...")).alias("head_md5"), line.alias("line"))
+
+
+# ---- files --------------------------------------------------------------------------------------------------------------
+
+
+@query("src01_text_files", r"select lang, 'TXT' as format, cast(sum(1 + length(text) - length(replace(text, chr(10), ''))) as bigint) as lines, cast(sum(1 + octet_length(encode(text))) as bigint) as bytes from documents group by lang")
+def src01(t):
+    """Texts written as files of 1,000 documents at most and read back whole; a file's last line feed opens no line here."""
+    at = streams.folder(t._spark, "texts")
+    t.documents.select("lang", F.col("text").alias("value")).write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(at)
+    rows = files.text_files(t._spark, f"{at}/lang=*")
+    lang = F.regexp_extract("path", "lang=([^/]+)/", 1)
+    return rows.groupBy(lang.alias("lang"), "format").agg(F.sum(F.col("line_count") - 1).alias("lines"), F.sum("file_size").alias("bytes"))
+
+
+@query("src10_datasets", "select 'kb_' || kb_id || '_20240101' as name, count(*) as pair_count from docs where kb_id is not null group by kb_id")
+def src10(t):
+    """A dataset of question and answer for every knowledge base, saved as JSON and listed."""
+    at = streams.folder(t._spark, "datasets")
+    pairs = t.docs.where("kb_id is not null").select(
+        "kb_id", F.substring("text", 1, 60).alias("question"), F.substring("text", 61, 200).alias("answer"), F.col("document_id").alias("source_document_id"),
+        F.lit(0).alias("source_chunk_index"), F.col("original_filename").alias("source_filename"))
+    files.save_datasets(pairs, at, "20240101")
+    return files.list_datasets(t._spark, at).select("name", "pair_count")

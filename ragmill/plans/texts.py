@@ -81,6 +81,18 @@ def txt10(t):
     return cards(t.pages).select("page_id", "class", "n_cards", F.length("text").alias("n_chars"))
 
 
+@query("txt10_card_pages", """select doc_id // 4 as page_id, 'doc-card' as class, count(*) as n_cards, string_agg('## Doc ' || doc_id || chr(10) || lang || ' ' || source || ' ' || md5(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by doc_id) as text
+    from documents group by 1 having count(*) >= 3""")
+def txt10_pages(t):
+    """Cards of pages that each list four neighbouring documents."""
+    from ..operators.extract import cards
+
+    item = F.concat(F.lit('<li class="doc-card"><h3>Doc '), F.col("doc_id").cast("string"), F.lit("</h3><p>"), F.concat_ws(" ", "lang", "source", F.md5("text")), F.lit("</p></li>"))
+    items = F.array_sort(F.collect_list(F.struct("doc_id", item.alias("html"))))
+    pages = t.documents.groupBy(F.floor(F.col("doc_id") / 4).alias("page_id")).agg(F.array_join(F.transform(items, lambda x: x["html"]), "").alias("html"))
+    return cards(pages.select("page_id", F.concat(F.lit("<ul>"), "html", F.lit("</ul>")).alias("html")))
+
+
 LADDER = rf"""area as (select page_id, regexp_extract(html, '<article\b[^>]*>(.*?)</article>', 1, 'is') as a from pages),
     c as (select page_id, case when length(a) > 50 then regexp_replace(a, '<[^>]+>', ' ', 'g') else '' end as semantic, trim(regexp_replace(html, '<[^>]+>', ' ', 'g')) as visible, {LINES.format(h=CLEAN)} as readable from pages join area using (page_id))
     select page_id, case when length(readable) >= 500 then 'readability' when greatest(length(readable), length(semantic), length(visible)) = 0 then 'error' when length(readable) >= greatest(length(semantic), length(visible)) then 'readability'

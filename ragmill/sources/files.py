@@ -37,6 +37,12 @@ def save_dataset(pairs: DataFrame, folder: str, kb_id: int, stamp: str, label: s
     return path
 
 
+def save_datasets(pairs: DataFrame, folder: str, stamp: str) -> None:
+    """Write the pairs of every knowledge base (column kb_id) as its own dataset kb_{id}_{stamp}, in one job."""
+    name = F.concat(F.lit("kb_"), F.col("kb_id").cast("string"), F.lit(f"_{stamp}"))
+    pairs.withColumn("dataset", name).drop("kb_id").write.mode("overwrite").partitionBy("dataset").json(folder)
+
+
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QA).json(path, mode="PERMISSIVE")
 
@@ -45,5 +51,5 @@ def list_datasets(spark: SparkSession, folder: str, kb_id: int | None = None) ->
     """name, pair_count, modified of saved datasets, newest first; rows that can't be read count as none."""
     rows = spark.read.schema(QA + ", _broken string").option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", "true").json(folder, mode="PERMISSIVE")
     rows = rows.select("question", "_metadata.file_path", "_metadata.file_modification_time")
-    out = rows.groupBy(F.element_at(F.split("file_path", "/"), -2).alias("name")).agg(F.count("question").alias("pair_count"), F.max("file_modification_time").alias("modified"))
+    out = rows.groupBy(F.regexp_extract("file_path", "([^/=]+)/[^/]+$", 1).alias("name")).agg(F.count("question").alias("pair_count"), F.max("file_modification_time").alias("modified"))
     return (out if kb_id is None else out.where(F.startswith("name", F.lit(f"kb_{kb_id}_")))).orderBy(F.desc("modified"), F.desc("name"))
