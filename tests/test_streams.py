@@ -1,6 +1,8 @@
 """Streams against their batch twins, and redelivery across runs."""
 
 from conftest import DATA
+from pyspark.sql import functions as F
+
 from ragmill.operators import chunk
 from ragmill.streaming import streams
 
@@ -13,3 +15,14 @@ def test_ingest_equals_batch_and_skips_what_is_done(spark):
     got = spark.read.parquet(f"{sink}/chunks").select("document_id", "chunk_index", "content")
     batch = chunk.two_level_windows(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id as document_id", "text")).select("document_id", "chunk_index", "content")
     assert got.count() == batch.count() and got.exceptAll(batch).isEmpty()
+
+
+def test_failure_stream_keeps_the_last_calls_whatever_their_order(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, failed int"
+    at = f"file://{tmp_path}/calls"
+    calls = spark.sql("select id as event_id, timestamp_seconds(1000 + id) as ts, 1L as user_id, cast(id >= 25 as int) as failed from range(30)")
+    calls.orderBy("failed", "event_id").coalesce(1).write.parquet(at)
+    calls.where("false").unionByName(calls.where("event_id < 15").withColumn("ts", calls.ts - F.expr("interval 1 hour"))).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+    got = streams.drain(streams.failure_stream(stream), "update").collect()
+    assert len(got) == 2 and {(r.n, r.failures, r.open) for r in got} == {(10, 5, True)}
