@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, language, mixing, neardup, neighbours, pieces, quality, repeats, sql, warc
+from . import chat, chunking, language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, sql, warc
 from .common import table
 
 
@@ -71,6 +71,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: how many of each base kind, a digest of their places, and the places of all kinds."""
+    spans = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = {f"n_{r.kind}": F.size(secrets.of_kinds(F.col("spans"), r.kind)).cast("long") for r in secrets.BASE}
+    base = secrets.spans_text(secrets.of_kinds(F.col("spans"), *[r.kind for r in secrets.BASE]))
+    return spans.select("doc_id", *[v.alias(k) for k, v in counts.items()], F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secrets
+
 MIX = r"""
 with sized as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
     (cast(cast('0x' || substr(md5('mix|' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) as double) + 0.5) / 281474976710656.0 as u from documents),
@@ -80,4 +82,25 @@ select d.doc_id, cast(coalesce(z.n, 0) as bigint) as n_shingles, coalesce(c.comp
 from documents d left join sized z on z.doc_id = d.doc_id left join of_class o on o.doc_id = d.doc_id left join comp c on c.id = o.id
 """
 
-ORACLES = {"op1_pareto_mix": MIX, "op3_preference_format": CHAT, "op8_warc_round_trip": WARC, "op6_near_duplicates": NEAR}
+#: Kind and pattern as they stand in the operator's rules, then what a match must be in full.
+_RULES = [(r.kind, r.pattern.replace("'", "''"), (r.kept or r.pattern).replace("'", "''")) for r in secrets.RULES]
+_FOUND = " union all ".join(
+    f"""select row, {i} as k, '{kind}' as kind, '{kept}' as kept,
+    string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as parts from docs"""
+    for i, (kind, pattern, kept) in enumerate(_RULES)
+)
+# chr(1) and chr(2) are set around each match; a span's start follows from the lengths of the parts before it
+SECRETS = rf"""
+with docs as materialized (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+found as ({_FOUND}),
+sized as (select *, list_transform(parts, lambda x: length(replace(x, chr(2), ''))) as sizes from found where len(parts) > 1),
+each as (select row, k, kind, kept, sizes, parts, unnest(range(2, len(parts) + 1)) as i from sized),
+spans as (select row, k, kind, kept, cast(list_sum(sizes[1:i - 1]) as bigint) as s, string_split(parts[i], chr(2))[1] as hit from each),
+kept as (select row, k, kind, s, kind || ':' || s || ':' || (s + length(hit)) as span from spans where regexp_full_match(hit, kept)),
+per as (select row, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+    string_agg(span, ',' order by s, k) filter (k < 3) as base, string_agg(span, ',' order by s, k) as spans from kept group by row)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join per on docs.row = per.row
+"""
+
+ORACLES = {"op12_secrets": SECRETS, "op1_pareto_mix": MIX, "op3_preference_format": CHAT, "op8_warc_round_trip": WARC, "op6_near_duplicates": NEAR}
