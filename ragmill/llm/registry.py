@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, sql, warc
+from . import chat, chunking, language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, sql, warc, whitening
 from .common import table
 
 
@@ -71,6 +71,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the first 16 components of the distinct ones, a row for each component."""
+    rows = whitening.whole_entries(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(rows)
+    share = F.element_at(F.array(*[F.lit(float(x)) for x in model.explained], F.lit(None).cast("double")), F.col("component"))
+    out = whitening.whiten(rows, model).select(F.col("id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    out = out.select("vec_id", (F.col("_at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened")
+    return out.select("*", share.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: how many of each base kind, a digest of their places, and the places of all kinds."""
     spans = secrets.scan(table(spark, sf_dir, "documents"))
