@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, sql, warc, whitening
+from . import audit, chat, chunking, language, mixing, neardup, neighbours, pieces, quality, repeats, secrets, sql, warc, whitening
 from .common import table
 
 
@@ -89,6 +89,12 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", *[v.alias(k) for k, v in counts.items()], F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How five filters of all documents interact, by language, order and step; documents arrive in about eight micro-batches."""
+    docs = audit.stream_of(spark, f"{sf_dir}/documents.parquet", 8)
+    return audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -103,4 +103,23 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 from docs left join per on docs.row = per.row
 """
 
-ORACLES = {"op12_secrets": SECRETS, "op1_pareto_mix": MIX, "op3_preference_format": CHAT, "op8_warc_round_trip": WARC, "op6_near_duplicates": NEAR}
+AUDIT = r"""
+with marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
+texts as (select d.doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from documents d left join marks m on d.doc_id = m.doc_id),
+words as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by text) as least from texts),
+fails as (select part, good, toxic, len(w) < 100 as a, 100 * len(list_distinct(w)) < 80 * len(w) as b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d, coalesce(least < doc_id, false) as e from words),
+masks as (select part, concat(case when a then 'A' else '' end, case when b then 'B' else '' end, case when c then 'C' else '' end, case when d then 'D' else '' end, case when e then 'E' else '' end) as mask,
+    count(*) as n, sum(good) as good, sum(toxic) as toxic from fails group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (select filter_order, step, filter_order[step] as f, substr(filter_order, 1, step - 1) as before from orders, (select unnest(range(1, 6)) as step)),
+each as (select m.*, filter_order, cast(step as int) as step, f, contains(mask, f) as fails, len(list_intersect(string_split(mask, ''), string_split(before, ''))) > 0 and before <> '' and mask <> '' as gone from masks m, steps),
+counts as (select part, filter_order, step, f, sum(case when not fails and not gone then n else 0 end) as kept, sum(case when fails and not gone then n else 0 end) as removed,
+    sum(case when fails and gone then n else 0 end) as redundant, sum(case when mask = f then n else 0 end) as unique_fails,
+    sum(case when fails and not gone then good else 0 end) as good_lost, sum(case when fails and not gone then toxic else 0 end) as toxic_lost from each group by all)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+    cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from counts
+"""
+
+ORACLES = {"op13_filter_audit": AUDIT, "op12_secrets": SECRETS, "op1_pareto_mix": MIX, "op3_preference_format": CHAT, "op8_warc_round_trip": WARC, "op6_near_duplicates": NEAR}
