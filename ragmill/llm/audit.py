@@ -18,6 +18,8 @@ COPY = 1 << FILTERS.index("E")
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COMBINED = "key binary, part string, good int, toxic int, mask int, least long, n_least long, n_more long, n_null long"
+COMBINED_NAMES = [c.split()[0] for c in COMBINED.split(", ")]
+STATE = "keys array<binary>, least array<long>, parts array<string>, goods array<int>, toxics array<int>, counts array<long>"
 DELTAS = "part string, mask int, good int, toxic int, n long"
 
 
@@ -33,11 +35,15 @@ def own_mask(text: Column) -> Column:
     return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
 
 
-def stream_of(spark: SparkSession, path: str, batches: int) -> DataFrame:
-    """The files of a Parquet table as a stream of about `batches` micro-batches; a pattern stands for a file or a folder."""
+def stream_of(spark: SparkSession, path: str, batches: int = 8, texts: int = 1000) -> tuple[DataFrame, int]:
+    """The files of a Parquet table as a stream of about `batches` micro-batches, and in how many groups its state is kept.
+
+    A group holds about `texts` texts, by their hash. The path's last letter becomes a pattern, for a file or a folder.
+    """
     given = spark.read.parquet(path)
     files = max(1, -(-len(given.inputFiles()) // batches))
-    return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+    return stream, max(1, given.count() // texts)
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -62,8 +68,7 @@ def combined(rows: DataFrame, most: int = 50_000) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, list] = {}
-        names = [c.split()[0] for c in COMBINED.split(", ")]
-        frame = lambda: pd.DataFrame([(*k, *v) for k, v in held.items()], columns=names).astype({"least": "Int64"})
+        frame = lambda: pd.DataFrame([(*k, *v) for k, v in held.items()], columns=COMBINED_NAMES).astype({"least": "Int64"})
         for batch in batches:
             ids = batch["doc_id"].astype("Int64").tolist()
             for key, i, part, mask, good, toxic in zip(batch["key"], ids, batch["part"], batch["mask"], batch["good"], batch["toxic"], strict=True):
@@ -83,50 +88,50 @@ def combined(rows: DataFrame, most: int = 50_000) -> DataFrame:
     return rows.mapInPandas(run, COMBINED)
 
 
-def retracting(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of part counters as rows of one text arrive: state is its least id, and its rows that have that id.
+def retracting(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Changes of part counters as rows of a group's texts arrive: state is each text's least id, and its rows that have it.
 
     Rows of the least id don't fail E. When a smaller id comes, those of the id before were counted without E: their
     mask is taken back and counted again with E. Rows of greater ids never change again, so only the least is kept.
     """
-    least, held = None, {}
+    held: dict[bytes, tuple[int, dict]] = {}
     if state.exists:
-        least, parts, goods, toxics, counts = state.get
-        held = dict(zip(zip(parts, goods, toxics, strict=True), counts, strict=True))
+        for key, least, part, good, toxic, n in zip(*state.get, strict=True):
+            held.setdefault(bytes(key), (least, {}))[1][part, good, toxic] = n
     deltas: dict[tuple, int] = {}
 
     def add(part, good, toxic, mask, n):
         if n:
             deltas[part, mask, good, toxic] = deltas.get((part, mask, good, toxic), 0) + n
 
-    before = least, dict(held)
     for batch in batches:
-        for part, good, toxic, mask, i, n_least, n_more, n_null in zip(*(batch[c].tolist() for c in ("part", "good", "toxic", "mask", "least", "n_least", "n_more", "n_null")), strict=True):
+        for key, part, good, toxic, mask, i, n_least, n_more, n_null in zip(*(batch[c].tolist() for c in COMBINED_NAMES), strict=True):
             add(part, good, toxic, mask, n_null)
             add(part, good, toxic, mask | COPY, n_more)
             if not n_least:
                 continue
-            i = int(i)
+            least, rows = held.get(bytes(key), (None, {}))
             if least is None or i < least:
-                for at, n in held.items():
+                for at, n in rows.items():
                     add(*at, mask, -n)
                     add(*at, mask | COPY, n)
-                least, held = i, {}
+                least, rows = int(i), {}
+                held[bytes(key)] = least, rows
             if i == least:
-                held[part, good, toxic] = held.get((part, good, toxic), 0) + n_least
+                rows[part, good, toxic] = rows.get((part, good, toxic), 0) + n_least
             add(part, good, toxic, mask if i == least else mask | COPY, n_least)
-    if (least, held) != before:
-        parts, goods, toxics = zip(*held, strict=True)
-        state.update((least, list(parts), list(goods), list(toxics), list(held.values())))
+    flat = [(key, least, *at, n) for key, (least, rows) in held.items() for at, n in rows.items()]
+    state.update(tuple(map(list, zip(*flat, strict=True))) or ([],) * 6)
     rows = [(part, mask, good, toxic, n) for (part, mask, good, toxic), n in deltas.items() if n]
     if rows:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in DELTAS.split(", ")])
 
 
-def part_counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def part_counters(docs: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
     """part, mask, n, good, toxic of a stream of documents, after all that is there has been read.
 
-    Texts are keyed by their SHA-256 and go to the state as sums of narrow rows; state and progress lie in the shared
+    Texts are keyed by their SHA-256 and go to the state as sums of narrow rows. State is kept for `groups` groups of
+    keys by hash, as a call of Python for each text would cost milliseconds; it and the progress lie in the shared
     folder. Each micro-batch adds its changes as a table of its own, at most one row for each part and mask, which a
     rerun of the batch replaces: the counters are the sums over all batches. `labels` (doc_id, quality, toxic) may
     repeat ids (any mark counts) or hold null ones (they mark nothing).
@@ -138,8 +143,8 @@ def part_counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marks = stored(marks.agg(mark("quality").alias("good"), mark("toxic").alias("toxic")).where("good + toxic > 0"), "audit-labels")
     at, before = scratch(spark, "audit"), spark.conf.get(PROVIDER)
     rows = combined(marked(docs.withColumn("doc_id", F.col("doc_id").cast("long")), marks))
-    state = "least long, parts array<string>, goods array<int>, toxics array<int>, counts array<long>"
-    deltas = rows.groupBy("key").applyInPandasWithState(retracting, DELTAS, state, "append", GroupStateTimeout.NoTimeout)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group")
+    deltas = rows.applyInPandasWithState(retracting, DELTAS, STATE, "append", GroupStateTimeout.NoTimeout)
 
     def put(df: DataFrame, batch: int) -> None:
         sums = df.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
@@ -178,7 +183,7 @@ def interactions(counters: DataFrame) -> DataFrame:
     return out.withColumn("shapley", F.sum("removed").over(Window.partitionBy("part", "bit"))).drop("bit")
 
 
-def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, groups: int = 64) -> DataFrame:
     """The interactions of the five filters over a stream of documents (doc_id, text, lang) and a table of labels.
 
     A: under 100 words; B: under 80 distinct words in 100; C: over 10 capitals in 100 code points; D: any of #$%&*|;
@@ -186,4 +191,4 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the part ''. A row with a null id has no smaller id and is none; rows of one id and text aren't copies of each
     other. Other columns are ignored. Without documents there are no parts and no rows.
     """
-    return interactions(part_counters(docs, labels))
+    return interactions(part_counters(docs, labels, groups))

@@ -91,8 +91,8 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How five filters of all documents interact, by language, order and step; documents arrive in about eight micro-batches."""
-    docs = audit.stream_of(spark, f"{sf_dir}/documents.parquet", 8)
-    return audit.audit(docs, table(spark, sf_dir, "labels"))
+    docs, groups = audit.stream_of(spark, f"{sf_dir}/documents.parquet")
+    return audit.audit(docs, table(spark, sf_dir, "labels"), groups)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -63,7 +63,7 @@ def test_smaller_ids_that_come_later_retract_counts(spark, tmp_path, parts):
         frame = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, mask int")
         frame.coalesce(1).write.mode("append").parquet(at)
     labels = spark.createDataFrame([(*m, 1) for m in MARKS], LABELS)
-    got = audit.audit(audit.stream_of(spark, at, 10), labels)
+    got = audit.audit(audit.stream_of(spark, at, 10)[0], labels, 3)
     assert given(got) == brute(DOCS + DOCS2 + DOCS3, MARKS)
 
 
@@ -74,23 +74,23 @@ def test_retractions_are_emitted():
         def update(self, x):
             self.exists, self.get = True, x
 
-    names = [c.split()[0] for c in audit.COMBINED.split(", ")]
-    step = lambda state, *rows: [tuple(r) for df in audit.retracting((b"k",), iter([pd.DataFrame(list(rows), columns=names)]), state) for r in df.itertuples(index=False)]
+    step = lambda state, *rows: [tuple(r) for df in audit.retracting((0,), iter([pd.DataFrame(list(rows), columns=audit.COMBINED_NAMES)]), state) for r in df.itertuples(index=False)]
     state = State()
     assert step(state, (b"k", "en", 1, 0, 2, 50, 1, 0, 0)) == [("en", 2, 1, 0, 1)]
-    assert step(state, (b"k", "de", 0, 0, 2, 60, 1, 0, 0)) == [("de", 18, 0, 0, 1)] and state.get[0] == 50
+    assert step(state, (b"k", "de", 0, 0, 2, 60, 1, 0, 0)) == [("de", 18, 0, 0, 1)] and state.get[1] == [50]
     assert sorted(step(state, (b"k", "de", 0, 1, 2, 10, 2, 1, 0))) == [("de", 2, 0, 1, 2), ("de", 18, 0, 1, 1), ("en", 2, 1, 0, -1), ("en", 18, 1, 0, 1)]
-    assert state.get == (10, ["de"], [0], [1], [2])
+    assert step(state, (b"x", "de", 0, 0, 1, 3, 1, 0, 4)) == [("de", 1, 0, 0, 5)]
+    assert state.get == ([b"k", b"x"], [10, 3], ["de", "de"], [0, 0], [1, 0], [2, 1])
 
 
 def test_awkward_rows_and_none(spark, tmp_path):
     docs = awkward(spark)
     labels = spark.createDataFrame(MARKS, "doc_id long, quality int, toxic int")
     docs.write.parquet(f"file://{tmp_path}/a.parquet")
-    got = audit.audit(audit.stream_of(spark, f"file://{tmp_path}/a.parquet", 2), labels)
+    got = audit.audit(audit.stream_of(spark, f"file://{tmp_path}/a.parquet", 2)[0], labels)
     assert given(got) == brute([(r.doc_id, r.text, r.lang) for r in docs.collect()], MARKS)
     none_of(docs).write.parquet(f"file://{tmp_path}/b.parquet")
-    assert rows_of(audit.audit(audit.stream_of(spark, f"file://{tmp_path}/b.parquet", 2), none_of(labels))) == []
+    assert rows_of(audit.audit(audit.stream_of(spark, f"file://{tmp_path}/b.parquet", 2)[0], none_of(labels))) == []
 
 
 def test_sums_of_a_task_do_not_depend_on_how_often_they_are_sent(spark):
