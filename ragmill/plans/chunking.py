@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, chunk, vectors
-from ..sources import files
+from ..sources import files, versions
 from ..streaming import streams
 from .base import query
 
@@ -66,6 +66,44 @@ def src08(t):
     return t.vectors.where("kb_id <> 5").select("vec_id", "kb_id")
 
 
+def kept_vectors(t):
+    """A store with the vectors as its first version; a vector's document is its id modulo 4."""
+    schema = "kb_id int, id long, document_id long, embedding array<float>, version int"
+    store = versions.Store(t._spark, streams.folder(t._spark, "vectors"), {"text": schema}).create()
+    rows = t.vectors.select("kb_id", F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("document_id"), "embedding", F.lit(0).alias("version"))
+    store.publish([store.stage("text", rows, versions.kb_part(8))])
+    return store
+
+
+@query("src06_stored_upsert", "select vec_id, kb_id, case when vec_id % 3 = 0 and kb_id < 5 then 2 else 0 end as version, case when vec_id % 3 = 0 and kb_id < 5 then 1 else len(embedding) end as size from vectors union all select vec_id + 1000000, 3, 1, len(embedding) from vectors where vec_id % 7 = 0")
+def src06_stored(t):
+    """Vectors put in the place of others, or added, in the stored table; then read back from it."""
+    store = kept_vectors(t)
+    rows = store.read("text")
+    new = rows.where("id % 3 = 0 and kb_id < 5").withColumn("embedding", F.slice("embedding", 1, 1))
+    new = new.withColumn("version", F.lit(1)).unionByName(new.withColumn("version", F.lit(2)))
+    more = rows.where("id % 7 = 0").withColumns({"id": F.col("id") + 1_000_000, "kb_id": F.lit(3), "version": F.lit(1)})
+    versions.upsert(store, "text", new.unionByName(more))
+    return store.read("text").select(F.col("id").alias("vec_id"), "kb_id", "version", F.size("embedding").alias("size"))
+
+
+@query("src07_stored_delete", "select vec_id, kb_id from vectors where not (kb_id = 3 and vec_id % 4 = 1) and not (kb_id = 6 and vec_id % 4 = 2)")
+def src07_stored(t):
+    """The vectors of two documents deleted from the stored table."""
+    store = kept_vectors(t)
+    gone = store.read("text").where("(kb_id = 3 and document_id = 1) or (kb_id = 6 and document_id = 2)")
+    versions.delete_documents(store, ["text"], gone)
+    return store.read("text").select(F.col("id").alias("vec_id"), "kb_id")
+
+
+@query("src08_stored_drop", "select vec_id, kb_id from vectors where kb_id <> 5")
+def src08_stored(t):
+    """A knowledge base left out of the stored table."""
+    store = kept_vectors(t)
+    versions.drop_collection(store, ["text"], 5)
+    return store.read("text").select(F.col("id").alias("vec_id"), "kb_id")
+
+
 @query("src09_counts", "select k.kb_id, coalesce(n, 0) as n from kbs k left join (select kb_id, count(*) as n from vectors group by kb_id) v using (kb_id)")
 def src09(t):
     return vectors.counts(t.kbs, t.vectors)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import streams
+from ..streaming import ingest, streams
 from .base import query
 
 
@@ -14,10 +14,33 @@ def events(t):
 
 @query("str01_ingest_stream", "up as (select document_id, cast(i as int) as parent_index, substr(text, cast(i * 1950 + 1 as bigint), 2200) as text from (select doc_id as document_id, text, unnest(range(0, cast(ceil(greatest(length(text) - 2200, 0) / 1950.0) as bigint) + 1)) as i from documents where length(text) > 0)) select document_id, sum(cast(ceil(greatest(length(text) - 700, 0) / 600.0) as bigint) + 1) as chunks from up group by document_id")
 def str01(t):
-    docs = streams.source(t._spark, t._dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    sink = streams.folder(t._spark, "ingest")
-    streams.ingest(docs, sink)
-    return t._spark.read.parquet(f"{sink}/chunks").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return ingested(t).read("chunks").groupBy("document_id").agg(F.count("*").alias("chunks"))
+
+
+def ingested(t, file_type="txt", kb_id=None):
+    """The store after the documents' files have been streamed into it."""
+    docs = streams.source(t._spark, t._dir, "documents")
+    kind = F.lit(file_type) if isinstance(file_type, str) else file_type
+    docs = docs.select(F.col("doc_id").alias("document_id"), (F.lit(None).cast("int") if kb_id is None else kb_id).alias("kb_id"), kind.alias("file_type"), "text")
+    root = streams.folder(t._spark, "ingest")
+    store = ingest.open_store(t._spark, f"{root}/store")
+    ingest.ingest(docs, store, f"{root}/state")
+    return store
+
+
+@query("str01_ingest_states", """up as (select document_id, text, kb, ok, cast(i as int) as parent_index, substr(text, cast(i * 1950 + 1 as bigint), 2200) as part from (select *, unnest(range(0, cast(ceil(greatest(length(text) - 2200, 0) / 1950.0) as bigint) + 1)) as i
+    from (select doc_id as document_id, text, cast(substr(source, 4) as int) as kb, doc_id % 5 <> 2 and length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 as ok from documents) d)),
+    n as (select document_id, sum(cast(ceil(greatest(length(part) - 700, 0) / 600.0) as bigint) + 1) as n from up where ok and length(text) > 0 group by document_id)
+    select d.doc_id as document_id, case when n is null then 'uploading,parsing,failed' else 'uploading,parsing,chunking,embedding,completed' end as states, cast(coalesce(n, 0) as bigint) as chunks, cast(coalesce(n, 0) as bigint) as vectors,
+    case when doc_id % 5 = 2 then 'unsupported type' when n is null then 'no extractable text' end as message from documents d left join n on n.document_id = d.doc_id""")
+def str01_states(t):
+    """Every document's states, chunks and vectors, as the stream has left them in the store's three tables."""
+    kind = F.when(F.col("doc_id") % 5 == 2, "exe").otherwise("txt")
+    store = ingested(t, kind, F.substring("source", 4, 9).cast("int"))
+    count = lambda name: store.read(name).groupBy("document_id").agg(F.count("*").alias(name))
+    history = store.read("states").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "status"))), lambda s: s["status"]), ",").alias("states"), F.max("message").alias("message"))
+    out = history.join(count("chunks"), "document_id", "left").join(count("vectors"), "document_id", "left")
+    return out.select("document_id", "states", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("vectors", F.lit(0)).alias("vectors"), "message")
 
 
 @query("str02_redelivery", "select event_id from events")
@@ -37,7 +60,7 @@ def str08(t):
 @query("str09_failure_stream", "l as (select user_id, failed, row_number() over (partition by user_id order by ts desc, event_id desc) as r from call_log) select user_id, cast(count(*) as int) as n, cast(sum(failed) as int) as failures, count(*) >= 10 and sum(failed) / 10.0 >= 0.5 as open from l where r <= 10 group by user_id")
 def str09(t):
     calls = events(t).select("event_id", "ts", "user_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("failed"))
-    return streams.drain(streams.failure_stream(calls), "update")
+    return streams.drain(streams.failure_stream(calls), "update", ("user_id",))
 
 
 @query("str10_feedback_stream", "select cast(date_trunc('day', ts) as timestamp) as start, count(*) as total, count(*) filter (rating > 0) as positive, count(*) filter (rating < 0) as negative from feedback group by 1")

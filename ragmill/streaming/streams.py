@@ -12,19 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import chunk, jobs
+from ..operators import jobs
 
 
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files; ts becomes a timestamp, which watermarks need."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).parquet(*[f"{sf_dir}/{name}.parquet"]) if _is_folder(spark, f"{sf_dir}/{name}.parquet") else spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
-
+def source(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
+    """A table as a stream of its files, `files` to a micro-batch; ts becomes a timestamp, which watermarks need.
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    The last letter of the path is a pattern, so that the table may be a file or a folder.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema)
+    df = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{sf_dir}/{name}.parque[t]")
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -37,8 +35,12 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is and return its result: the appended rows, or the last state of a complete one."""
+def drain(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over all there is and return its result.
+
+    That is the appended rows, the last state of a complete one, or of an updating one every update, with `keys` only
+    the last of each key.
+    """
     spark, at = stream.sparkSession, folder(stream.sparkSession, "stream")
 
     def put(df: DataFrame, batch: int) -> None:
@@ -49,27 +51,12 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     out = spark.read.schema(schema).parquet(f"{at}/out")
     if mode == "complete":
         out = out.where(F.col("batch") == (out.agg(F.max("batch")).first()[0] or 0))
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*").select(*stream.columns)
     return out.drop("batch")
 
 
-def ingest(docs: DataFrame, sink: str) -> None:
-    """Arriving documents, each once, to chunk rows in `sink`: parting by batch makes a rerun of a batch idempotent."""
-    spark = docs.sparkSession
-
-    def put(df: DataFrame, batch: int) -> None:
-        fresh = df.dropDuplicates(["document_id"])
-        done = f"{sink}/documents"
-        if batch > 0:
-            seen = spark.read.parquet(done).where(F.col("batch") < batch).select("document_id")
-            fresh = fresh.join(seen, "document_id", "left_anti")
-        fresh = fresh.persist()
-        chunk.two_level_windows(fresh).write.mode("overwrite").parquet(f"{sink}/chunks/batch={batch}")
-        fresh.select("document_id", F.when(F.length("text") > 0, "completed").otherwise("failed").alias("status")).write.mode("overwrite").parquet(f"{done}/batch={batch}")
-        fresh.unpersist()
-
-    docs.writeStream.option("checkpointLocation", f"{sink}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-
-
 def redelivered(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Events without those whose keys came before, within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)

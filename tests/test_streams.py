@@ -1,22 +1,10 @@
-"""Streams against their batch twins, and redelivery across runs."""
+"""Streams against their batch twins."""
 
-from conftest import DATA
 from pyspark.sql import functions as F
 
-from ragmill.operators import chunk
 from ragmill.streaming import streams
 
 
-def test_ingest_equals_batch_and_skips_what_is_done(spark):
-    docs = streams.source(spark, DATA, "documents").selectExpr("doc_id as document_id", "text")
-    sink = streams.folder(spark, "ingest-test")
-    streams.ingest(docs, sink)
-    streams.ingest(docs, sink)
-    got = spark.read.parquet(f"{sink}/chunks").select("document_id", "chunk_index", "content")
-    batch = chunk.two_level_windows(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id as document_id", "text")).select("document_id", "chunk_index", "content")
-    assert got.count() == batch.count() and got.exceptAll(batch).isEmpty()
-
-
 def test_failure_stream_keeps_the_last_calls_whatever_their_order(spark, tmp_path):
     schema = "event_id long, ts timestamp, user_id long, failed int"
     at = f"file://{tmp_path}/calls"
