@@ -15,8 +15,14 @@ from .common import scratch, small_batches, stored
 FILTERS = "ABCDE"
 #: The bit of E, which no text has by itself.
 COPY = 1 << FILTERS.index("E")
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk, as it has an entry for each distinct text; all stores of an executor share 128 MB of buffers.
+STORE = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STORE}.rocksdb.writeBufferSizeMB": "1",
+}
 COMBINED = "key binary, part string, good int, toxic int, mask int, least long, n_least long, n_more long, n_null long"
 COMBINED_NAMES = [c.split()[0] for c in COMBINED.split(", ")]
 STATE = "keys array<binary>, least array<long>, parts array<string>, goods array<int>, toxics array<int>, counts array<long>"
@@ -141,7 +147,7 @@ def part_counters(docs: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
     mark = lambda c: F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0)))
     marks = stored(marks.agg(mark("quality").alias("good"), mark("toxic").alias("toxic")).where("good + toxic > 0"), "audit-labels")
-    at, before = scratch(spark, "audit"), spark.conf.get(PROVIDER)
+    at, before = scratch(spark, "audit"), {k: spark.conf.get(k, None) for k in STORE}
     rows = combined(marked(docs.withColumn("doc_id", F.col("doc_id").cast("long")), marks))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group")
     deltas = rows.applyInPandasWithState(retracting, DELTAS, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -150,12 +156,14 @@ def part_counters(docs: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
         sums = df.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
         sums.write.mode("overwrite").parquet(f"{at}/changes/batch={batch}")
 
-    spark.conf.set(PROVIDER, ROCKS)  # state on disk: it has an entry for each distinct text
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = deltas.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "part string, mask int, n long, good long, toxic long, batch int"
     if query.lastProgress is None:
         return spark.createDataFrame([], schema).drop("batch")
