@@ -16,12 +16,14 @@ FILTERS = "ABCDE"
 #: The bit of E, which no text has by itself.
 COPY = 1 << FILTERS.index("E")
 _STORE = "spark.sql.streaming.stateStore"
-#: State on disk, as it has an entry for each distinct text; all stores of an executor share 128 MB of buffers.
+#: State on disk, as it has an entry for each distinct text; all stores of an executor share 128 MB of buffers, and none
+#: lays out its files beforehand, as there are many small ones.
 STORE = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
     f"{_STORE}.rocksdb.maxMemoryUsageMB": "128",
     f"{_STORE}.rocksdb.writeBufferSizeMB": "1",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
 }
 COMBINED = "key binary, part string, good int, toxic int, mask int, least long, n_least long, n_more long, n_null long"
 COMBINED_NAMES = [c.split()[0] for c in COMBINED.split(", ")]
