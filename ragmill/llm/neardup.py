@@ -149,18 +149,22 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and set (its hashes, ascending, as bytes) of the documents named in `ids`; their texts are shuffled once."""
+def shingle_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """id and set (its hashes, ascending, as bytes) of each of `classes` (id, key, least); texts are shuffled once.
+
+    A class's set is made from the texts of its least document; where that id has other texts too, the key tells them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for at in range(0, len(whole), 200):
-                batch = whole.iloc[at : at + 200]
-                yield pd.DataFrame({"id": batch["doc_id"].to_numpy(), "set": [shingles(t, words).tobytes() for t in batch["text"]]})
+                sets = [shingles(t, words).tobytes() for t in whole["text"].iloc[at : at + 200]]
+                yield pd.DataFrame({"key": [hashlib.blake2b(x, digest_size=16).digest() for x in sets], "set": sets})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW).cast("long")).alias("doc_id"), "text")
-    rows = rows.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    return rows.mapInPandas(run, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    rows = rows.join(classes.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = rows.mapInPandas(run, "key binary, set binary").groupBy("key").agg(F.first("set").alias("set"))
+    return sets.join(classes.select("key", "id").hint("merge"), "key").select("id", "set")
 
 
 def alike(x: bytes, y: bytes, percent: int) -> bool:
@@ -297,7 +301,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin:
     Returns doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept (it is that document);
     mark (a long of each row, to tell rows that share an id), if given, comes as row.
 
-    Equal sets are one class, made by a pre-aggregated grouping, so copies never meet as pairs. Classes that agree on
+    Equal sets are one class, made by a pre-aggregated grouping, so copies never meet as pairs. A class is known by its
+    set's digest and gets a number when it is written, as its least document may be that of other classes too. Classes that agree on
     a band share a bucket. First each bucket's least class, its leader, meets the others, which joins a large group
     of near copies into few components at a linear cost. Then the members of different components of a bucket meet
     each other, block by block (see settled()). Pairs are estimated from registers, dropped if `margin` (over five
@@ -305,18 +310,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin:
     estimated to be far below, or joined by other links.
 
     A null text or one without words has no shingles and is linked with nothing. A null doc_id counts as the least.
-    Repeated rows are copies of each other; rows that share an id are one document as far as links go, each with its
-    own n_shingles. An empty table gives no rows. Other columns are ignored.
+    Repeated rows are copies of each other. Rows that share an id with other texts are linked each by its own text, and
+    its component goes by the least id of the texts that it reaches. An empty table gives no rows. Other columns are ignored.
     """
     least = percent / 100 - margin
     rows = stored(sketched(docs, words, mark), "near-sketches")
-    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
-    profiles = classes.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     bands = banded(classes)
     shared = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("high")).where("leader < high").select("bucket", "leader")
     shared = stored(shared, "near-shared")  # a join of plain shuffles is one whose skewed partitions can be split
     members = stored(bands.join(shared.hint("merge"), "bucket").distinct(), "near-members")
-    profiles = stored(profiles.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "near-profiles")
+    profiles = stored(classes.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "near-profiles")
     sets = stored(shingle_sets(docs, profiles, words), "near-sets")
 
     pairs = stored(likely(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), profiles, least), "near-likely")
@@ -331,7 +336,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, margin:
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    out = rows.drop("sketch").join(classes.select("key", "id").hint("merge"), "key", "left").join(labels.hint("merge"), "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    numbered = stored(labels.join(classes.select("id", "least").hint("merge"), "id"), "near-named")
+    lowest = numbered.groupBy("component").agg(F.min("least").alias("lowest"))
+    of_class = numbered.join(lowest.hint("merge"), "component").select("id", "lowest")
+    of_class = classes.select("key", "id", "least").join(of_class.hint("merge"), "id", "left").select("key", F.coalesce("lowest", "least").alias("component"))
+    out = rows.drop("sketch").join(of_class.hint("merge"), "key", "left")
+    component = F.coalesce("component", "doc_id")
     named = lambda c: F.nullif(c, F.lit(LOW).cast("long"))
     return out.select(named(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), *([] if mark is None else ["row"]))

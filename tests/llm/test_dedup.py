@@ -116,3 +116,12 @@ def test_kept_text_is_whole_characters(spark):
     shared = "é" * 30
     df = spark.createDataFrame([(1, "a" + shared + "tail"), (2, shared[:-1] + "b")], "doc_id long, text string")
     assert all("�" not in r.text for r in repeats.remove_repeats(df, 21, keep_text=True).collect())
+
+
+def test_links_of_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (9, "quite other words than those of any of the rows above")]
+    for order in (rows, rows[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
