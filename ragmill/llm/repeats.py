@@ -318,7 +318,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     found = stored(met(found, again, ["h"], "k").drop("k"), "repeat-recurring")
     kinds = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "back", "reach")).alias("one")), "repeat-kinds")
     groups = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h", "m")
-    whole = found.join(kinds.where("n > 1").select("h", "c").hint("merge"), ["h", "c"]).select("uid", (F.col("at") - F.col("back")).alias("start"), (F.col("at") - F.col("reach") + length).alias("end"))
+    whole = found.join(kinds.where("n > 1").select("h", "c").hint("merge"), ["h", "c"])
+    # equal rows share a uid, and so their spans, which are listed once
+    whole = whole.select("uid", (F.col("at") - F.col("back")).alias("start"), (F.col("at") - F.col("reach") + length).alias("end")).distinct()
     ask = met(kinds, stored(groups, "repeat-groups"), ["h"], "m").select("one.*", "h", "n", "m")
     empty = lambda kind: F.lit(None).cast(kind)
     notes = whole.select("uid", "start", "end", *[empty("long").alias(c) for c in ("h", "n", "m")], *[empty("int").alias(c) for c in ("at", "back", "reach")])
@@ -361,7 +363,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, carry: tuple[str, ...] =
     schema = finished + ", text string" * (not keep_text) + ", h long, uid binary, at int, back int, reach int, n long, m long, context binary, starts array<long>, ends array<long>, kind int"
     every = [c.split()[0] for c in schema.split(", ")]
     parts = stored(known.mapInPandas(split, schema), "repeat-parts", "kind")
-    contexts = parts.where("kind = 1").select(*asked)
+    contexts = parts.where("kind = 1").select(*asked).dropDuplicates(["h", "uid", "at"])  # of equal rows one speaks for all
+    contexts = stored(contexts, "repeat-contexts")
     few = sorted_repeats(contexts.where(F.col("m") <= hot), length)
     spans = few.unionByName(counted_repeats(contexts.where(F.col("m") > hot), length))
     late = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("more"))

@@ -125,3 +125,13 @@ def test_links_of_texts_that_share_an_id(spark):
     for order in (rows, rows[::-1]):
         got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
         assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+
+
+def test_equal_rows_are_settled_once(spark):
+    """Equal rows share their spans and contexts; results are those of one copy beside another."""
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefgh ij"), 6000))
+    other = text[:2500] + "#" + text[2500:4000]
+    docs = spark.createDataFrame([(1, text)] * 90 + [(1, other)], "doc_id long, text string")
+    got = {(r.n_bytes, r.n_removed, r.n_spans): r["count"] for r in repeats.remove_repeats(docs).groupBy("n_bytes", "n_removed", "n_spans").count().collect()}
+    assert got == {(6000, 6000, 1): 90, (4001, 4000, 2): 1}
