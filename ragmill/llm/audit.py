@@ -139,8 +139,8 @@ def part_counters(docs: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
     """part, mask, n, good, toxic of a stream of documents, after all that is there has been read.
 
     Texts are keyed by their SHA-256 and go to the state as sums of narrow rows. State is kept for `groups` groups of
-    keys by hash, as a call of Python for each text would cost milliseconds; it and the progress lie in the shared
-    folder. Each micro-batch adds its changes as a table of its own, at most one row for each part and mask, which a
+    keys by hash, as a call of Python for each text would cost milliseconds, and at least 16 of them to a partition; it
+    and the progress lie in the shared folder. Each micro-batch adds its changes as a table of its own, at most one row for each part and mask, which a
     rerun of the batch replaces: the counters are the sums over all batches. `labels` (doc_id, quality, toxic) may
     repeat ids (any mark counts) or hold null ones (they mark nothing).
     """
@@ -149,7 +149,9 @@ def part_counters(docs: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id"))
     mark = lambda c: F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0)))
     marks = stored(marks.agg(mark("quality").alias("good"), mark("toxic").alias("toxic")).where("good + toxic > 0"), "audit-labels")
-    at, before = scratch(spark, "audit"), {k: spark.conf.get(k, None) for k in STORE}
+    at, parts = scratch(spark, "audit"), "spark.sql.shuffle.partitions"
+    settings = STORE | {parts: str(min(int(spark.conf.get(parts)), max(1, groups // 16)))}  # each is a store of its own
+    before = {k: spark.conf.get(k, None) for k in settings}
     rows = combined(marked(docs.withColumn("doc_id", F.col("doc_id").cast("long")), marks))
     rows = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group")
     deltas = rows.applyInPandasWithState(retracting, DELTAS, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -158,7 +160,7 @@ def part_counters(docs: DataFrame, labels: DataFrame, groups: int) -> DataFrame:
         sums = df.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
         sums.write.mode("overwrite").parquet(f"{at}/changes/batch={batch}")
 
-    for k, v in STORE.items():
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         query = deltas.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
