@@ -7,8 +7,9 @@ is there and returns the sink's rows, which is what the queries and tests use.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +36,15 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = (), at: str | None = None) -> DataFrame:
     """Run a stream over all there is and return its result.
 
     That is the appended rows, the last state of a complete one, or of an updating one every update, with `keys` only
-    the last of each key.
+    the last of each key. With `at`, the folder of an earlier run, the stream goes on from where that ended, and what
+    it returned then is part of the result.
     """
-    spark, at = stream.sparkSession, folder(stream.sparkSession, "stream")
+    spark = stream.sparkSession
+    at = at or folder(spark, "stream")
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")  # a batch that runs again replaces its rows
@@ -57,6 +60,25 @@ def drain(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -
     return out.drop("batch")
 
 
+def replayed(rows: DataFrame, step: Column, steps: int, flow: Callable[[DataFrame], DataFrame], mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The result of flow(stream of rows) when the rows arrive in `steps` runs of the stream: those of `step` 0 first.
+
+    Each run takes in all of its step's files before the next ones are written, so the watermark has moved in between.
+    """
+    spark, at = rows.sparkSession, folder(rows.sparkSession, "replay")
+    stream = flow(_arrivals(spark, rows, step, 0, at))
+    out = drain(stream, mode, keys, at)
+    for k in range(1, steps):
+        _arrivals(spark, rows, step, k, at)
+        out = drain(stream, mode, keys, at)
+    return out
+
+
+def _arrivals(spark: SparkSession, rows: DataFrame, step: Column, k: int, at: str) -> DataFrame:
+    rows.where(step == k).write.mode("append").parquet(f"{at}/in")
+    return spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+
+
 def redelivered(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """Events without those whose keys came before, within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
