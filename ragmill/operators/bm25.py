@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..sources.files import written
+
+#: So many asked terms at most are sent to all tasks; more are merged.
+MOST = 200_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -29,20 +33,61 @@ def term_stats(post: DataFrame, stat: DataFrame) -> DataFrame:
     return df.join(stat, "kb_id").select("kb_id", "term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, id, score, bm25_rank: the top_k chunks with a positive score for each query (query_id, kb_id, text).
+def tokens(chunks: DataFrame) -> DataFrame:
+    """kbs, chunk_id, terms, len of chunks (kb_id or an array kbs, chunk_id, text), each tokenised once.
+
+    What is derived from it should read it from storage: see sources.files.written().
+    """
+    kbs = F.col("kbs") if "kbs" in chunks.columns else F.array("kb_id")
+    return chunks.select(kbs.alias("kbs"), "chunk_id", terms(F.col("text")).alias("terms")).withColumn("len", F.size("terms").cast("long"))
+
+
+def token_stats(toks: DataFrame) -> DataFrame:
+    """kb_id, n, avgdl of tokens()."""
+    return toks.select(F.explode("kbs").alias("kb_id"), "len").groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+
+
+def token_postings(toks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """kb_id, chunk_id, term, tf, len of tokens(), with `wanted` (term) of those terms only.
+
+    Terms are counted for each chunk, whatever the number of its knowledge bases, which come last.
+    """
+    words = toks.select("kbs", "chunk_id", "len", F.explode("terms").alias("term"))
+    if wanted is not None:
+        words = words.join(wanted, "term", "left_semi")
+    counted = words.groupBy("kbs", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
+    return counted.select(F.explode("kbs").alias("kb_id"), "chunk_id", "term", "tf", "len")
 
-    The queries' terms come first: chunks are tokenised once and postings are cut to the terms that some query has
-    before they are grouped, so common terms nobody asks for are never shuffled. A repeated query term counts each time.
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, kb_id, term, times of queries (query_id, kb_id, text); a repeated term counts each time."""
+    return queries.select("query_id", "kb_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("times"))
+
+
+def ranked(asked: DataFrame, post: DataFrame, df: DataFrame, stat: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, id, score, bm25_rank of the top_k chunks with a positive score, from postings with their lengths.
+
+    df (kb_id, term, df) and stat (kb_id, n, avgdl) are joined to the asked terms, of which there are few, before these
+    meet the postings.
     """
-    asked = queries.select("query_id", "kb_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("kb_id", "term").distinct()
-    words = chunks.select("kb_id", "chunk_id", F.explode(terms(F.col("text"))).alias("term"))
-    post = words.join(wanted, ["kb_id", "term"], "left_semi").groupBy("kb_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
-    of_kb, of_chunk = stats(chunks), lengths(chunks)
-    idf = term_stats(post, of_kb).select("kb_id", "term", "idf")
-    hits = asked.join(post, ["kb_id", "term"]).join(idf, ["kb_id", "term"]).join(of_chunk, ["kb_id", "chunk_id"]).join(of_kb, "kb_id")
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighed = asked.join(df, ["kb_id", "term"]).join(stat, "kb_id").select("query_id", "kb_id", "term", "times", idf.alias("idf"), "avgdl")
+    hits = weighed.join(post, ["kb_id", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("bm25_rank", rank).where(F.col("bm25_rank") <= top_k)
+
+
+def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, id, score, bm25_rank: the top_k chunks with a positive score for each query (query_id, kb_id, text).
+
+    chunks are as in tokens(), or its result. They are tokenised once, into a stored table; postings are cut to the
+    terms that some query has before they are counted, so common terms nobody asks for are never shuffled.
+    """
+    toks = chunks if "terms" in chunks.columns else written(tokens(chunks), "tokens")
+    asked = written(asked_terms(queries), "asked")
+    wanted = asked.select("term").distinct()
+    post = written(token_postings(toks, wanted.hint("broadcast" if asked.count() <= MOST else "merge")), "postings")
+    df = post.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
+    return ranked(asked, post, df, token_stats(toks), top_k, k1, b)

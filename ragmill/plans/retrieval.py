@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunk, fusion, rerank, retrieve, vectors
+from ..operators import bm25, catalog, chunk, fusion, index, rerank, retrieve, vectors
 from ..sources.files import written
 from ..sources.views import Tables
+from ..streaming import streams
 from .base import TERMS, query
 
 # ---- shared SQL ---------------------------------------------------------------------------------------------------------
@@ -41,14 +42,23 @@ rrf as (select query_id, id, round(sum(1.0::double / (60 + rank)), 6) as rrf, ar
 fused as (select *, row_number() over (partition by query_id order by rrf desc, id) as rank from rrf)"""
 
 
-def chunks(t: Tables) -> DataFrame:
-    """Character windows of documents in each knowledge base they are in, by either path: kb_id, chunk_id, text."""
-    linked = t.doc_kb.groupBy("document_id").agg(F.collect_set("kb_id").alias("linked"))
+def windows(t: Tables, doc_kb: DataFrame | None = None) -> DataFrame:
+    """Character windows of documents with the knowledge bases they are in, by either path: kbs, chunk_id, text."""
+    linked = (t.doc_kb if doc_kb is None else doc_kb).groupBy("document_id").agg(F.collect_set("kb_id").alias("linked"))
     none = F.array().cast("array<int>")
     kbs = F.array_distinct(F.array_compact(F.concat(F.array("kb_id"), F.coalesce("linked", none))))
     docs = t.docs.select("document_id", "kb_id", "text").join(linked, "document_id", "left").select("document_id", kbs.alias("kbs"), "text")
-    win = chunk.windows(docs, carry=("kbs",)).withColumn("kb_id", F.explode("kbs"))
-    return win.select("kb_id", F.concat_ws("_", F.lit("chunk"), "document_id", "chunk_index").alias("chunk_id"), F.col("content").alias("text"))
+    win = chunk.windows(docs.where(F.size("kbs") > 0), carry=("kbs",))
+    return win.select("kbs", F.concat_ws("_", F.lit("chunk"), "document_id", "chunk_index").alias("chunk_id"), F.col("content").alias("text"))
+
+
+def chunks(t: Tables) -> DataFrame:
+    """windows(), a row for each knowledge base: kb_id, chunk_id, text."""
+    return windows(t).select(F.explode("kbs").alias("kb_id"), "chunk_id", "text")
+
+
+def tokens(t: Tables) -> DataFrame:
+    return written(bm25.tokens(windows(t)), "tokens")
 
 
 def dense(t: Tables) -> DataFrame:
@@ -56,12 +66,12 @@ def dense(t: Tables) -> DataFrame:
 
 
 def bm_hits(t: Tables) -> DataFrame:
-    return bm25.search(t.text_queries, chunks(t), 15)
+    return bm25.search(t.text_queries, windows(t), 15)
 
 
 def semantic_hits(t: Tables) -> DataFrame:
-    rows = chunks(t)
-    vecs = vectors.hashed_terms(rows.select(F.struct("kb_id", F.col("chunk_id").alias("id")).alias("id"), "text")).select("id.kb_id", "id.id", "bucket", "weight")
+    vecs = vectors.hashed_terms(windows(t).select(F.struct("kbs", F.col("chunk_id").alias("id")).alias("id"), "text"))
+    vecs = vecs.select(F.explode("id.kbs").alias("kb_id"), "id.id", "bucket", "weight")
     asked = vectors.hashed_terms(t.text_queries.select(F.struct("query_id", "kb_id").alias("id"), "text")).select("id.query_id", "id.kb_id", "bucket", "weight")
     return vectors.sparse_search(asked, vecs, 15)
 
@@ -83,19 +93,20 @@ def bm01(t):
 
 @query("bm02_term_frequency", POST + " select kb_id, chunk_id, term, tf from post")
 def bm02(t):
-    return bm25.postings(chunks(t))
+    return bm25.token_postings(bm25.tokens(windows(t))).drop("len")
 
 
 @query("bm03_idf", POST + " select kb_id, term, df, round(idf, 6) as idf from idf")
 def bm03(t):
-    c = chunks(t)
-    return bm25.term_stats(bm25.postings(c), bm25.stats(c)).withColumn("idf", F.round("idf", 6))
+    toks = tokens(t)
+    return bm25.term_stats(bm25.token_postings(toks), bm25.token_stats(toks)).withColumn("idf", F.round("idf", 6))
 
 
 @query("bm04_corpus_stats", POST + " select kb_id, n, round(avgdl, 6) as avgdl, vocabulary from stat join (select kb_id, count(distinct term) as vocabulary from words group by kb_id) using (kb_id)")
 def bm04(t):
-    c = chunks(t)
-    return bm25.stats(c).join(bm25.postings(c).groupBy("kb_id").agg(F.count_distinct("term").alias("vocabulary")), "kb_id").withColumn("avgdl", F.round("avgdl", 6))
+    toks = tokens(t)
+    words = bm25.token_postings(toks).groupBy("kb_id").agg(F.count_distinct("term").alias("vocabulary"))
+    return bm25.token_stats(toks).join(words, "kb_id").withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("bm05_search", BM + " select query_id, id, score, bm25_rank from bm")
@@ -105,7 +116,7 @@ def bm05(t):
 
 @query("bm06_result_shape", BM + " select query_id, id, score, bm25_rank, 'bm25' as origin from bm where bm25_rank <= 5")
 def bm06(t):
-    return bm25.search(t.text_queries, chunks(t), 5).withColumn("origin", F.lit("bm25"))
+    return bm25.search(t.text_queries, windows(t), 5).withColumn("origin", F.lit("bm25"))
 
 
 @query("bm07_build_by_membership", r"""members as (select document_id, kb_id from docs where kb_id is not null union select document_id, kb_id from doc_kb),
@@ -123,7 +134,37 @@ def bm07(t):
 def bm08(t):
     """All queries, and as many of a knowledge base that doesn't exist: one without an index gives no rows."""
     nowhere = t.text_queries.withColumns({"query_id": F.col("query_id") + 1_000_000_000, "kb_id": F.lit(-1)})
-    return bm25.search(t.text_queries.unionByName(nowhere), chunks(t), 5)
+    return bm25.search(t.text_queries.unionByName(nowhere), windows(t), 5)
+
+
+def stored_index(t: Tables):
+    store = index.open_index(t._spark, f"{streams.folder(t._spark, 'index')}/store")
+    index.build(store, tokens(t))
+    return store
+
+
+@query("bm07_stored_index", POST + " select kb_id, term, cast(count(*) as bigint) as df, cast(sum(tf) as bigint) as tf from post group by all")
+def bm07_stored(t):
+    """The terms of the index of all knowledge bases, as they are read back from it."""
+    return stored_index(t).read("terms")
+
+
+@query("bm05_stored_search", BM + " select query_id, id, score, bm25_rank from bm")
+def bm05_stored(t):
+    """bm05_search, answered from a stored index."""
+    return index.search(stored_index(t), t.text_queries, 15)
+
+
+@query("rel08_stored_relink", BM.replace("union select document_id, kb_id from doc_kb)", "union select document_id, kb_id from doc_kb where not (kb_id = 7 and document_id % 2 = 0) union select document_id, 9 from docs where document_id % 6 = 0)")
+       + " select query_id, id, score, bm25_rank from bm")
+def rel08_stored(t):
+    """The stored index after documents were linked to one knowledge base and unlinked from another; only these two are rebuilt."""
+    store = stored_index(t)
+    gone = t.doc_kb.where("kb_id = 7 and document_id % 2 = 0")
+    new = t.docs.where("document_id % 6 = 0").select("document_id", F.lit(9).alias("kb_id"))
+    after = catalog.link(catalog.unlink(t.doc_kb, gone), new)
+    index.build(store, written(bm25.tokens(windows(t, after)), "tokens"), catalog.touched(t.doc_kb, after))
+    return index.search(store, t.text_queries, 15)
 
 
 # ---- vectors ------------------------------------------------------------------------------------------------------------
@@ -188,7 +229,7 @@ def vec07_links(t):
 
 @query("vec08_hashed_vectors", BM + SPARSE + " select id, bucket, round(weight, 6) as weight from cvec")
 def vec08(t):
-    return vectors.hashed_terms(chunks(t).select(F.col("chunk_id").alias("id"), "text")).withColumn("weight", F.round("weight", 6))
+    return vectors.hashed_terms(windows(t).select(F.col("chunk_id").alias("id"), "text")).withColumn("weight", F.round("weight", 6))
 
 
 # ---- fusion -------------------------------------------------------------------------------------------------------------
