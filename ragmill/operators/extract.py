@@ -146,13 +146,47 @@ def main_content(pages: DataFrame, most: int = 100_000) -> DataFrame:
     return titles.join(best, "page_id", "left").select("page_id", "title", T.clip(F.coalesce("b.text", F.lit("")), most).alias("text"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
+TAG = "<[/a-zA-Z][^>]*>"
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """page_id, pos, name, attributes, start, end of every element of `pages` (page_id, html), by windows over its tags.
+
+    start and end are offsets of what stands between its tags. Tags of a name are numbered by how many of that name are
+    open, and an opening tag is closed by the next one of its number, so elements may hold others of their kind. What
+    is never closed ends with the page; closing tags without an opening one are no elements.
+    """
+    tags, parts = F.regexp_extract_all("html", F.lit(TAG), F.lit(0)), F.split("html", TAG)
+    rows = pages.select("page_id", F.length("html").alias("size"), F.posexplode(F.arrays_zip(tags.alias("tag"), F.slice(parts, 1, F.size(tags)).alias("before"))).alias("pos", "x"))
+    order = Window.partitionBy("page_id").orderBy("pos")
+    after = F.sum(F.length("x.before") + F.length("x.tag")).over(order)
+    rows = rows.select("page_id", "size", "pos", F.col("x.tag").alias("tag"), after.cast("int").alias("after"))
+    rows = rows.withColumns({"name": F.lower(F.regexp_extract("tag", "</?([a-zA-Z][a-zA-Z0-9]*)", 1)), "opens": ~F.startswith("tag", F.lit("</"))})
+    rows = rows.where(~F.col("name").isin(*sorted(VOID)) & ~F.endswith("tag", F.lit("/>")))
+    open_ = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(Window.partitionBy("page_id", "name").orderBy("pos"))
+    rows = rows.withColumn("level", open_ + F.when(F.col("opens"), 0).otherwise(1))
+    same = Window.partitionBy("page_id", "name", "level").orderBy("pos")
+    end = F.lead(F.when(~F.col("opens"), F.col("after") - F.length("tag"))).over(same)
+    rows = rows.select("*", F.coalesce(end, "size").alias("end")).where("opens")
+    return rows.select("page_id", "pos", "name", F.regexp_extract("tag", r"(?s)^<[a-zA-Z0-9]+(.*)>$", 1).alias("attributes"), F.col("after").alias("start"), "end")
+
+
 def semantic_area(pages: DataFrame, least: int = 50) -> DataFrame:
-    """page_id, text of the first of main, role=main, article and the usual content classes with over `least` characters."""
-    cls = lambda name: rf'(?is)<(?:div|section)\b[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</(?:div|section)>'
-    patterns = [r"(?is)<main\b[^>]*>(.*?)</main>", r'(?is)<[a-z]+\b[^>]*role="main"[^>]*>(.*?)</', r"(?is)<article\b[^>]*>(.*?)</article>", *map(cls, ("content", "main-content", "post-content", "article-content", "page-content"))]
-    nodes = [F.filter(F.regexp_extract_all("html", F.lit(p), F.lit(1)), lambda x: F.length(x) > least) for p in patterns]
-    first = F.coalesce(*[F.when(F.size(n) > 0, n) for n in nodes])
-    return pages.select("page_id", F.array_join(F.transform(first, T.tags_to_space), "\n\n").alias("text")).where("text is not null")
+    """page_id, text of the first of main, role=main, article and the usual content classes with over `least` characters.
+
+    All elements of that kind are joined in order, those inside others of it too, each with all that it holds.
+    """
+    value = lambda key: F.regexp_extract("attributes", rf"""(?i)(?:^|\s){key}\s*=\s*["']?([^"'>]*)""", 1)
+    classes = F.split(value("class"), r"\s+")
+    kinds = [F.col("name") == "main", F.trim(value("role")) == "main", F.col("name") == "article"]
+    kinds += [F.array_contains(classes, c) for c in ("content", "main-content", "post-content", "article-content", "page-content")]
+    ranks = F.array_compact(F.array(*[F.when(k, i) for i, k in enumerate(kinds)]))
+    plain = pages.select("page_id", F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "").alias("html"))
+    found = elements(plain).where(F.col("end") - F.col("start") > least).select("page_id", "pos", "start", "end", F.explode(ranks).alias("rank"))
+    spans = found.groupBy("page_id", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("spans"))
+    first = spans.groupBy("page_id").agg(F.min_by("spans", "rank").alias("spans"))
+    texts = F.transform("spans", lambda s: T.tags_to_space(F.substring("html", s["start"] + 1, s["end"] - s["start"])))
+    return plain.join(first.hint("merge"), "page_id").select("page_id", F.array_join(texts, "\n\n").alias("text"))
 
 
 def cards(pages: DataFrame, least: int = 3) -> DataFrame:

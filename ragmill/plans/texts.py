@@ -74,6 +74,22 @@ def txt09(t):
     return semantic_area(t.pages).select("page_id", F.md5("text").alias("text_md5"))
 
 
+@query("txt09_nested_areas", r"""w as (select page_id, html, page_id % 4 as k, '<div class="x"><div>' || md5(url) || '</div>' || repeat('lead ', 12) || '</div>' as nest from pages)
+    select page_id, case k when 0 then regexp_replace(nest || 'tail <p>end</p>', '<[^>]+>', ' ', 'g') when 1 then regexp_replace('a<article>' || nest || '</article>b', '<[^>]+>', ' ', 'g') || chr(10) || chr(10) || regexp_replace(nest, '<[^>]+>', ' ', 'g')
+    when 2 then regexp_replace(nest || nest, '<[^>]+>', ' ', 'g') else regexp_replace(nest, '<[^>]+>', ' ', 'g') end as text from w""")
+def txt09_nested(t):
+    """Pages written from the given ones whose content holds elements of its own kind: main, article, role and class."""
+    from ..operators.extract import semantic_area
+
+    nest = F.concat(F.lit('<div class="x"><div>'), F.md5("url"), F.lit("</div>"), F.repeat(F.lit("lead "), F.lit(12)), F.lit("</div>"))
+    k, text = F.col("page_id") % 4, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    html = F.when(k == 0, text("<body><article>", nest, "</article><main id=m>", nest, "tail <p>end</p></main></body>"))
+    html = html.when(k == 1, text("<article>a<article>", nest, "</article>b</article><div class='content'>", nest, "</div>"))
+    html = html.when(k == 2, text('<div class="content">', nest, '</div><section ROLE="main">', nest, nest, "</section><!-- <main>", nest, "</main> -->"))
+    html = html.otherwise(text("<div><section class='wide post-content'>", nest, "</section></div><main>short</main><br/>"))
+    return semantic_area(t.pages.select("page_id", html.alias("html")))
+
+
 @query("txt10_cards")
 def txt10(t):
     from ..operators.extract import cards
