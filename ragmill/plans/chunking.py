@@ -11,6 +11,28 @@ from ..streaming import streams
 from .base import query
 
 PARA = "para as (select document_id, cast(i as int) - 1 as pos, p as text from (select document_id, unnest(l) as p, unnest(range(1, len(l) + 1)) as i from (select document_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: length(x) > 0) as l from docs)))"
+#: parts of paragraphs `para` (text) of over {most} tokens: sentences packed greedily, in a fold over a list.
+LONG = r"""cut as (select *, regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]|[^。！？.!?]+') as raw from {source}),
+    sents as (select * exclude (raw), list_filter(list_transform(range(1, len(raw) + 1), lambda i: case when i = 1 then raw[i] else regexp_replace(raw[i], '^\s+', '') end), lambda x: length(trim(x, ' ' || chr(9) || chr(13) || chr(10))) > 0) as sents from cut),
+    folded as (select *, list_reduce(list_transform(sents, lambda x: {{'done': []::varchar[], 'held': '', 'n': 0::bigint, 's': x}}), lambda a, x: {{
+        'done': case when a.n + length(x.s) // 4 > {most} and a.held <> '' then list_append(a.done, a.held) else a.done end,
+        'held': case when a.n + length(x.s) // 4 > {most} and a.held <> '' then x.s else a.held || x.s end,
+        'n': case when a.n + length(x.s) // 4 > {most} and a.held <> '' then length(x.s) // 4 else a.n + length(x.s) // 4 end, 's': ''}}, {{'done': []::varchar[], 'held': '', 'n': 0::bigint, 's': ''}}) as f from sents),
+    long as (select * exclude (sents, f), case when f.held <> '' then list_append(f.done, f.held) else [text] end as parts from folded)"""
+#: The fold that packs paragraphs (pos, text, parts) of `long` into chunks of 256 tokens with an overlap of 50; every one is a paragraph on page 1.
+PACK = """rows as (select document_id, list({'held': []::varchar[], 'n': 0::bigint, 'out': []::struct(c varchar, t bigint, k varchar, p int)[], 'text': text, 'parts': parts} order by pos) as l from long group by document_id),
+    packed as (select document_id, list_reduce(l, lambda a, s: {
+        'held': list_concat(case when a.n + length(s.text) // 4 > 256 and len(a.held) > 0 then case when length(a.held[-1]) // 4 > 50 then [substr(a.held[-1], 1, 200)] else []::varchar[] end else a.held end,
+            case when length(s.text) // 4 > 256 then []::varchar[] else [s.text] end),
+        'n': case when a.n + length(s.text) // 4 > 256 and len(a.held) > 0 then case when length(a.held[-1]) // 4 > 50 then length(substr(a.held[-1], 1, 200)) // 4 else 0 end else a.n end
+            + case when length(s.text) // 4 > 256 then 0 else length(s.text) // 4 end,
+        'out': list_concat(a.out, list_concat(case when a.n + length(s.text) // 4 > 256 and len(a.held) > 0 then [{'c': array_to_string(a.held, chr(10) || chr(10)), 't': length(array_to_string(a.held, chr(10) || chr(10))) // 4, 'k': 'paragraph', 'p': 1}] else []::struct(c varchar, t bigint, k varchar, p int)[] end,
+            case when length(s.text) // 4 > 256 then list_transform(list_filter(s.parts, lambda p: length(trim(p)) > 0), lambda p: {'c': trim(p, ' ' || chr(9) || chr(13) || chr(10)), 't': length(p) // 4, 'k': 'paragraph', 'p': 1}) else []::struct(c varchar, t bigint, k varchar, p int)[] end)),
+        'text': '', 'parts': []::varchar[]}, {'held': []::varchar[], 'n': 0::bigint, 'out': []::struct(c varchar, t bigint, k varchar, p int)[], 'text': '', 'parts': []::varchar[]}) as f from rows),
+    chunked as (select document_id, case when len(f.held) > 0 then list_append(f.out, {'c': array_to_string(f.held, chr(10) || chr(10)), 't': length(array_to_string(f.held, chr(10) || chr(10))) // 4, 'k': null, 'p': null}) else f.out end as l from packed)"""
+#: Sentences of texts `{source}` (text): pieces of 5 characters or more, those under 10 appended to the one before.
+SENTENCES = r"""bits as (select *, list_filter(list_transform(string_split(regexp_replace(text, '([。！？；\n]|[.!?;]\s)\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: length(x) >= 5) as bits from {source}),
+    said as (select * exclude (bits), list_reduce(list_transform(bits, lambda x: [x]), lambda a, x: case when length(x[1]) < 10 and len(a) > 0 then list_append(a[:len(a) - 1], a[len(a)] || x[1]) else list_append(a, x[1]) end, []::varchar[]) as said from bits)"""
 WIN2 = """up as (select document_id, cast(i as int) as parent_index, substr(text, cast(i * 1950 + 1 as bigint), 2200) as text from (select document_id, text, unnest(range(0, cast(ceil(greatest(length(text) - 2200, 0) / 1950.0) as bigint) + 1)) as i from docs where length(text) > 0)),
 low as (select document_id, parent_index, i as k, substr(text, cast(i * 600 + 1 as bigint), 700) as content from (select document_id, parent_index, text, unnest(range(0, cast(ceil(greatest(length(text) - 700, 0) / 600.0) as bigint) + 1)) as i from up)),
 subs as (select document_id, parent_index, cast(row_number() over (partition by document_id order by parent_index, k) - 1 as int) as chunk_index, content from low)"""
@@ -134,12 +156,13 @@ def chk05(t):
     return t.docs.select("document_id", T.token_count(F.col("text")).alias("tokens"), T.token_truncate(F.col("text"), 100).alias("head"))
 
 
-@query("chk07_split_long")
+@query("chk07_split_long", LONG.format(source="docs", most=256) + " select document_id, cast(i - 1 as int) as pos, md5(parts[i]) as part_md5 from (select document_id, parts, unnest(range(1, len(parts) + 1)) as i from long)")
 def chk07(t):
     return t.docs.select("document_id", F.posexplode(chunk.split_long(F.col("text"), 256)).alias("pos", "part")).select("document_id", "pos", F.md5("part").alias("part_md5"))
 
 
-@query("chk08_10_pack")
+@query("chk08_10_pack", PARA + ", " + LONG.format(source="para", most=256) + ", " + PACK + """ select document_id, cast(i - 1 as int) as chunk_index, md5(l[i].c) as content_md5, cast(l[i].t as int) as token_count, l[i].k as type, l[i].p as page
+    from (select document_id, l, unnest(range(1, len(l) + 1)) as i from chunked)""")
 def chk08(t):
     return packed(t).select("document_id", "chunk_index", F.md5("content").alias("content_md5"), "token_count", "type", "page")
 
@@ -175,7 +198,7 @@ def chk14(t):
     return chunk.two_level_windows(t.docs).select("document_id", "parent_index", "chunk_index", F.md5("content").alias("content_md5"), "token_count")
 
 
-@query("chk15_sentences")
+@query("chk15_sentences", SENTENCES.format(source="docs") + " select document_id, cast(i - 1 as int) as pos, md5(said[i]) as sentence_md5 from (select document_id, said, unnest(range(1, len(said) + 1)) as i from said)")
 def chk15(t):
     return t.docs.select("document_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).select("document_id", "pos", F.md5("sentence").alias("sentence_md5"))
 

@@ -16,7 +16,10 @@ def tag01(t):
     return t.documents.select("doc_id", F.md5(tags.content_sample(F.col("text"))).alias("sample_md5"))
 
 
-@query("tag03_quality_filter")
+GOOD = "good as (select doc_id, list_filter(" + TERMS + ", lambda x: lower(x) not in (" + ", ".join(f"'{w}'" for w in tags.BANNED) + ") and length(x) > 1 and not regexp_matches(x, '^[0-9]+$')) as l from documents)"
+
+
+@query("tag03_quality_filter", GOOD + " select doc_id, array_to_string(list_slice(list_filter(list_transform(range(1, len(l) + 1), lambda i: case when list_position(l, l[i]) = i then l[i] end), lambda x: x is not null), 1, 5), '|') as tags from good")
 def tag03(t):
     from ..functions.text import terms
 

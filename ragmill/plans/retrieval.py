@@ -10,6 +10,7 @@ from ..sources.files import written
 from ..sources.views import Tables
 from ..streaming import streams
 from .base import TERMS, query
+from .chunking import SENTENCES
 
 # ---- shared SQL ---------------------------------------------------------------------------------------------------------
 
@@ -471,7 +472,13 @@ def source_rows(t: Tables) -> DataFrame:
     return retrieve.sources(hits, t.docs, t.doc_tags)
 
 
-@query("ret06_compression")
+@query("ret06_compression", PARENTS + ", " + SENTENCES.replace("(text, ", "(content, ").format(source="par") + """, sx as (select query_id, pos, i, said[i] as text from (select query_id, pos, said, unnest(range(1, least(len(said), 200) + 1)) as i from said)),
+    sc as (select query_id, pos, i, cast(cast('0x' || substr(md5(term), 1, 8) as bigint) % 256 as int) as bucket, count(*) as n from (select query_id, pos, i, unnest(""" + TERMS + """) as term from sx) group by all),
+    sv as (select *, n / sqrt(cast(sum(n * n) over (partition by query_id, pos, i) as double)) as weight from sc),
+    sn as (select query_id, pos, i, round(sum(weight * w), 6) as cos from sv join qvec using (query_id, bucket) group by all),
+    judged as (select *, length(text) <= 30 or coalesce(cos, 0) >= 0.3 as keep from sx left join sn using (query_id, pos, i)),
+    shorter as (select query_id, pos, count(*) as total, count(*) filter (keep) as kept, string_agg(text, '' order by i) filter (keep) as short_text from judged group by all)
+    select query_id, pos, md5(case when total > 1 and kept > 0 then short_text else content end) as content_md5, coalesce(kept, 0) as kept, coalesce(total, 0) as total, length(content) as original_length from par left join shorter using (query_id, pos)""")
 def ret06(t):
     out = retrieve.compress(parent_rows(t).select("query_id", "pos", "content"), t.text_queries)
     return out.select("query_id", "pos", F.md5("content").alias("content_md5"), "kept", "total", "original_length")

@@ -195,6 +195,9 @@ def eva09(t):
     return t.documents.select("doc_id", F.array_join(T.parse_questions(F.col("text")), "|").alias("questions"))
 
 
-@query("tag02_parse_tags")
+TAGS = r"""items as (select doc_id, list_filter(list_transform(string_split_regex(text, '[,，、\n]'), lambda x: trim(""" + UNQ.format(x=NUM.format(x="trim(x)").replace(".、)]", ".、)\\-]")) + """, '。')), lambda x: length(x) between 2 and 20) as l from documents)"""
+
+
+@query("tag02_parse_tags", TAGS + " select doc_id, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: case when list_position(l, l[i]) = i then l[i] end), lambda x: x is not null), '|') as tags from items")
 def tag02(t):
     return t.documents.select("doc_id", F.array_join(T.parse_tags(F.col("text")), "|").alias("tags"))
