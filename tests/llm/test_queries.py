@@ -1,10 +1,14 @@
 """The numbered queries against their SQL, and the pipeline's stages on their own inputs."""
 
+from collections import Counter
+
+import numpy as np
 import pytest
 from conftest import DATA, oracle_rows, rows_of
+from test_dedup import brute_components
 
 import corpus_pipeline
-from ragmill.llm import registry
+from ragmill.llm import pieces, quality, registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -12,12 +16,52 @@ def test_same_as_sql(spark, duck, name):
     assert rows_of(registry.queries()[name](spark, DATA)) == oracle_rows(duck, registry.oracle_sql()[name])
 
 
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    seen = [docs]
+@pytest.fixture(scope="module")
+def seen(spark):
+    """The documents, and what each stage of the pipeline makes of the stage before."""
+    out = [spark.read.parquet(f"{DATA}/documents.parquet")]
     for name, stage in corpus_pipeline.STAGES:
-        seen.append(corpus_pipeline.stored(stage(spark, seen[-1], DATA), f"test-{name}"))
+        out.append(corpus_pipeline.stored(stage(spark, out[-1], DATA), f"test-{name}"))
+    return out
+
+
+def texts_of(df):
+    return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+def without_repeats(rows, length=400):
+    """Texts without the bytes of strings that start twice; every window is looked up."""
+    coded = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(hash(b[k : k + length]) for _, b in coded for k in range(len(b) - length + 1))
+    out = Counter()
+    for i, b in coded:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if count[hash(b[k : k + length])] > 1:
+                gone[k : k + length] = True
+        out[i, bytes(np.frombuffer(b, np.uint8)[~gone]).decode(errors="ignore")] += 1
+    return out
+
+
+def test_stages_equal_brute_force(spark, duck, seen):
+    docs, good, single, cut, mixed, encoded = seen
+    model = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    score = lambda t: float(model.score(quality.features(t)[None])[0])
+    assert texts_of(good) == Counter({k: n for k, n in texts_of(docs).items() if score(k[1]) >= 0.7})
+    label = brute_components(list(texts_of(good)))
+    assert texts_of(single) == Counter({k: n for k, n in texts_of(good).items() if label[k[0]] == k[0]})
+    assert texts_of(cut) == without_repeats(list(texts_of(single).elements()))
+    other = duck.cursor()
+    other.register("documents", cut.toPandas())
+    rows = other.execute(f"select doc_id, size, taken from ({registry.oracle_sql()['op1_pareto_mix']})").fetchall()
+    copies, text = {i: taken // size for i, size, taken in rows if size}, dict(texts_of(cut))
+    assert texts_of(mixed) == Counter({k: copies[k[0]] for k in text if copies.get(k[0])})
+    assert texts_of(pieces.decode(encoded)) == texts_of(mixed)
+
+
+def test_pipeline_stages(seen):
     before, good, single, cut, mixed, encoded = seen
+    docs = before
     assert all(x.columns == docs.columns for x in seen[:-1])
     assert 0.7 * before.count() < good.count() < before.count()
     assert single.count() < good.count() and single.count() == single.select("doc_id").distinct().count()

@@ -156,3 +156,81 @@ def test_language_bounds(spark):
     assert language.visible_text("<p>a<!-- b --> c<i") .split() == ["a", "c"]
     docs = spark.createDataFrame([("some words", f"l{i:04d}") for i in range(300)] + [("more", "zz"), ("more", "zz")], "text string, lang string")
     assert language.fit_text_model(docs, most=3)[0] == ["l0000", "l0001", "zz"]
+
+
+def chunks_of(data, least=16, normal=64, most=256):
+    """Chunks by the rule itself, byte by byte: a running gear hash, a stricter mask up to the normal size."""
+    bits = normal.bit_length() - 1
+    mask = lambda n: ((1 << n) - 1) << (32 - n)
+    out, begin, h, marks = [], 0, 0, []
+    for b in data:
+        h = ((h << 1) + int(chunking.GEAR[b])) & 0xFFFFFFFF
+        marks.append(h)
+    while begin < len(data):
+        end = min(begin + most, len(data))
+        if len(data) - begin > least:
+            for p in range(begin + least, end):
+                strict = p - begin < normal
+                if marks[p - 1] & mask(bits + 1 if strict else bits - 1) == 0:
+                    end = p
+                    break
+        else:
+            end = len(data)
+        out.append(data[begin:end])
+        begin = end
+    return out
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abcdefghij klmnop\né"), 400)) for _ in range(4)]
+    rows = [(i, "".join(pool[k][: int(rng.integers(50, 400))] for k in rng.integers(0, 4, int(rng.integers(0, 9))))) for i in range(40)]
+    rows += [(50, rows[7][1]), (51, None), (52, ""), (53, "x" * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in chunking.next_and_edited(docs, rows_per_range=5).collect()}
+    ordered = sorted(rows, reverse=True)
+
+    def share(a, b):
+        a, b = set(a), set(b)
+        return sum(len(c) for c in a & b) / sum(map(len, a)) if a and b else float(not a and not b)
+
+    sets = {}
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        text, after = text or "", after or ""
+        half = min(len(text) // 2, len(after))
+        edited = text[: len(text) - len(text) // 2] + after[:half]
+        own, other, next_ = (chunks_of(t.encode()) for t in (text, edited, after))
+        assert abs(got[i].near_edited - share(own, other)) < 1e-12 and abs(got[i].near_next - share(own, next_)) < 1e-12
+        assert sorted(int(c.split(":")[1], 16) for c in got[i].fingerprint.split()) == sorted(map(len, set(own)))
+        sets[i] = frozenset(own)
+    for i in sets:
+        for j in sets:
+            assert (got[i].fingerprint == got[j].fingerprint) == (sets[i] == sets[j])
+
+
+def test_quality_comes_near_the_exact_optimum(spark):
+    """Against Newton's method on the logistic loss of all pairs, with labels that no ranker gets right throughout."""
+    rng = np.random.default_rng(2)
+    rows, marks = [], []
+    for i in range(160):
+        noise = rng.random()
+        words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) + ("!" if rng.random() < noise / 3 else "") for _ in range(int(rng.integers(20, 80)))]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(noise + rng.normal() / 5 < 0.6), 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    z = np.clip((np.array([quality.features(t) for _, t in rows]) - model.mean) / model.scale, -6, 6)
+    z = np.hstack([z, z * z])
+    q = np.array([m[1] for m in marks])
+    gap = (z[q == 1][:, None] - z[q == 0][None]).reshape(-1, z.shape[1])
+    loss = lambda w: np.log1p(np.exp(-gap @ w)).mean() + 0.5e-4 * w @ w
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(gap @ w))
+        slope = -(gap * p[:, None]).mean(0) + 1e-4 * w
+        bend = (gap * (p * (1 - p))[:, None]).T @ gap / len(gap) + 1e-4 * np.eye(len(w))
+        w = w - np.linalg.solve(bend, slope)
+    assert np.abs(slope).max() < 1e-6
+    assert loss(w) <= loss(model.w) < loss(w) + 0.03
+    right = lambda v: (gap @ v > 0).mean()
+    assert right(model.w) > right(w) - 0.02 and right(w) < 1
