@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.vector import dot, norm
+from ..sources.files import written
 
 
 def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, threshold: float = 0.5, metric: str = "half", not_itself: bool = False) -> DataFrame:
@@ -27,6 +28,76 @@ def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, threshold: fl
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).where(F.col("score") >= threshold)
 
 
+def unit(v: Column) -> Column:
+    size = norm(v)
+    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size))
+
+
+def pivots(vectors: DataFrame, most: int = 16) -> DataFrame:
+    """kb_id, pivots: up to `most` unit vectors of each knowledge base, those of the least hashes of their ids."""
+    rows = vectors.select("kb_id", "id", unit(F.col("embedding")).alias("u")).where("u is not null")
+    first = F.row_number().over(Window.partitionBy("kb_id", F.size("u")).orderBy(F.xxhash64("id"), "id"))
+    return rows.withColumn("_r", first).where(F.col("_r") <= most).groupBy("kb_id").agg(F.sort_array(F.collect_list(F.struct("_r", "u"))).alias("p")).select("kb_id", F.col("p.u").alias("pivots"))
+
+
+def in_cells(vectors: DataFrame, kb_pivots: DataFrame, most: int = 10_000) -> DataFrame:
+    """kb_id, id, u (unit vector), cell (the nearest pivot) and far (the distance to it): the index that pruned_search() reads.
+
+    Vectors without direction, and those of a length that no pivot has, are in cell -1. At most `most` knowledge bases'
+    pivots are sent to all tasks; more are merged.
+    """
+    few = kb_pivots.hint("broadcast" if kb_pivots.count() <= most else "merge")
+    rows = vectors.select("kb_id", "id", unit(F.col("embedding")).alias("u"), F.size("embedding").alias("size")).join(few, "kb_id", "left")
+    near = F.array_min(F.transform("pivots", lambda p, i: F.when(F.size(p) == F.size("u"), F.struct(gap(p, F.col("u")).alias("far"), i.alias("cell")))))
+    rows = rows.withColumn("near", near)
+    return rows.select("kb_id", "id", "u", "size", F.coalesce("near.cell", F.lit(-1)).alias("cell"), F.col("near.far").alias("far"))
+
+
+def gap(a: Column, b: Column) -> Column:
+    """Distance of unit vectors."""
+    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot(a, b)))
+
+
+def pruned_search(queries: DataFrame, cells: DataFrame, kb_pivots: DataFrame, top_k: int = 5, threshold: float = 0.5, metric: str = "half", not_itself: bool = False, most: int = 10_000) -> DataFrame:
+    """As search(), exactly, of vectors stored as in_cells(), without scoring all of them.
+
+    A query's distance to a pivot and a vector's differ by at most the distance of query and vector. So the top_k of
+    the nearest cell that has enough bound how far the others may be, as does the threshold; of cells and vectors only
+    those that this bound doesn't rule out are scored. Scores are rounded before they are ranked, so the bound is
+    widened by a rounding step. With few queries (`most`) no vector is shuffled but for what is scored.
+    """
+    k = top_k + int(not_itself)
+    q = queries.select("query_id", "kb_id", unit(F.col("embedding")).alias("qu"), F.size("embedding").alias("size")).join(kb_pivots, "kb_id", "left")
+    q = q.select("query_id", "kb_id", "qu", "size", F.transform("pivots", lambda p: F.when(F.size(p) == F.size("qu"), gap(p, F.col("qu")))).alias("to"))
+    q = written(q, "asked")
+    side = lambda df: df.hint("broadcast" if q.count() <= most else "merge")
+    about = written(cells.groupBy("kb_id", "cell").agg(F.max("far").alias("reach"), F.count("*").alias("n")), "cells")
+    # distances of a cosine: of unit vectors sqrt(2 - 2 cos); a score s of "half" is (1 + cos) / 2, of "sidecar" cos
+    of_score = lambda s: F.sqrt(F.greatest(F.lit(0.0), 4 - 4 * s if metric == "half" else 2 - 2 * s))
+    score = lambda cos: F.round((1 + cos) / 2, 4) if metric == "half" else F.round(F.greatest(F.lit(0.0), cos), 4)
+    scored = lambda pairs: pairs.withColumn("score", score(F.when(F.col("qu").isNotNull() & F.col("u").isNotNull(), dot(F.col("qu"), F.col("u"))).otherwise(0.0)))
+    around = q.select("query_id", "kb_id", "qu", "size", F.posexplode_outer("to").alias("cell", "d")).where("d is not null").join(about.hint("merge"), ["kb_id", "cell"])
+    first = around.where(F.col("n") >= k).groupBy("query_id", "kb_id").agg(F.min_by(F.struct("cell", "qu"), F.struct("d", "cell")).alias("c")).select("query_id", "kb_id", "c.*")
+    one = scored(cells.select("kb_id", "cell", "id", "u").join(side(first), ["kb_id", "cell"]))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    bound = one.select("query_id", "score").withColumn("_r", nth).where(F.col("_r") == k).select("query_id", F.col("score").alias("kth"))
+    least = F.greatest(F.coalesce("kth", F.lit(-1.0)), F.lit(threshold)) - 2e-4
+    reach = F.when(least <= 0, 2.0).otherwise(of_score(least)) + 1e-9
+    asked = written(q.join(bound.hint("merge"), "query_id", "left").withColumn("limit", reach).drop("kth"), "bounds")
+    limits = asked.select("query_id", F.col("limit"))
+    near = around.join(limits.hint("merge"), "query_id").where(F.col("d") - F.col("reach") <= F.col("limit")).select("query_id", "kb_id", "cell", "qu", "size", "d", "limit")
+    # cell -1, and queries that have no direction, meet all
+    blind = asked.where("qu is null").select("query_id", "kb_id", "qu", "size", F.lit(0.0).alias("d"), F.lit(9.0).alias("limit"))
+    blind = blind.join(about.select("kb_id", "cell").hint("merge"), "kb_id")
+    rest = asked.where("qu is not null").select("query_id", "kb_id", "qu", "size", F.lit(-1).alias("cell"), F.lit(0.0).alias("d"), F.lit(9.0).alias("limit"))
+    whole = written(near.unionByName(blind).unionByName(rest), "frontier")
+    pairs = cells.withColumnRenamed("size", "vsize").join(side(whole), ["kb_id", "cell"])
+    pairs = pairs.where((F.abs(F.col("d") - F.coalesce("far", "d")) <= F.col("limit")) & (F.col("size") == F.col("vsize")))
+    hits = scored(pairs.where(F.col("query_id") != F.col("id") if not_itself else F.lit(True))).select("query_id", "id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= top_k).where(F.col("score") >= threshold)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("kb_id", "id")) -> DataFrame:
     """Rows of `old` with those of `new` put in their place or added; of several new rows of a key that of the greatest version."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

@@ -192,6 +192,13 @@ def vec03(t):
     return vectors.search(t.vector_queries, dense(t), 5, 0.35, "sidecar", not_itself=True)
 
 
+@query("vec02_pruned_knn", KNN + " select query_id, id, score, rank from knn where score >= 0.5")
+def vec02_pruned(t):
+    """vec02_knn, where pivots rule vectors out before they are scored."""
+    first = written(vectors.pivots(dense(t)), "pivots")
+    return vectors.pruned_search(t.vector_queries, written(vectors.in_cells(dense(t), first), "cells"), first, not_itself=True)
+
+
 @query("vec04_merge_modalities", KNN + """, img as (select query_id, id, score from knn where id % 3 = 0 and score >= 0.5), txt as (select query_id, id, score from knn where id % 3 <> 0),
     both_ as (select *, 'text' as modality from txt union all select *, 'image' from img) select query_id, id, score, modality, row_number() over (partition by query_id order by score desc, modality, id) as rank from both_ qualify rank <= 5""")
 def vec04(t):
