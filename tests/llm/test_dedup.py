@@ -135,3 +135,19 @@ def test_equal_rows_are_settled_once(spark):
     docs = spark.createDataFrame([(1, text)] * 90 + [(1, other)], "doc_id long, text string")
     got = {(r.n_bytes, r.n_removed, r.n_spans): r["count"] for r in repeats.remove_repeats(docs).groupBy("n_bytes", "n_removed", "n_spans").count().collect()}
     assert got == {(6000, 6000, 1): 90, (4001, 4000, 2): 1}
+
+
+def test_no_document_is_lost_by_its_key(spark):
+    """Of 256 keys one ends in a zero byte: 300 pairs of texts, each of which repeats one of its own."""
+    text = lambda i: "".join(random.Random(i).choices("abcdefgh ", k=30))
+    rows = [(i, f"{i:04d}#" + text(i // 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (4096, 1):
+        assert Counter(tuple(r) for r in repeats.remove_repeats(df, 20, hot=hot).collect()) == brute_repeats(rows, 20)
+
+
+def test_large_ids_beside_null_ones(spark):
+    rows = [((1 << 53) + 1, "a" * 30), (None, "b" * 9), ((1 << 63) - 1, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = repeats.remove_repeats(df, 20)
+    assert dict(out.dtypes)["doc_id"] == "bigint" and Counter(tuple(r) for r in out.collect()) == brute_repeats(rows, 20)
