@@ -47,16 +47,26 @@ def token_stats(toks: DataFrame) -> DataFrame:
     return toks.select(F.explode("kbs").alias("kb_id"), "len").groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
+def counted(toks: DataFrame) -> DataFrame:
+    """tokens() with `counts`, an array of (term, tf): runs of the sorted terms, so a chunk is counted where it is read."""
+    rows = toks.where(F.size("terms") > 0).withColumn("_sorted", F.sort_array("terms"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
+    rows = rows.withColumn("_starts", starts)
+    ends = F.concat(F.expr("slice(_starts, 2, size(_starts))"), F.array(F.size("_sorted")))
+    runs = F.zip_with("_starts", ends, lambda a, b: F.struct(F.get("_sorted", a).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.withColumn("counts", runs).drop("_sorted", "_starts", "terms")
+
+
 def token_postings(toks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """kb_id, chunk_id, term, tf, len of tokens(), with `wanted` (term) of those terms only.
+    """kb_id, chunk_id, term, tf, len of tokens(), with `wanted` (kb_id, term) of those terms of those bases only.
 
-    Terms are counted for each chunk, whatever the number of its knowledge bases, which come last.
+    A chunk is one row of tokens(). Terms are counted in it, whatever the number of its knowledge bases, which come last;
+    nothing is shuffled.
     """
-    words = toks.select("kbs", "chunk_id", "len", F.explode("terms").alias("term"))
-    if wanted is not None:
-        words = words.join(wanted, "term", "left_semi")
-    counted = words.groupBy("kbs", "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    return counted.select(F.explode("kbs").alias("kb_id"), "chunk_id", "term", "tf", "len")
+    # of an explode() Spark would infer a filter and push it down, with its arrays made anew for each term
+    words = counted(toks).select("kbs", "chunk_id", "len", F.explode_outer("counts").alias("c"))
+    post = words.select(F.explode("kbs").alias("kb_id"), "chunk_id", "c.term", "c.tf", "len")
+    return post if wanted is None else post.join(wanted, ["kb_id", "term"], "left_semi")
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
@@ -67,12 +77,12 @@ def asked_terms(queries: DataFrame) -> DataFrame:
 def ranked(asked: DataFrame, post: DataFrame, df: DataFrame, stat: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, id, score, bm25_rank of the top_k chunks with a positive score, from postings with their lengths.
 
-    df (kb_id, term, df) and stat (kb_id, n, avgdl) are joined to the asked terms, of which there are few, before these
-    meet the postings.
+    df (kb_id, term, df) and stat (kb_id, n, avgdl) are joined to the asked terms, a stored table of which there are few,
+    before these meet the postings where they are read. Terms of a chunk are neighbours there, so sums are made in place.
     """
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = asked.join(df, ["kb_id", "term"]).join(stat, "kb_id").select("query_id", "kb_id", "term", "times", idf.alias("idf"), "avgdl")
-    hits = weighed.join(post, ["kb_id", "term"])
+    hits = post.join(weighed.hint("broadcast" if asked.count() <= MOST else "merge"), ["kb_id", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -83,11 +93,11 @@ def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, k1: float = 1.
     """query_id, id, score, bm25_rank: the top_k chunks with a positive score for each query (query_id, kb_id, text).
 
     chunks are as in tokens(), or its result. They are tokenised once, into a stored table; postings are cut to the
-    terms that some query has before they are counted, so common terms nobody asks for are never shuffled.
+    terms that some query of their knowledge base has.
     """
     toks = chunks if "terms" in chunks.columns else written(tokens(chunks), "tokens")
     asked = written(asked_terms(queries), "asked")
-    wanted = asked.select("term").distinct()
+    wanted = asked.select("kb_id", "term").distinct()
     post = written(token_postings(toks, wanted.hint("broadcast" if asked.count() <= MOST else "merge")), "postings")
     df = post.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
     return ranked(asked, post, df, token_stats(toks), top_k, k1, b)

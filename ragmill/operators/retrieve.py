@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.files import written
 from . import bm25, fusion, rerank
-from .vectors import hashed_terms, sparse_search
+from .vectors import hashed_terms, text_search
 
 SUFFIX = "\n\n...(内容已截断)"
 
@@ -96,18 +96,13 @@ def enhanced_lists(variants: DataFrame, chunks: DataFrame, images: DataFrame, fe
     """query_id, list_id, rank, id, score: one list for each variant (query_id, kb_id, variant, text) that has a vector hit.
 
     A list is the hybrid of the variant's vector and BM25 hits in `chunks` (kb_id, chunk_id, text), `fetch` of them at
-    most, then its hits in `images` (same columns) in their own order. A variant without a vector hit has no list, so its
+    most, then its hits in `images` (same columns) in their own order. Both may be bm25.tokens() of such, a stored table. A variant without a vector hit has no list, so its
     BM25 hits don't count. Null texts have no terms and no list.
     """
     asked = variants.select(F.struct("query_id", "variant").alias("query_id"), "kb_id", "text")
 
-    def hashed(df: DataFrame, *key: str) -> DataFrame:
-        rows = df.select(F.struct(*key).alias("id"), "text")
-        return hashed_terms(rows).select("id.*", "bucket", "weight")
-
     def near(df: DataFrame) -> DataFrame:
-        vecs = hashed(df, "kb_id", "chunk_id").withColumnRenamed("chunk_id", "id")
-        return sparse_search(hashed(asked, "query_id", "kb_id"), vecs, fetch).where(F.col("score") >= threshold)
+        return text_search(asked, df, fetch).where(F.col("score") >= threshold)
 
     semantic, pictures = written(near(chunks), "semantic"), written(near(images), "pictures")
     alive = semantic.select("query_id").unionByName(pictures.select("query_id")).distinct()
