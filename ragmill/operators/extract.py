@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,6 +18,13 @@ DROPPED = {"script", "style", "nav", "footer", "header"}
 VOID = {"br", "img", "hr", "meta", "link", "input"}
 
 
+def small_batches(spark: SparkSession, rows: int = 100) -> None:
+    """Pages are long: Arrow batches of `rows` at most keep a Python worker's memory to a few megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 class _Text(HTMLParser):
     """Text with line feeds after blocks and marks before headings."""
 
@@ -117,18 +124,27 @@ BLOCK = "page_id long, pos int, tag string, class string, title string, text str
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """A row for each closed element of each page outside navigation, header, footer, script and style."""
+    """A row for each closed element of each page outside navigation, header, footer, script and style.
+
+    An element holds its descendants' text, so a page's rows are many times its size: a worker has those of few at once.
+    """
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, size = [], 0
             for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
                 p = _Blocks()
                 p.feed(html or "")
                 p.close()
                 out += [(page_id, i, b["tag"], b["class"], b["title"], b["text"], b["link"], b["children"], b["start"], b["up"]) for i, b in enumerate(p.blocks)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK.split(", ")])
+                size += sum(len(b["text"]) for b in p.blocks)
+                if size > 4_000_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names)
 
+    names = [c.split()[0] for c in BLOCK.split(", ")]
     return pages.select("page_id", "html").mapInPandas(run, BLOCK)
 
 
