@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..sources.files import written
+from . import inplace
 
 #: So many asked terms at most are sent to all tasks; more are merged.
 MOST = 200_000
@@ -42,6 +43,14 @@ def tokens(chunks: DataFrame) -> DataFrame:
     return chunks.select(kbs.alias("kbs"), "chunk_id", terms(F.col("text")).alias("terms")).withColumn("len", F.size("terms").cast("long"))
 
 
+def stored_tokens(chunks: DataFrame) -> DataFrame:
+    """tokens(), stored with each chunk's terms as one text, `words`, from which `terms` are split again where they are used."""
+    toks = tokens(chunks)
+    held = written(toks.select("kbs", "chunk_id", F.array_join("terms", " ").alias("words"), F.size("terms").cast("long").alias("len")), "tokens")
+    terms_again = F.when(F.length("words") > 0, F.split("words", " ")).otherwise(F.array().cast("array<string>"))
+    return held.select("kbs", "chunk_id", terms_again.alias("terms"), "len", "words")
+
+
 def token_stats(toks: DataFrame) -> DataFrame:
     """kb_id, n, avgdl of tokens()."""
     return toks.select(F.explode("kbs").alias("kb_id"), "len").groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
@@ -80,24 +89,38 @@ def ranked(asked: DataFrame, post: DataFrame, df: DataFrame, stat: DataFrame, to
     df (kb_id, term, df) and stat (kb_id, n, avgdl) are joined to the asked terms, a stored table of which there are few,
     before these meet the postings where they are read. Terms of a chunk are neighbours there, so sums are made in place.
     """
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighed = asked.join(df, ["kb_id", "term"]).join(stat, "kb_id").select("query_id", "kb_id", "term", "times", idf.alias("idf"), "avgdl")
+    weighed = weights(asked, df, stat)
     hits = post.join(weighed.hint("broadcast" if asked.count() <= MOST else "merge"), ["kb_id", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
+    return best(scored, top_k)
+
+
+def weights(asked: DataFrame, df: DataFrame, stat: DataFrame) -> DataFrame:
+    """query_id, kb_id, term, times, idf, avgdl of the asked terms that occur."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return asked.join(df, ["kb_id", "term"]).join(stat, "kb_id").select("query_id", "kb_id", "term", "times", idf.alias("idf"), "avgdl")
+
+
+def best(scored: DataFrame, top_k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("bm25_rank", rank).where(F.col("bm25_rank") <= top_k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, top_k: int = 5, k1: float = 1.5, b: float = 0.75, most: int = MOST) -> DataFrame:
     """query_id, id, score, bm25_rank: the top_k chunks with a positive score for each query (query_id, kb_id, text).
 
-    chunks are as in tokens(), or its result. They are tokenised once, into a stored table; postings are cut to the
-    terms that some query of their knowledge base has.
+    chunks are as in tokens(), or its result. They are tokenised once, into a stored table. With at most `most` asked
+    terms these go to all tasks, and chunks are counted and scored where they are read; more meet postings, cut to the
+    terms that some query of their knowledge base has. Chunks that share an id are separate ones in the first case.
     """
-    toks = chunks if "terms" in chunks.columns else written(tokens(chunks), "tokens")
+    toks = chunks if "terms" in chunks.columns else stored_tokens(chunks)
     asked = written(asked_terms(queries), "asked")
     wanted = asked.select("kb_id", "term").distinct()
-    post = written(token_postings(toks, wanted.hint("broadcast" if asked.count() <= MOST else "merge")), "postings")
-    df = post.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
-    return ranked(asked, post, df, token_stats(toks), top_k, k1, b)
+    if asked.count() > most:
+        post = written(token_postings(toks, wanted.hint("merge")), "postings")
+        df = post.groupBy("kb_id", "term").agg(F.count("*").alias("df"))
+        return ranked(asked, post, df, token_stats(toks), top_k, k1, b)
+    weighed = written(weights(asked, inplace.frequencies(toks, wanted), token_stats(toks)), "weights")
+    scored = inplace.weighed_sums(toks, weighed, top_k, k1, b).select("query_id", "id", F.round("raw", 4).alias("score")).where("score > 0")
+    return best(scored, top_k)
