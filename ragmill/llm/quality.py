@@ -112,12 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, pairs_each:
     z = np.clip((f - mean) / scale, -6, 6)
     z = np.hstack([z, z * z])
     a, b = rng.choice(good, m), rng.choice(bad, m)
-    gap = z[a] - z[b]
     w = np.zeros(z.shape[1])
     step, m1, m2 = 0.05, np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         part = rng.integers(0, m, 4096)
-        d = gap[part]
+        d = z[a[part]] - z[b[part]]  # of all pairs at once these would take hundreds of megabytes of the driver
         grad = -(d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(0) + 1e-4 * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         w -= step * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
