@@ -28,6 +28,8 @@ UNIT = r" *[^ \n]+| +|\n"
 FINE = r" *(?:[\d_]|[^\w \n])*[^\W\d_]+| *(?:[\d_]|[^\w \n])+| +|\n"
 #: Longer units, in characters, are segmented in their document's task by best_path(), in memory in proportion to them.
 LONG = 200
+#: So many documents at most are numbered, wait and are put together at once.
+STRETCH = 125
 
 
 @functools.cache
@@ -224,8 +226,8 @@ def recurring_units(rows: DataFrame, pattern: re.Pattern, held: int = 100_000) -
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows by unit in as many partitions as shuffles have: edges take far more room than units, by which AQE would join partitions."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
+    """Rows by unit in four times as many partitions as shuffles have: edges take far more room than units, by which AQE would join partitions."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unit")
 
 
 def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
@@ -247,9 +249,9 @@ def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int]
     return {u: i for i, u in enumerate(found["unit"].to_pylist())}, lists.flatten().to_numpy().astype(np.int32), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
 
 
-def packed(codes: list[int]) -> bytes:
+def packed(codes: np.ndarray) -> bytes:
     """Numbers, compressed: first their lowest bytes, then the next ones, so that the many small numbers' zeros meet."""
-    return zlib.compress(np.array(codes, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -257,17 +259,44 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
-def numbered(units: list[str], known: dict[str, int]) -> tuple[list[int], dict[str, int], dict[str, int]]:
-    """A text's units as numbers: known ones by `known`, its own from len(known) on and long ones from -1 down.
+def numbered(units: list[str], known: dict[str, int], own: dict[str, int]) -> tuple[list[int], dict[str, int]]:
+    """A text's units as numbers: known ones by `known`, others by `own`, from len(known) on, and long ones from -1 down.
 
-    Both of these are numbered in the order they come up in, and returned too.
+    Units that neither has are added to `own`; the long ones are returned too. Both are numbered in the order they come up in.
     """
-    found, own, long = list(map(known.get, units)), {}, {}
+    found, long = list(map(known.get, units)), {}
     if None in found:
         for at, u in enumerate(units):
             if found[at] is None:
                 found[at] = len(known) + own.setdefault(u, len(own)) if len(u) <= LONG else -1 - long.setdefault(u, len(long))
-    return found, own, long
+    return found, long
+
+
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """STRETCH rows at most, their texts and 128 bits of these as two numbers: stretches that agree in them have the same texts."""
+    for whole in batches:
+        for k in range(0, len(whole), STRETCH):
+            batch = whole.slice(k, STRETCH)
+            texts = batch.column("text").to_pylist()
+            key = hashlib.blake2b(digest_size=16)
+            for text in texts:
+                data = text.encode()
+                key.update(len(data).to_bytes(8))
+                key.update(data)
+            yield batch, texts, np.frombuffer(key.digest(), np.int64)
+
+
+def one_list(values: pa.Array) -> pa.ListArray:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def lists(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of row i of a column of lists of lists of numbers: all numbers and the sizes of the inner lists; none of null."""
+    inner = column[i].values
+    if inner is None:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(inner).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def long_units(model: str) -> Callable[[str], list[int]]:
@@ -284,27 +313,18 @@ def long_units(model: str) -> Callable[[str], list[int]]:
     return run
 
 
-def spelled(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, mine: list[np.ndarray], long: list[np.ndarray]) -> np.ndarray:
-    """The ids of a document's unit numbers (see numbered()): known units' from `flat`, its own from `mine` and `long`."""
+def spelled(codes: np.ndarray, flat: np.ndarray, ends: np.ndarray, more: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of unit numbers and how many each has: known units' from `flat`, the n-th other one's from `more`, by `sizes`."""
     n = ends.size - 1
-    codes = np.where(codes < 0, n + len(mine) - 1 - codes, codes)
-    mine = [*mine, *long]
     own = codes >= n
     begin, size = np.zeros(codes.size, np.int64), np.zeros(codes.size, np.int64)
-    low = codes[~own]
+    low, high = codes[~own], codes[own] - n
     begin[~own], size[~own] = ends[low], ends[low + 1] - ends[low]
-    if mine:
-        sizes = np.array([len(x) for x in mine])
-        begin[own] = (np.cumsum(sizes) - sizes)[codes[own] - n]
-        size[own] = sizes[codes[own] - n]
-    before = np.cumsum(size) - size
-    place = np.arange(size.sum()) + np.repeat(begin - before, size)
-    if not mine:
-        return flat[place]
+    begin[own], size[own] = (np.cumsum(sizes) - sizes)[high], sizes[high]
+    place = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
     of_own, out = np.repeat(own, size), np.empty(place.size, np.int32)
-    out[of_own] = np.concatenate(mine)[place[of_own]]
-    out[~of_own] = flat[place[~of_own]]
-    return out
+    out[of_own], out[~of_own] = more[place[of_own]], flat[place[~of_own]]
+    return out, size
 
 
 def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",), common: int = 200_000, check: bool = False) -> DataFrame:
@@ -312,9 +332,11 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
 
     With `check` also n_units and round_trip: whether the ids decode to the text (by its MD5).
 
-    Each distinct unit is segmented by lexicon(). At most `common` of the commonest units are sent to the tasks. A
-    document's other units go to the partition of their unit, where each is segmented once, and their ids go back to
-    the document; it is waiting not as text but as compressed numbers of its units, which are smaller.
+    Each distinct unit is segmented by lexicon(). At most `common` of the commonest units are sent to the tasks. The
+    other units of a stretch of documents are numbered together and go to the partition of their unit, where each is
+    segmented once; their ids go back to the stretch. It is waiting not as texts but as compressed numbers of its units,
+    which are smaller. `docs` is read more than once and has to come in the same order then, as a stored table does;
+    a stretch whose units don't come back is an error.
 
     Null and empty texts have no pieces. A literal word mark in a text decodes to a space, as in SentencePiece itself.
     Repeated rows are encoded alike. An empty table gives no rows; other columns are ignored.
@@ -323,53 +345,73 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)], text)
     names = [f"_{i}" for i in range(len(carry))]
-    # 128 bits tell documents apart; rows that agree in them have the same text
-    rows = rows.withColumns({"u1": F.xxhash64(*names, "text"), "u2": F.xxhash64(F.lit(1), *names, "text"), "md5": F.unhex(F.md5("text"))})
+    if check:
+        rows = rows.withColumn("md5", F.unhex(F.md5("text")))
     index, flat, ends = common_units(rows, model, common)
     known, table = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast((flat, ends, decoder(model)))
     pattern = unit_pattern(model)
-    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
-
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
-            texts = zip(batch["u1"], batch["u2"], batch["text"], strict=True)
-            out = [(u1, u2, k, u) for u1, u2, text in texts for u, k in numbered(split_units(text, pattern), known.value)[1].items()]
-            yield pd.DataFrame(out, columns=["u1", "u2", "k", "unit"])
-
-    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [*names, "md5"] if check else names
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts, key in stretches(batches):
+            own: dict[str, int] = {}
+            for text in texts:
+                numbered(split_units(text, pattern), known.value, own)
+            if own:
+                columns = [pa.array(np.full(len(own), key[0])), pa.array(np.full(len(own), key[1])), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(list(own), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["u1", "u2", "k", "unit"])
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = None
-        for batch in batches:
-            codes, ids = [], []
-            for text in batch["text"]:
-                found, _, long = numbered(split_units(text, pattern), known.value)
-                if long and segment is None:
-                    segment = long_units(model)
-                codes.append(packed(found))
-                ids.append([segment(u) for u in long] if long else None)
-            yield batch[[*names, "u1", "u2", "md5"]].assign(codes=codes, long=pd.Series(ids, batch.index, dtype=object))
-
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, texts, key in stretches(batches):
+            own: dict[str, int] = {}
+            sizes, codes, ids = [], [], []
+            for text in texts:
+                found, long = numbered(split_units(text, pattern), known.value, own)
+                if long:
+                    segment = segment or long_units(model)
+                    found = [x - len(ids) if x < 0 else x for x in found]
+                    ids += [segment(u) for u in long]
+                sizes.append(len(found))
+                codes += found
+            # long units are numbered after the stretch's own ones
+            codes = np.array(codes, np.int32)
+            codes = np.where(codes < 0, len(known.value) + len(own) - 1 - codes, codes)
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in held], held)
+            columns = [pa.array(key[:1]), pa.array(key[1:]), one_list(rows), one_list(pa.array(sizes, pa.int32())), pa.array([packed(codes)], pa.binary()), pa.array([ids], pa.list_(pa.list_(pa.int32()))), pa.array([len(own)], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["u1", "u2", "docs", "sizes", "codes", "long", "n_own"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, ends, pieces = table.value
         for batch in batches:
-            out, units, round_trip = [], [], []
-            for codes, own, long, md5 in zip(batch["codes"], batch["own"], batch["long"], batch["md5"], strict=True):
-                codes = unpacked(codes)
-                ids = spelled(codes, flat, ends, list(own) if own is not None else [], list(long) if long is not None else [])
-                out.append(ids)
-                units.append(codes.size)
-                round_trip.append(check and hashlib.md5(decode_ids(ids.tolist(), pieces).encode()).digest() == md5)
-            done = batch[names].assign(ids=out)
-            yield done.assign(n_units=units, round_trip=round_trip) if check else done
-
-    tails = rows.select("u1", "u2", "text").mapInPandas(rare, "u1 long, u2 long, k int, unit string")
-    # repeated rows ask alike; both filters are always true and make the two uses below the same plan, whose shuffle is reused
+            for i in range(len(batch)):
+                own, own_sizes = lists(batch.column("own"), i)
+                long, long_sizes = lists(batch.column("long"), i)
+                if own_sizes.size != batch.column("n_own")[i].as_py():
+                    raise RuntimeError("documents came in another order when they were read again: store them first")
+                codes = unpacked(batch.column("codes")[i].as_py())
+                ids, size = spelled(codes, flat, ends, np.append(own, long), np.append(own_sizes, long_sizes))
+                units = batch.column("sizes")[i].values
+                last = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(units.to_numpy()))]
+                mine = batch.column("docs")[i].values.flatten()
+                out = [*mine[: len(names)], pa.ListArray.from_arrays(pa.array(last, pa.int32()), pa.array(ids))]
+                if check:
+                    parts = zip(last[:-1].tolist(), last[1:].tolist(), mine[-1].to_pylist(), strict=True)
+                    same = [hashlib.md5(decode_ids(ids[a:b].tolist(), pieces).encode()).digest() == md5 for a, b, md5 in parts]
+                    out += [units.cast(pa.int64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(out, [*names, "ids", *["n_units", "round_trip"][: 2 * check]])
+
+    tails = rows.mapInArrow(rare, "u1 long, u2 long, k int, unit string")
+    # equal stretches ask alike; both filters are always true and make the two uses below the same plan, whose shuffle is reused
     tails = spread(tails.where("unit is not null and u1 is not null and u2 is not null"))
     tails = tails.groupBy("unit", "u1", "u2").agg(F.min("k").alias("k")).where("k >= 0")
     found = lexicon(tails.select("unit").distinct(), model)
-    # repartitioned first, as lists of the few rows that a task has of a document would only be longer
+    # repartitioned first, as lists of the few rows that a task has of a stretch would only be longer
     own = tails.join(found.hint("merge"), "unit").select("u1", "u2", "k", "ids").repartition("u1", "u2").groupBy("u1", "u2").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("own"))
     own = own.select("u1", "u2", F.transform("own", lambda x: x["ids"]).alias("own"))
-    waiting = rows.mapInPandas(shorten, f"{fields}u1 long, u2 long, md5 binary, codes binary, long array<array<int>>")
+    carried = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in held)
+    waiting = rows.mapInArrow(shorten, f"u1 long, u2 long, docs array<struct<{carried}>>, sizes array<int>, codes binary, long array<array<int>>, n_own int")
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
     extra = ", n_units long, round_trip boolean" if check else ""
-    out = waiting.join(own.hint("merge"), ["u1", "u2"], "left").mapInPandas(assemble, f"{fields}ids array<int>{extra}")
+    out = waiting.join(own.hint("merge"), ["u1", "u2"], "left").mapInArrow(assemble, f"{fields}ids array<int>{extra}")
     return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
