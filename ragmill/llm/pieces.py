@@ -6,7 +6,6 @@ import functools
 import hashlib
 import math
 import re
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,7 +27,7 @@ UNIT = r" *[^ \n]+| +|\n"
 FINE = r" *(?:[\d_]|[^\w \n])*[^\W\d_]+| *(?:[\d_]|[^\w \n])+| +|\n"
 #: Longer units, in characters, are segmented in their document's task by best_path(), in memory in proportion to them.
 LONG = 200
-#: So many documents at most are numbered, wait and are put together at once.
+#: So many documents at most are numbered and put together at once.
 STRETCH = 125
 
 
@@ -249,16 +248,6 @@ def common_units(rows: DataFrame, model: str, most: int) -> tuple[dict[str, int]
     return {u: i for i, u in enumerate(found["unit"].to_pylist())}, lists.flatten().to_numpy().astype(np.int32), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """Numbers, compressed: first their lowest bytes, then the next ones, so that the many small numbers' zeros meet."""
-    return zlib.compress(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
-
-
 def numbered(units: list[str], known: dict[str, int], own: dict[str, int]) -> tuple[list[int], dict[str, int]]:
     """A text's units as numbers: known ones by `known`, others by `own`, from len(known) on, and long ones from -1 down.
 
@@ -272,31 +261,94 @@ def numbered(units: list[str], known: dict[str, int], own: dict[str, int]) -> tu
     return found, long
 
 
-def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    """STRETCH rows at most, their texts and 128 bits of these as two numbers: stretches that agree in them have the same texts."""
-    for whole in batches:
-        for k in range(0, len(whole), STRETCH):
-            batch = whole.slice(k, STRETCH)
-            texts = batch.column("text").to_pylist()
-            key = hashlib.blake2b(digest_size=16)
-            for text in texts:
-                data = text.encode()
-                key.update(len(data).to_bytes(8))
-                key.update(data)
-            yield batch, texts, np.frombuffer(key.digest(), np.int64)
-
-
-def one_list(values: pa.Array) -> pa.ListArray:
-    """A list column of one row."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def edge_table(model: str = MODEL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The piece table for lattice(), by prefixes of pieces: keys, children, ids, scores.
 
-
-def lists(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of row i of a column of lists of lists of numbers: all numbers and the sizes of the inner lists; none of null."""
-    inner = column[i].values
-    if inner is None:
+    A prefix has a number, the empty one 0. keys, in order, are a prefix's number and the next character, children the
+    longer prefix's number; ids (-1: no piece) and scores are by number.
+    """
+    number, kept = {"": 0}, useful(model)
+    for piece, _, _ in kept:
+        for k in range(1, len(piece) + 1):
+            number.setdefault(piece[:k], len(number))
+    ids, scores = np.full(len(number), -1, np.int64), np.zeros(len(number), np.int64)
+    for piece, i, score in kept:
+        ids[number[piece]], scores[number[piece]] = i, score
+    prefixes = [x for x in number if x]
+    keys = np.array([number[x[:-1]] << 21 | ord(x[-1]) for x in prefixes], np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.array([number[x] for x in prefixes], np.int64)[order], ids, scores
+
+
+def lattice(units: list[str], pieces: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], worst: int, first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best segmentations of units (of 1 to LONG characters) of a stretch, by the rules of lexicon(): all ids, and how many each unit has.
+
+    The same relation as there, a column an array: parts of units joined to the piece table make edges (end, size, id,
+    score); in order of their ends, longer ones first, these leave the best edge into each end, read backwards then.
+    """
+    keys, children, ids, scores = pieces
+    chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+    n = np.fromiter(map(len, units), np.int64, len(units))
+    first = np.cumsum(n) - n
+    place = np.arange(chars.size) - np.repeat(first, n)  # in its unit
+    room = np.repeat(n, n) - place  # characters from here to the unit's end
+    start, prefix, edges = np.arange(chars.size), np.zeros(chars.size, np.int64), []
+    for size in range(1, LONG + 1):
+        key = prefix << 21 | chars[start + size - 1]
+        at = np.minimum(np.searchsorted(keys, key), keys.size - 1)
+        hit = keys[at] == key
+        if size == 1:  # every character is an edge
+            child = np.where(hit, children[at], 0)
+            edges.append((start, np.ones(start.size, np.int64), np.where(ids[child] >= 0, ids[child], -1 - chars), np.where(ids[child] >= 0, scores[child], worst)))
+        start, prefix = start[hit], children[at[hit]]
+        piece = (ids[prefix] >= 0) & (size > 1)
+        edges.append((start[piece], np.full(piece.sum(), size), ids[prefix[piece]], scores[prefix[piece]]))
+        more = room[start] > size
+        start, prefix = start[more], prefix[more]
+        if not start.size:
+            break
+    start, size, id_, score = map(np.concatenate, zip(*edges, strict=True))
+    end = place[start] + size
+    turn = end * (LONG + 1) - size  # by ends, and of these the longest first
+    order = np.argsort(turn.astype(np.min_scalar_type(LONG * (LONG + 1))), kind="stable")
+    start, size, id_, score, turn = start[order], size[order], id_[order], score[order], turn[order]
+    # a unit has a node before its first character and one after each
+    before = start + np.repeat(np.arange(n.size), n)[start]
+    after = before + size
+    best = np.full(chars.size + n.size, -(1 << 62), np.int64)
+    best[first + np.arange(n.size)] = 0
+    chosen = np.zeros(best.size, np.int64)
+    bounds = [*np.flatnonzero(np.diff(turn, prepend=-1)).tolist(), turn.size]
+    for a, b in zip(bounds, bounds[1:], strict=False):  # at most one edge of each into a node
+        value = best[before[a:b]] + score[a:b]
+        better = np.flatnonzero(value > best[after[a:b]])
+        best[after[a:b][better]], chosen[after[a:b][better]] = value[better], better + a
+    unit, node, path = np.arange(n.size), first + np.arange(n.size) + n, []
+    begin = first + np.arange(n.size)
+    while unit.size:
+        edge = chosen[node]
+        path.append((unit, id_[edge]))
+        node = before[edge]
+        on = node > begin[unit]
+        unit, node = unit[on], node[on]
+    if not path:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    return inner.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(inner).to_numpy(zero_copy_only=False).astype(np.int64)
+    step = np.repeat(np.arange(len(path)), [u.size for u, _ in path])
+    unit, found = map(np.concatenate, zip(*path, strict=True))
+    steps = np.bincount(unit, minlength=n.size)
+    out = np.empty(unit.size, np.int64)
+    out[(np.cumsum(steps) - 1)[unit] - step] = found
+    lost = np.flatnonzero(out < 0)
+    if not lost.size:
+        return out.astype(np.int32), steps
+    # characters without a piece: -1 - the character, spelt as bytes
+    spelt = [[first_byte + b for b in chr(-1 - c).encode()] if first_byte >= 0 else [0] for c in out[lost].tolist()]
+    many = np.ones(out.size, np.int64)
+    many[lost] = [len(x) for x in spelt]
+    sizes = np.bincount(np.repeat(np.arange(n.size), steps), many, n.size).astype(np.int64)
+    out = np.repeat(out, many)
+    out[out < 0] = [x for y in spelt for x in y]
+    return out.astype(np.int32), sizes
 
 
 def long_units(model: str) -> Callable[[str], list[int]]:
@@ -332,11 +384,9 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
 
     With `check` also n_units and round_trip: whether the ids decode to the text (by its MD5).
 
-    Each distinct unit is segmented by lexicon(). At most `common` of the commonest units are sent to the tasks. The
-    other units of a stretch of documents are numbered together and go to the partition of their unit, where each is
-    segmented once; their ids go back to the stretch. It is waiting not as texts but as compressed numbers of its units,
-    which are smaller. `docs` is read more than once and has to come in the same order then, as a stored table does;
-    a stretch whose units don't come back is an error.
+    At most `common` of the commonest units are segmented by lexicon() and sent to the tasks. The other units of a
+    stretch of documents are numbered together, each once, and segmented where they are, by lattice(); nothing is
+    shuffled for them.
 
     Null and empty texts have no pieces. A literal word mark in a text decodes to a space, as in SentencePiece itself.
     Repeated rows are encoded alike. An empty table gives no rows; other columns are ignored.
@@ -350,68 +400,38 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     index, flat, ends = common_units(rows, model, common)
     known, table = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast((flat, ends, decoder(model)))
     pattern = unit_pattern(model)
-    held = [*names, "md5"] if check else names
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, key in stretches(batches):
-            own: dict[str, int] = {}
-            for text in texts:
-                numbered(split_units(text, pattern), known.value, own)
-            if own:
-                columns = [pa.array(np.full(len(own), key[0])), pa.array(np.full(len(own), key[1])), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(list(own), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["u1", "u2", "k", "unit"])
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = None
-        for batch, texts, key in stretches(batches):
-            own: dict[str, int] = {}
-            sizes, codes, ids = [], [], []
-            for text in texts:
-                found, long = numbered(split_units(text, pattern), known.value, own)
-                if long:
-                    segment = segment or long_units(model)
-                    found = [x - len(ids) if x < 0 else x for x in found]
-                    ids += [segment(u) for u in long]
-                sizes.append(len(found))
-                codes += found
-            # long units are numbered after the stretch's own ones
-            codes = np.array(codes, np.int32)
-            codes = np.where(codes < 0, len(known.value) + len(own) - 1 - codes, codes)
-            rows = pa.StructArray.from_arrays([batch.column(c) for c in held], held)
-            columns = [pa.array(key[:1]), pa.array(key[1:]), one_list(rows), one_list(pa.array(sizes, pa.int32())), pa.array([packed(codes)], pa.binary()), pa.array([ids], pa.list_(pa.list_(pa.int32()))), pa.array([len(own)], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["u1", "u2", "docs", "sizes", "codes", "long", "n_own"])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, ends, pieces = table.value
-        for batch in batches:
-            for i in range(len(batch)):
-                own, own_sizes = lists(batch.column("own"), i)
-                long, long_sizes = lists(batch.column("long"), i)
-                if own_sizes.size != batch.column("n_own")[i].as_py():
-                    raise RuntimeError("documents came in another order when they were read again: store them first")
-                codes = unpacked(batch.column("codes")[i].as_py())
-                ids, size = spelled(codes, flat, ends, np.append(own, long), np.append(own_sizes, long_sizes))
-                units = batch.column("sizes")[i].values
-                last = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(units.to_numpy()))]
-                mine = batch.column("docs")[i].values.flatten()
-                out = [*mine[: len(names)], pa.ListArray.from_arrays(pa.array(last, pa.int32()), pa.array(ids))]
+    worst, first_byte = 4 * min(s for _, _, s in piece_scores(model)), byte_ids(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (flat, ends, bytes_of), edges, segment = table.value, edge_table(model), None
+        for whole in batches:
+            for k in range(0, len(whole), STRETCH):
+                batch = whole.slice(k, STRETCH)
+                own: dict[str, int] = {}
+                units, codes, ids = [], [], []
+                for text in batch.column("text").to_pylist():
+                    found, long = numbered(split_units(text, pattern), known.value, own)
+                    if long:
+                        segment = segment or long_units(model)
+                        found = [x - len(ids) if x < 0 else x for x in found]
+                        ids += [segment(u) for u in long]
+                    units.append(len(found))
+                    codes += found
+                # long units are numbered after the stretch's own ones
+                codes = np.array(codes, np.int64)
+                codes = np.where(codes < 0, len(known.value) + len(own) - 1 - codes, codes)
+                more, sizes = lattice(list(own), edges, worst, first_byte)
+                more, sizes = np.concatenate([more, *[np.array(x, np.int32) for x in ids]]), np.append(sizes, [len(x) for x in ids]).astype(np.int64)
+                ids, size = spelled(codes, flat, ends, more, sizes)
+                last = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(units, dtype=np.int64))]
+                out = [*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(last, pa.int32()), pa.array(ids))]
                 if check:
-                    parts = zip(last[:-1].tolist(), last[1:].tolist(), mine[-1].to_pylist(), strict=True)
-                    same = [hashlib.md5(decode_ids(ids[a:b].tolist(), pieces).encode()).digest() == md5 for a, b, md5 in parts]
-                    out += [units.cast(pa.int64()), pa.array(same, pa.bool_())]
+                    parts = zip(last[:-1].tolist(), last[1:].tolist(), batch.column("md5").to_pylist(), strict=True)
+                    same = [hashlib.md5(decode_ids(ids[a:b].tolist(), bytes_of).encode()).digest() == md5 for a, b, md5 in parts]
+                    out += [pa.array(units, pa.int64()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out, [*names, "ids", *["n_units", "round_trip"][: 2 * check]])
 
-    tails = rows.mapInArrow(rare, "u1 long, u2 long, k int, unit string")
-    # equal stretches ask alike; both filters are always true and make the two uses below the same plan, whose shuffle is reused
-    tails = spread(tails.where("unit is not null and u1 is not null and u2 is not null"))
-    tails = tails.groupBy("unit", "u1", "u2").agg(F.min("k").alias("k")).where("k >= 0")
-    found = lexicon(tails.select("unit").distinct(), model)
-    # repartitioned first, as lists of the few rows that a task has of a stretch would only be longer
-    own = tails.join(found.hint("merge"), "unit").select("u1", "u2", "k", "ids").repartition("u1", "u2").groupBy("u1", "u2").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("own"))
-    own = own.select("u1", "u2", F.transform("own", lambda x: x["ids"]).alias("own"))
-    carried = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in held)
-    waiting = rows.mapInArrow(shorten, f"u1 long, u2 long, docs array<struct<{carried}>>, sizes array<int>, codes binary, long array<array<int>>, n_own int")
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in names)
     extra = ", n_units long, round_trip boolean" if check else ""
-    out = waiting.join(own.hint("merge"), ["u1", "u2"], "left").mapInArrow(assemble, f"{fields}ids array<int>{extra}")
+    out = rows.mapInArrow(run, f"{fields}ids array<int>{extra}")
     return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(carry)})
